@@ -90,11 +90,11 @@ EVENT_LAYER_2 = {
     "start_type": only("PP", pick(h(61, 6), ["pass_reception", "pass_interception", "recovery", "keep_possession", "throw_in_reception", "unknown"])),
     "end_type": only("PP OBE", f"CASE WHEN event_type = 'player_possession' THEN {pick(h(67, 6), ['pass', 'shot', 'clearance', 'possession_loss', 'foul_suffered', 'unknown'])} "
                      f"ELSE {pick(h(71, 4), ['direct_regain', 'indirect_regain', 'direct_disruption', 'indirect_disruption'])} END"),
-    "game_interruption_before": only("PP OBE", pick(h(73, 20), ["corner_for", "corner_against", "goal_kick_for", "goal_kick_against", "free_kick_against", "throw_in_for"])),
+    "game_interruption_before": only("PP OBE", pick(h(73, 10), ["corner_for", "corner_against", "goal_kick_for", "goal_kick_against", "free_kick_against", "throw_in_for"])),
     "game_interruption_after": f"CASE WHEN event_type = 'player_possession' AND {h(67, 6)} = 1 AND {h(79, 100)} < 12 THEN 'goal_for' "
                                f"WHEN event_type = 'on_ball_engagement' AND {h(79, 100)} < 3 THEN 'goal_for' END",
-    "team_score": fl("(frame_start + 40 * (team_id % 2)) / 150e0"),
-    "opponent_team_score": fl("(frame_start + 40 * (1 - team_id % 2)) / 150e0"),
+    "team_score": fl("(frame_start + 40 * (team_id % 2)) / (100e0 + 150 * (team_id % 2))"),
+    "opponent_team_score": fl("(frame_start + 40 * (1 - team_id % 2)) / (100e0 + 150 * (1 - team_id % 2))"),
     "first_player_possession_in_team_possession": only("PP", f"CASE WHEN {h(83, 12)} = 0 THEN NULL ELSE etype = 'signup' END"),
     "associated_player_possession_event_id": f"CASE WHEN event_type <> 'player_possession' AND {h(89, 20)} > 0 THEN event_id - 1 - {h(97, 40)} END",
     "n_player_possessions_in_phase": only("PP", h(101, 9)),
@@ -149,16 +149,27 @@ def events_cte() -> str:
         f"e3 AS ({_layer(EVENT_LAYER_3, 'e2', True)}), ev AS (SELECT {', '.join(EVENT_COLUMNS)} FROM e3)")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     origin = F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
     df = raw.select(
         "event_id", F.timestamp_diff("MICROSECOND", origin, F.col("ts").cast("timestamp_ntz")).alias("t"), "user_id",
         F.col("event_type").alias("etype"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
-    df = df.select(*[F.expr(e).alias(n) for n, e in EVENT_LAYER_1.items()])
-    for layer in (EVENT_LAYER_2, EVENT_LAYER_3):
-        df = df.select("*", *[F.expr(e).alias(n) for n, e in layer.items()])
-    return df.select(*EVENT_COLUMNS)
+    return df.selectExpr(*[f"{e} AS {n}" for n, e in EVENT_LAYER_1.items()])
+
+
+_plans: dict = {}
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adapter's lazy plan, built once per session and folder (no data is held)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _plans:
+        df = _base(spark, sf_dir)
+        for layer in (EVENT_LAYER_2, EVENT_LAYER_3):
+            df = df.selectExpr("*", *[f"{e} AS {n}" for n, e in layer.items()])
+        _plans[key] = df.select(*EVENT_COLUMNS)
+    return _plans[key]
 
 
 # matches, roster and captains follow from the players seen in ``events``
@@ -175,7 +186,7 @@ def matches_cte() -> str:
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = events(spark, sf_dir).select("match_id").distinct()
+    base = _base(spark, sf_dir).select("match_id").distinct()
     return base.select(*[F.expr(e).cast("double" if n == "pitch_length" else "double" if n == "pitch_width" else "bigint").alias(n)
                          for n, e in MATCH_COLUMNS.items()])
 
@@ -196,7 +207,7 @@ def players_cte() -> str:
 
 
 def players(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = events(spark, sf_dir).select("match_id", "player_id", "team_id").distinct()
+    base = _base(spark, sf_dir).select("match_id", "player_id", "team_id").distinct()
     flat = base.select(*[F.expr(e).alias(n) for n, e in ROSTER_COLUMNS.items()])
     span = lambda s, e: F.struct(F.col(s).cast("bigint").alias("start_frame"), F.col(e).cast("bigint").alias("end_frame"))
     return flat.select(
@@ -208,7 +219,7 @@ CAPTAIN_COLUMNS = {"match_id": "match_id", "team_id": "team_id", "player_id": "M
 
 
 def captains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).groupBy("match_id", "team_id").agg((F.min("player_id") + 4).alias("player_id"))
+    return _base(spark, sf_dir).groupBy("match_id", "team_id").agg((F.min("player_id") + 4).alias("player_id"))
 
 
 def captains_cte() -> str:

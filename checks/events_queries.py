@@ -18,9 +18,8 @@ FINE_BLOCK = 432_000
 
 def gold_events(spark: SparkSession, sf: str, parts) -> DataFrame:
     """Adapter events with the named derivations."""
-    goals = None if {"goal_time", "outcomes"} & set(parts) else spark.createDataFrame([], "match_id long")
     out, _ = E.enrich(D.events(spark, sf), D.matches(spark, sf), D.players(spark, sf), D.captains(spark, sf),
-                      goals=goals, parts=parts, block=BLOCK)
+                      parts=parts, block=BLOCK)
     return out
 
 
@@ -41,7 +40,7 @@ SELECT c.team_possession_id, MIN(c.match_id) AS match_id,
   ROUND((MAX(frame_end) - MIN(frame_start)) / 10.0e0, 6) AS duration_s
 FROM ec c WHERE c.team_possession_id IS NOT NULL GROUP BY c.team_possession_id"""))
 def chain_rollup(spark, sf):
-    chained = E.add_chain_id(D.events(spark, sf), BLOCK)
+    chained = E.add_chain_id(D.events(spark, sf))
     return rounded(E.possession_chains(chained), "duration_s")
 
 

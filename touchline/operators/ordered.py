@@ -126,13 +126,16 @@ def asof(
     kind: str | None = None,
     payload: Sequence[str] = (),
     strict: bool = False,
+    axis: DataFrame | None = None,
 ) -> DataFrame:
     """Nearest marker at or before ("since") and at or after ("until") each row, in one join.
 
     ``lookups`` maps an output column to ``(direction, kind)``; markers of several kinds are told
     apart by the ``kind`` column.  Each output is a struct ``(at, <payload>)`` or null.  Ties are
     inclusive in both directions unless ``strict``.  With a payload, markers must be unique on
-    (``by``, ``kind``, ``marker_at``); plain positions are made distinct here.
+    (``by``, ``kind``, ``marker_at``); plain positions are made distinct here.  ``axis`` names a
+    cheaper table holding the rows' ``by`` and ``at`` values (the untouched source, say), so that
+    finding the occupied blocks does not compute ``df`` twice.
     """
     by = list(by)
     kinds = list(dict.fromkeys(k for _, k in lookups.values()))
@@ -151,7 +154,7 @@ def asof(
         ])
     )
     rows = df.withColumn("__blk", block_of(at, width))
-    needed = rows.select(*by, "__blk").distinct()
+    needed = (df if axis is None else axis).select(*by, block_of(at, width).alias("__blk")).distinct()
     index = needed.unionByName(blocks, allowMissingColumns=True).groupBy(*by, "__blk").agg(
         *[F.first(a, ignorenulls=True).alias(a) for a in arrays.values()]
     )
@@ -189,19 +192,29 @@ def _nearest_in(items: Column, x: Column, back: bool, strict: bool) -> Column:
 def greedy_collapse(markers: DataFrame, by: Sequence[str], at: str, gap: int) -> DataFrame:
     """Keep a marker when it lies more than ``gap`` after the last *kept* one.
 
-    A marker more than ``gap`` after its predecessor is kept whatever came before, so every such
-    marker opens an independent island and the order-dependent fold runs inside one island only.
-    An island holds distinct positions of one stretch of markers without a pause of ``gap``.
+    Cells of ``gap + 1`` positions hold at most one kept marker each.  A cell whose predecessor is
+    empty, or whose first offset is no smaller than the predecessor's last, keeps its first marker
+    whatever came before, so it opens an independent island and the order-dependent fold runs inside
+    one island.  The window sees one row per occupied cell.
     """
     by = list(by)
-    width = max(gap, 1) * 8
-    m = markers.where(F.col(at).isNotNull()).select(*by, at).distinct()
-    linked = asof(m, m, by, at, at, width, {"__p": ("since", None)}, strict=True)
-    opens = linked.where(F.col("__p").isNull() | (F.col(at) - F.col("__p.at") > gap)).select(*by, at)
-    islands = asof(m, opens, by, at, at, width, {"__s": ("since", None)}).withColumn("__island", F.col("__s.at"))
-    pos_type = m.schema[at].dataType.simpleString()
+    size = gap + 1
+    start = F.col("__cell") * size
+    cells = (
+        markers.where(F.col(at).isNotNull())
+        .select(*by, at, block_of(at, size).alias("__cell"))
+        .groupBy(*by, "__cell")
+        .agg(F.sort_array(F.collect_set(at)).alias("__ms"))
+        .select("*", (F.element_at("__ms", 1) - start).alias("__lo"), (F.element_at("__ms", -1) - start).alias("__hi"))
+    )
+    w = Window.partitionBy(*by).orderBy("__cell")
+    opens = (F.lag("__cell").over(w).isNull() | (F.lag("__cell").over(w) < F.col("__cell") - 1)
+             | (F.col("__lo") >= F.lag("__hi").over(w)))
+    islands = cells.withColumn("__opens", opens.cast("int")).withColumn(
+        "__island", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pos_type = markers.schema[at].dataType.simpleString()
     kept = F.aggregate(
-        F.sort_array(F.collect_list(at)),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__cell", "__ms"))), lambda c: c["__ms"])),
         F.array().cast(f"array<{pos_type}>"),
         lambda acc, v: F.when((F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) > gap), F.array_append(acc, v)).otherwise(acc),
     )

@@ -39,12 +39,12 @@ def own_shots(events: DataFrame) -> DataFrame:
     return events.where(is_type(S.PP) & (F.col("end_type") == "shot")).select(*TEAM, F.col("frame_end").alias("frame"))
 
 
-def score_steps(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def score_steps(events: DataFrame) -> DataFrame:
     """Rows at which a team's running score rises: match_id, team_id, observed, event_id, step."""
     rows = events.where(F.col("team_id").isNotNull()).select(*TEAM, "event_id", "frame_start", "team_score")
     rows = rows.withColumn("__seen", F.lit(True))
     prev = previous_row(
-        rows, TEAM, [block_of("frame_start", block), F.col("frame_start")], "event_id",
+        rows, TEAM, [F.col("frame_start")], "event_id",
         {"before": "team_score", "__before_seen": "__seen"},
     )
     # the very first row of a team is compared with 0; a null score on either side is no step
@@ -64,7 +64,7 @@ def goal_timeline(
     order-dependent part folds over the goals of one team in one match.
     """
     markers = goal_markers(events, gap).select(*TEAM, F.col("frame").cast("long").alias("frame"))
-    steps = asof(score_steps(events, block), own_shots(events), TEAM, "observed", "frame", block, {"shot": ("since", None)})
+    steps = asof(score_steps(events), own_shots(events), TEAM, "observed", "frame", block, {"shot": ("since", None)})
     goal = "struct<frame:bigint,frame_source:string>"
     m = markers.groupBy(*TEAM).agg(F.sort_array(F.collect_list(
         F.struct(F.col("frame"), F.lit("goal_marker").alias("frame_source")))).alias("placed"))
@@ -122,12 +122,13 @@ def _for_each_team(events: DataFrame, marks: DataFrame, frame: str, team: str, w
     return seen.join(teams, "match_id").select(*TEAM, "__mark", tag.alias("__kind"))
 
 
-def add_goal_relative_time(events: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
+def add_goal_relative_time(events: DataFrame, goals: DataFrame, block: int = BLOCK, base: DataFrame | None = None) -> DataFrame:
     """Seconds since and until own and conceded goals, measured from frame_start."""
-    marks = _for_each_team(events, goals, "frame", "scoring_team_id", "goal")
+    base = events if base is None else base
+    marks = _for_each_team(base, goals, "frame", "scoring_team_id", "goal")
     found = asof(events, marks, TEAM, "frame_start", "__mark", block, {
         "__sf": ("since", "goal_own"), "__sa": ("since", "goal_other"),
-        "__uf": ("until", "goal_own"), "__ua": ("until", "goal_other")}, kind="__kind")
+        "__uf": ("until", "goal_own"), "__ua": ("until", "goal_other")}, kind="__kind", axis=base)
     at = F.col("frame_start")
     return found.select(
         *events.columns,
@@ -137,15 +138,16 @@ def add_goal_relative_time(events: DataFrame, goals: DataFrame, block: int = BLO
         ((F.col("__ua.at") - at) / S.FPS).alias("seconds_until_goal_against"))
 
 
-def add_outcome_windows(events: DataFrame, goals: DataFrame, block: int = BLOCK) -> DataFrame:
+def add_outcome_windows(events: DataFrame, goals: DataFrame, block: int = BLOCK, base: DataFrame | None = None) -> DataFrame:
     """Seconds from frame_end to the next shot and goal of the row's team and of any other team."""
-    marks = _for_each_team(events, own_shots(events), "frame", "team_id", "shot").unionByName(
-        _for_each_team(events, goals, "frame", "scoring_team_id", "goal"))
+    base = events if base is None else base
+    marks = _for_each_team(base, own_shots(base), "frame", "team_id", "shot").unionByName(
+        _for_each_team(base, goals, "frame", "scoring_team_id", "goal"))
     names = {
         "seconds_to_next_shot_same_team": "shot_own", "seconds_to_next_goal_same_team": "goal_own",
         "seconds_to_next_shot_opponent": "shot_other", "seconds_to_next_goal_opponent": "goal_other"}
     found = asof(events, marks, TEAM, "frame_end", "__mark", block,
-                 {n: ("until", k) for n, k in names.items()}, kind="__kind")
+                 {n: ("until", k) for n, k in names.items()}, kind="__kind", axis=base)
     return found.select(*events.columns, *[((F.col(n)["at"] - F.col("frame_end")) / S.FPS).alias(n) for n in names])
 
 
@@ -153,20 +155,24 @@ def add_outcome_windows(events: DataFrame, goals: DataFrame, block: int = BLOCK)
 # possession chains
 # --------------------------------------------------------------------------------------
 def chain_numbers(
-    possessions: DataFrame, entity: str, position: str, tiebreak: str, flag: Column, block: int = BLOCK,
+    possessions: DataFrame, entity: str, position: str, tiebreak: str, flag: Column, block: int | None = None,
     out: str = "chain",
 ) -> DataFrame:
-    """Running count of chain-opening flags per entity (0 before the first)."""
+    """Running count of chain-opening flags per entity (0 before the first).
+
+    Rows meet per position; a very long axis adds a coarser level of ``block`` positions above it.
+    """
     opened = no(flag).cast("int")
-    return running_sum(possessions, [entity], [block_of(position, block), F.col(position)], [tiebreak], {out: opened})
+    levels = [F.col(position)] if block is None else [block_of(position, block), F.col(position)]
+    return running_sum(possessions, [entity], levels, [tiebreak], {out: opened})
 
 
-def add_chain_id(events: DataFrame, block: int = BLOCK) -> DataFrame:
+def add_chain_id(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """team_possession_id on possession rows and, through their parent, on all other rows."""
-    pp = events.where(is_type(S.PP)).select(
+    pp = (events if base is None else base).where(is_type(S.PP)).select(
         "match_id", "event_id", "frame_start", "first_player_possession_in_team_possession")
     numbered = chain_numbers(
-        pp, "match_id", "frame_start", "event_id", F.col("first_player_possession_in_team_possession"), block)
+        pp, "match_id", "frame_start", "event_id", F.col("first_player_possession_in_team_possession"))
     ids = numbered.select(
         F.col("match_id").alias("__m"), F.col("event_id").alias("__e"),
         F.concat(F.col("match_id").cast("string"), F.lit("_tp"), F.col("chain").cast("string")).alias("team_possession_id"))
@@ -186,9 +192,11 @@ def chain_rollup(events: DataFrame) -> DataFrame:
         (span / S.FPS).alias("chain_duration_s"))
 
 
-def add_possession_chains(events: DataFrame, block: int = BLOCK) -> DataFrame:
-    with_id = add_chain_id(events, block)
-    roll = chain_rollup(with_id).withColumnRenamed("team_possession_id", "__tp")
+def add_possession_chains(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Chain id and the chain's rollup on every row."""
+    base = events if base is None else base
+    with_id = add_chain_id(events, base)
+    roll = chain_rollup(add_chain_id(base)).withColumnRenamed("team_possession_id", "__tp")
     return left_lookup(with_id, roll, {"team_possession_id": "__tp"}, F.col("event_id"))
 
 
@@ -243,10 +251,10 @@ def unit_sizes(players: DataFrame, block: int = BLOCK) -> DataFrame:
         "team_pivot_size": F.col("position").isin(*S.PIVOT)})
 
 
-def add_unit_sizes(events: DataFrame, players: DataFrame, block: int = BLOCK) -> DataFrame:
+def add_unit_sizes(events: DataFrame, players: DataFrame, block: int = BLOCK, base: DataFrame | None = None) -> DataFrame:
     names = ["team_back_line_size", "team_front_line_size", "team_pivot_size"]
     found = asof(events, unit_sizes(players, block), TEAM, "frame_start", "boundary", block,
-                 {"__at": ("since", None), "__first": ("until", None)}, payload=names)
+                 {"__at": ("since", None), "__first": ("until", None)}, payload=names, axis=base)
     # before the first boundary the first one counts
     slot = F.coalesce("__at", "__first")
     return found.select(*events.columns, *[slot[n].alias(n) for n in names])
@@ -284,35 +292,45 @@ def modal_position(events: DataFrame, entity=("match_id", "player_id"), value: s
 # the whole gold build
 # --------------------------------------------------------------------------------------
 PARTS = ("goal_time", "outcomes", "chains", "zones", "units", "roster", "captains")
+#: Source columns the derivations read.
+SOURCE_COLUMNS = (
+    "match_id", "event_id", "event_type", "team_id", "player_id", "player_position", "frame_start", "frame_end",
+    "end_type", "third_end", "penalty_area_end", "game_interruption_after", "team_score",
+    "first_player_possession_in_team_possession", "associated_player_possession_event_id",
+    "x_start", "y_start", "x_end", "y_end", "player_targeted_x_reception", "player_targeted_y_reception")
 
 
 def enrich(
     events: DataFrame, matches: DataFrame, players: DataFrame, captains: DataFrame | None = None,
     goals: DataFrame | None = None, parts: Iterable[str] = PARTS, block: int = BLOCK,
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Add the derived columns of ``parts``; returns (events, goals).
 
-    A question that needs only some derivations names them, so that the others' joins never enter its plan.
+    All joins run on the few columns the derivations read, and their side tables come from the
+    source rather than from the step before, so each step reads its input once.  The wide rows are
+    shuffled a single time, to receive the derived columns by (match_id, event_id).
     """
     parts = set(parts)
-    if goals is None:
-        goals = goal_timeline(events, matches, block=block)
-    out = events
+    base = events.select(*SOURCE_COLUMNS)
+    if goals is None and parts & {"goal_time", "outcomes"}:
+        goals = goal_timeline(base, matches, block=block)
+    out = base
     if "goal_time" in parts:
-        out = add_goal_relative_time(out, goals, block)
+        out = add_goal_relative_time(out, goals, block, base)
     if "outcomes" in parts:
-        out = add_outcome_windows(out, goals, block)
-    if "chains" in parts:
-        out = add_possession_chains(out, block)
-    if "zones" in parts:
-        out = add_zone_flags(out, matches)
+        out = add_outcome_windows(out, goals, block, base)
     if "units" in parts:
-        out = add_unit_sizes(out, players, block)
+        out = add_unit_sizes(out, players, block, base)
+    if "chains" in parts:
+        out = add_possession_chains(out, base)
     if "roster" in parts:
         out = add_roster_attributes(out, players)
     if "captains" in parts:
         out = out.withColumn("is_captain", F.lit(False)) if captains is None else add_captain_flag(out, captains)
-    return out, goals
+    if "zones" in parts:
+        out = add_zone_flags(out, matches)
+    derived = [c for c in out.columns if c not in base.columns]
+    return events.join(out.select("match_id", "event_id", *derived), ["match_id", "event_id"], "left"), goals
 
 
 def require_derived(df: DataFrame, declared: Iterable[str] = S.DERIVED_COLUMNS) -> DataFrame:
