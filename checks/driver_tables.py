@@ -224,3 +224,82 @@ def captains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def captains_cte() -> str:
     return "cap AS (SELECT match_id, team_id, MIN(player_id) + 4 AS player_id FROM ev GROUP BY match_id, team_id)"
+
+
+# --------------------------------------------------------------------------------------
+# tracking: ``lineitem`` rows are player positions, ``orders`` rows are ball positions
+# --------------------------------------------------------------------------------------
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+POSITION_COLUMNS = {
+    "match_id": fl("l_suppkey / 24e0"), "player_id": "l_suppkey", "frame": "frame",
+    "x": "(CAST(ROUND(l_extendedprice * 100) AS BIGINT) % 10500) / 100e0 - 52.5e0",
+    "y": "((l_partkey * 37 + l_orderkey * 11) % 6800) / 100e0 - 34e0",
+    "is_detected": "l_returnflag <> 'A'",
+}
+BALL_COLUMNS = {
+    "match_id": "m", "frame": "frame",
+    "ball_x": "CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE (CAST(ROUND(o_totalprice * 100) AS BIGINT) % 10500) / 100e0 - 52.5e0 END",
+    "ball_y": "((o_orderkey * 7919) % 6800) / 100e0 - 34e0",
+    "possession_group": "CASE o_orderstatus WHEN 'F' THEN 'home team' WHEN 'O' THEN 'away team' END",
+}
+SIGN = "(CASE WHEN (team_id + period) % 2 = 0 THEN 1 ELSE -1 END)"
+
+
+def positions_cte() -> str:
+    """DuckDB CTEs ``tk`` (player rows), ``bf`` (ball rows) and ``fr`` (frames with a usable flag)."""
+    order = ", ".join(["l_shipdate", *LINE_ORDER])
+    return (
+        f"ln AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_suppkey ORDER BY {order}) AS frame FROM lineitem), "
+        f"tk AS ({_layer(POSITION_COLUMNS, 'ln', False)}), "
+        f"ob AS (SELECT *, {fl('o_custkey / 360e0')} AS m FROM orders), "
+        "o2 AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY m ORDER BY o_orderdate, o_orderkey) AS frame FROM ob), "
+        f"bf AS ({_layer(BALL_COLUMNS, 'o2', False)}), "
+        "fr AS (SELECT match_id, frame, MAX(u) AS u FROM (SELECT DISTINCT match_id, frame, 1 AS u FROM tk UNION ALL SELECT match_id, frame, 0 FROM bf) GROUP BY 1, 2), "
+        f"sg AS (SELECT match_id, team_id, period, {SIGN} AS sign FROM (SELECT match_id, home_team_id AS team_id FROM mt UNION ALL SELECT match_id, away_team_id FROM mt), (VALUES (1), (2)) p(period))")
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.operators.ordered import row_index
+    day = F.date_diff("l_shipdate", F.lit("1970-01-01").cast("date"))
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    numbered = row_index(lines, ["l_suppkey"], [F.floor(day / 30), day], LINE_ORDER, "frame")
+    return numbered.selectExpr(*[f"{e} AS {n}" for n, e in POSITION_COLUMNS.items()])
+
+
+def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from touchline.operators.ordered import row_index
+    day = F.date_diff("o_orderdate", F.lit("1970-01-01").cast("date"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("*", f"{fl('o_custkey / 360e0')} AS m")
+    numbered = row_index(orders, ["m"], [F.floor(day / 30), day], ["o_orderkey"], "frame")
+    return numbered.selectExpr(*[f"{e} AS {n}" for n, e in BALL_COLUMNS.items()])
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested frames; a frame's player array holds at most the 24 players of its match."""
+    entry = F.struct("player_id", "x", "y", "is_detected")
+    squads = positions(spark, sf_dir).groupBy("match_id", "frame").agg(F.sort_array(F.collect_list(entry)).alias("players"))
+    return ball(spark, sf_dir).join(squads, ["match_id", "frame"], "full")
+
+
+def signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = matches(spark, sf_dir)
+    teams = m.select("match_id", F.explode(F.array("home_team_id", "away_team_id")).alias("team_id"))
+    return teams.withColumn("period", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("sign", F.expr(SIGN))
+
+
+#: Event coordinates taken from tracking: mirrored by the sign, off by up to 0.4 m, wrong for a few.
+TRACKED_X = f"CASE WHEN {h(313, 100)} < 5 THEN 50e0 - {h(317, 90)} ELSE x * {SIGN} + {h(331, 9)} / 20e0 - 0.2e0 END"
+TRACKED_Y = f"CASE WHEN {h(313, 100)} < 5 THEN 30e0 - {h(337, 60)} ELSE y * {SIGN} + {h(347, 9)} / 20e0 - 0.2e0 END"
+TRACKED_KEEP = "event_id, match_id, team_id, player_id, event_type, period, frame_start, frame_end"
+
+
+def tracked_events_cte() -> str:
+    return (f"et AS (SELECT {', '.join('ev.' + c.strip() for c in TRACKED_KEEP.split(','))}, {TRACKED_X} AS x_start, {TRACKED_Y} AS y_start "
+            "FROM ev LEFT JOIN tk ON tk.match_id = ev.match_id AND tk.player_id = ev.player_id AND tk.frame = ev.frame_start)")
+
+
+def tracked_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = events(spark, sf_dir).select(*[c.strip() for c in TRACKED_KEEP.split(",")])
+    at = positions(spark, sf_dir).select("match_id", "player_id", F.col("frame").alias("frame_start"), "x", "y")
+    joined = ev.join(at, ["match_id", "player_id", "frame_start"], "left")
+    return joined.selectExpr(*[c.strip() for c in TRACKED_KEEP.split(",")], f"{TRACKED_X} AS x_start", f"{TRACKED_Y} AS y_start")

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks import driver_tables as D
+from checks import lake
 from checks import oracle as O
 from checks.registry import query
 from touchline import schema as S
@@ -23,6 +24,12 @@ def gold_events(spark: SparkSession, sf: str, parts) -> DataFrame:
     return out
 
 
+def close_goals(spark: SparkSession, sf: str) -> DataFrame:
+    """Goal table with thresholds fit for the 600-frame axis, written once."""
+    return lake.table(spark, sf, "goals_25_60", lambda: E.goal_timeline(
+        D.events(spark, sf), D.matches(spark, sf), gap=25, lookback=60, block=BLOCK))
+
+
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
@@ -97,7 +104,7 @@ FROM (SELECT mt.*, (SELECT COUNT(*) FROM gl WHERE gl.match_id = mt.match_id AND
   (SELECT COUNT(*) FROM gl WHERE gl.match_id = mt.match_id AND scoring_team_id = away_team_id) AS a FROM mt)"""))
 def goals_vs_official(spark, sf):
     m = D.matches(spark, sf)
-    return E.goals_vs_official(E.goal_timeline(D.events(spark, sf), m, gap=25, lookback=60, block=BLOCK), m)
+    return E.goals_vs_official(close_goals(spark, sf), m)
 
 
 @query("counts_vs_official", """
@@ -125,7 +132,7 @@ def greedy_marker_collapse(spark, sf):
 SELECT event_id, {', '.join(f'ROUND({c.rsplit(" AS ", 1)[0]}, 6) AS {c.rsplit(" AS ", 1)[1]}' for c in O.GOAL_TIME)} FROM ev g"""))
 def since_until_marker(spark, sf):
     ev = D.events(spark, sf)
-    goals = E.goal_timeline(ev, D.matches(spark, sf), gap=25, lookback=60, block=BLOCK)
+    goals = close_goals(spark, sf)
     names = [f"seconds_{d}_goal_{s}" for d in ("since", "until") for s in ("for", "against")]
     return rounded(E.add_goal_relative_time(ev, goals, BLOCK).select("event_id", *names), *names)
 
@@ -134,7 +141,7 @@ def since_until_marker(spark, sf):
 SELECT event_id, {', '.join(f'ROUND({c.rsplit(" AS ", 1)[0]}, 6) AS {c.rsplit(" AS ", 1)[1]}' for c in O.OUTCOMES)} FROM ev g"""))
 def next_marker_same_and_other(spark, sf):
     ev = D.events(spark, sf)
-    goals = E.goal_timeline(ev, D.matches(spark, sf), gap=25, lookback=60, block=BLOCK)
+    goals = close_goals(spark, sf)
     names = [f"seconds_to_next_{w}_{who}" for w in ("shot", "goal") for who in ("same_team", "opponent")]
     return rounded(E.add_outcome_windows(ev, goals, BLOCK).select("event_id", *names), *names)
 

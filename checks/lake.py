@@ -45,3 +45,24 @@ def gold_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def goals(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "goals", lambda: E.goal_timeline(D.events(spark, sf), D.matches(spark, sf), block=BLOCK))
+
+
+def frames(spark: SparkSession, sf: str) -> DataFrame:
+    """Tracking frames, sorted so that row groups can be skipped by (match_id, frame)."""
+    return table(spark, sf, "frames", lambda: D.frames(spark, sf).repartitionByRange("match_id", "frame").sortWithinPartitions("match_id", "frame"))
+
+
+#: Defending frames for a baseline on the short axis (the full axis asks for 600).
+BASELINE_FRAMES = 100
+
+
+def baselines(spark: SparkSession, sf: str) -> DataFrame:
+    from touchline.plans import tracking as T
+    return table(spark, sf, "baselines", lambda: T.player_baselines(
+        frames(spark, sf), D.matches(spark, sf), D.players(spark, sf), D.signs(spark, sf), min_frames=BASELINE_FRAMES, level=2.0))
+
+
+def tracking(spark: SparkSession, sf: str, with_baselines: bool = False):
+    from touchline.plans.predicates import Tracking
+    return Tracking(frames(spark, sf), D.signs(spark, sf), D.matches(spark, sf), D.players(spark, sf),
+                    baselines(spark, sf) if with_baselines else None)

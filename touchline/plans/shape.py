@@ -17,17 +17,19 @@ def with_defender(phases: DataFrame) -> DataFrame:
     return phases.join(teams, "match_id", "left").select(*phases.columns, other.alias("defending_team_id"))
 
 
-def relative_to_group(df: DataFrame, by: list[str], value: str, names: tuple[str, str, str], level: float = LEVEL) -> DataFrame:
+def relative_to_group(df: DataFrame, by: list[str], value: str, names: tuple[str, str, str],
+                      level: float = LEVEL, base: DataFrame | None = None) -> DataFrame:
     """Adds average-rank percentile, z-score (sample deviation) and median of ``value`` within ``by``.
 
     Ranks come from counts per distinct value accumulated in value blocks and moments from partial
-    aggregates; no task ever holds a group.
+    aggregates; no task ever holds a group.  ``base`` is a cheaper table with the same values.
     """
     pctile, z, median = names
-    cum = value_counts(df, by, value, level)
-    stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
+    base = df if base is None else base
+    cum = value_counts(base, by, value, level)
+    stats = base.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__avg"), F.stddev_samp(value).alias("__sd"))
-    mid = exact_percentiles(df, by, value, {"__med": 0.5}, level).drop("n")
+    mid = exact_percentiles(base, by, value, {"__med": 0.5}, level).drop("n")
     # rank of a value = smaller values + half of its ties (plus one half)
     ranks = cum.select(*by, value, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("__rank"))
     group = stats.join(mid, by)
@@ -39,12 +41,12 @@ def relative_to_group(df: DataFrame, by: list[str], value: str, names: tuple[str
 
 def phase_shape(phases: DataFrame, level: float = LEVEL) -> DataFrame:
     """Phases with width percentile, z-score and baseline of both sides."""
-    out = with_defender(phases)
+    base = out = with_defender(phases)
     for side, team in (("out_of_possession", "defending_team_id"), ("in_possession", "team_in_possession_id")):
         value = f"team_{side}_width_end"
         if value in phases.columns:
             out = relative_to_group(out, [team, f"team_{side}_phase_type"], value,
-                                    (f"{side}_width_pctile", f"{side}_width_z", f"{side}_width_baseline"), level)
+                                    (f"{side}_width_pctile", f"{side}_width_z", f"{side}_width_baseline"), level, base)
     return out
 
 
