@@ -37,14 +37,14 @@ def gold_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events with every derived column."""
     def build():
         goals_ = goals(spark, sf)
-        out, _ = E.enrich(D.events(spark, sf), D.matches(spark, sf), D.players(spark, sf), D.captains(spark, sf),
+        out, _ = E.enrich(D.events(spark, sf), matches(spark, sf), players(spark, sf), D.captains(spark, sf),
                           goals=goals_, block=BLOCK)
         return E.require_derived(out)
     return table(spark, sf, "events_enriched", build)
 
 
 def goals(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "goals", lambda: E.goal_timeline(D.events(spark, sf), D.matches(spark, sf), block=BLOCK))
+    return table(spark, sf, "goals", lambda: E.goal_timeline(D.events(spark, sf), matches(spark, sf), block=BLOCK))
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +52,23 @@ def frames(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "frames", lambda: D.frames(spark, sf).repartitionByRange("match_id", "frame").sortWithinPartitions("match_id", "frame"))
 
 
+def frame_index(spark: SparkSession, sf: str) -> DataFrame:
+    from touchline.plans import tracking as T
+    return table(spark, sf, "frame_index", lambda: T.frame_index(frames(spark, sf), BLOCK))
+
+
+def matches(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "matches", lambda: D.matches(spark, sf))
+
+
+def players(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "players", lambda: D.players(spark, sf))
+
+
+def signs(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "mirror_signs", lambda: D.signs(spark, sf))
+
+
 #: Defending frames for a baseline on the short axis (the full axis asks for 600).
 BASELINE_FRAMES = 100
 
@@ -59,10 +76,10 @@ BASELINE_FRAMES = 100
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
     from touchline.plans import tracking as T
     return table(spark, sf, "baselines", lambda: T.player_baselines(
-        frames(spark, sf), D.matches(spark, sf), D.players(spark, sf), D.signs(spark, sf), min_frames=BASELINE_FRAMES, level=2.0))
+        frames(spark, sf), matches(spark, sf), players(spark, sf), signs(spark, sf), min_frames=BASELINE_FRAMES, level=2.0))
 
 
 def tracking(spark: SparkSession, sf: str, with_baselines: bool = False):
     from touchline.plans.predicates import Tracking
-    return Tracking(frames(spark, sf), D.signs(spark, sf), D.matches(spark, sf), D.players(spark, sf),
+    return Tracking(frames(spark, sf), frame_index(spark, sf), signs(spark, sf), matches(spark, sf), players(spark, sf),
                     baselines(spark, sf) if with_baselines else None)

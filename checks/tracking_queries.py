@@ -55,7 +55,7 @@ SELECT w.event_id, COUNT(fr.frame) AS requested, CAST(COUNT(*) FILTER (WHERE u =
   ROUND(COALESCE(COUNT(*) FILTER (WHERE u = 1) * 1.0e0 / NULLIF(COUNT(fr.frame), 0), 0), 6) AS coverage
 FROM w LEFT JOIN fr ON fr.match_id = w.match_id AND fr.frame BETWEEN w.lo AND w.hi GROUP BY w.event_id"""))
 def coverage(spark, sf):
-    got = T.coverage(windows(spark, sf, 20, 120), lake.frames(spark, sf), block=BLOCK)
+    got = T.coverage(windows(spark, sf, 20, 120), lake.frame_index(spark, sf))
     return got.select("event_id", "requested", "n_frames", F.round("coverage", 6).alias("coverage"))
 
 
@@ -73,12 +73,12 @@ sv AS (SELECT match_id, team_id, period, CASE WHEN p + n = 0 THEN 0 WHEN p >= n
 
 @query("sign_vote", O.with_base(POS, D.tracked_events_cte(), VOTES, select="SELECT * FROM sv"))
 def sign_vote(spark, sf):
-    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), samples=None).withColumn("confidence", F.round("confidence", 6))
+    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=None).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("sign_vote_sampled")
 def sign_vote_sampled(spark, sf):
-    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), samples=40)
+    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=40)
 
 
 @query("sign_problems", O.with_base(POS, select="""
@@ -170,7 +170,7 @@ def gold(spark, sf):
 
 
 def tracked(spark, sf, qid: int):
-    return P.answer_tracking(qid, gold(spark, sf), lake.tracking(spark, sf, qid == 56), BLOCK)
+    return P.answer_tracking(qid, gold(spark, sf), lake.tracking(spark, sf, qid == 56))
 
 
 CORNER_CD = """cd AS (SELECT * FROM (SELECT ev.*, ROW_NUMBER() OVER (PARTITION BY match_id, phase_index ORDER BY frame_start, event_id) AS rn FROM ev
@@ -187,13 +187,13 @@ CORNER_COLS = "event_id, matched, value, status, evidence_lo, evidence_hi, n_fra
 
 def corner_result(spark, sf, tag, predicate):
     t = lake.tracking(spark, sf)
-    cand = P.corner_candidates(T.in_tracked_matches(gold(spark, sf), t.frames), tag)
-    return P.evaluate(cand, predicate, P.CORNER_WINDOW, t, BLOCK)
+    cand = P.corner_candidates(T.in_tracked_matches(gold(spark, sf), t.index), tag)
+    return P.evaluate(cand, predicate, P.CORNER_WINDOW, t)
 
 
 @query("nearest_approach", O.with_base(POS, CORNER_CD.format(tag="corner_for"), gate_sql(250, 80, 0.10), DELIVERY, NEAR, select="""
 SELECT cw.event_id, COALESCE(BOOL_OR(depth BETWEEN 0 AND 6 AND lat BETWEEN 1.5 AND 8), FALSE) AS matched,
-  ROUND(MIN(SQRT(depth * depth + (lat - 3.66) * (lat - 3.66))), 4) AS value,
+  CASE WHEN MAX(dk.d) IS NOT NULL THEN ROUND(COALESCE(MIN(SQRT(depth * depth + (lat - 3.66) * (lat - 3.66))), 'inf'::DOUBLE), 4) END AS value,
   CASE WHEN MAX(dk.d) IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status,
   COALESCE(MIN(np.frame) FILTER (WHERE depth BETWEEN 0 AND 6 AND lat BETWEEN 1.5 AND 8), MAX(dk.d)) AS evidence_lo,
   COALESCE(MAX(np.frame) FILTER (WHERE depth BETWEEN 0 AND 6 AND lat BETWEEN 1.5 AND 8), MAX(dk.d) + 25) AS evidence_hi, MAX(cw.n_frames) AS n_frames
@@ -230,7 +230,8 @@ def first_contact(spark, sf):
 
 
 @query("question_68", O.with_base(POS, CORNER_CD.format(tag="corner_for"), gate_sql(250, 80, 0.10), DELIVERY, NEAR, select="""
-SELECT event_id, ROUND(MIN(SQRT(depth * depth + (lat - 3.66) * (lat - 3.66))), 4) AS value FROM np GROUP BY event_id"""))
+SELECT dk.event_id, ROUND(COALESCE(MIN(SQRT(depth * depth + (lat - 3.66) * (lat - 3.66))), 'inf'::DOUBLE), 4) AS value
+FROM dk LEFT JOIN np ON np.event_id = dk.event_id GROUP BY dk.event_id"""))
 def question_68(spark, sf):
     return tracked(spark, sf, 68).select("event_id", F.round("value", 4).alias("value"))
 
@@ -265,7 +266,7 @@ SELECT cw.event_id, COALESCE(net >= 5 AND peak >= 15, FALSE) AS matched, ROUND(p
 FROM cw LEFT JOIN rb ON rb.event_id = cw.event_id LEFT JOIN ff ON ff.event_id = cw.event_id"""))
 def recovery_run(spark, sf):
     t = lake.tracking(spark, sf)
-    r = P.evaluate(P.turnovers(T.in_tracked_matches(gold(spark, sf), t.frames)), P.recovery_run(), P.RECOVERY_WINDOW, t, BLOCK)
+    r = P.evaluate(P.turnovers(T.in_tracked_matches(gold(spark, sf), t.index)), P.recovery_run(), P.RECOVERY_WINDOW, t)
     return r.select("event_id", "matched", F.round("value", 3).alias("value"), "status", "winger", F.round("net_retreat", 4).alias("net_retreat"),
                     F.round("distance", 3).alias("distance"), "tracked_back", "evidence_lo", "evidence_hi", "n_frames")
 
@@ -297,7 +298,7 @@ SELECT cw.event_id, COALESCE(cosine >= 0.6 AND score >= 15, FALSE) AS matched, R
   lo9 AS evidence_lo, hi9 AS evidence_hi, cw.n_frames FROM cw LEFT JOIN rr ON rr.event_id = cw.event_id"""))
 def foot_race(spark, sf):
     t = lake.tracking(spark, sf)
-    r = P.evaluate(P.runs_in_behind(T.in_tracked_matches(gold(spark, sf), t.frames)), P.foot_race(), P.RACE_WINDOW, t, BLOCK)
+    r = P.evaluate(P.runs_in_behind(T.in_tracked_matches(gold(spark, sf), t.index)), P.foot_race(), P.RACE_WINDOW, t)
     return r.select("event_id", "matched", *[F.round(c, 3).alias(c) for c in ("value", "peak_runner", "peak_back")], "status", "centre_back",
                     *[F.round(c, 4).alias(c) for c in ("cosine", "sep_start", "sep_end")], "evidence_lo", "evidence_hi", "n_frames")
 
@@ -310,7 +311,7 @@ def question_59(spark, sf):
 @query("dragged_out_of_position")
 def dragged_out_of_position(spark, sf):
     t = lake.tracking(spark, sf, True)
-    return P.evaluate(P.pulling_runs(T.in_tracked_matches(gold(spark, sf), t.frames)), P.dragged_out_of_position(), P.RACE_WINDOW, t, BLOCK).select(
+    return P.evaluate(P.pulling_runs(T.in_tracked_matches(gold(spark, sf), t.index)), P.dragged_out_of_position(), P.RACE_WINDOW, t).select(
         "event_id", "matched", F.round("value", 3).alias("value"), "status", "detail", "centre_back", "evidence_lo", "evidence_hi", "n_frames")
 
 
@@ -335,7 +336,7 @@ def box_candidates(spark, sf):
 SELECT cw.event_id, COALESCE(x < -(plen_ / 2 - 16.5) AND ABS(y) <= 20.16, FALSE) AS matched, ROUND(x, 4) AS value, CASE WHEN x IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status
 FROM cw LEFT JOIN (SELECT event_id, x, y, plen AS plen_ FROM bx_) b ON b.event_id = cw.event_id"""))
 def player_in_own_box(spark, sf):
-    r = P.evaluate(box_candidates(spark, sf), P.player_in_own_box, P.WindowPolicy(), lake.tracking(spark, sf), BLOCK)
+    r = P.evaluate(box_candidates(spark, sf), P.player_in_own_box, P.WindowPolicy(), lake.tracking(spark, sf))
     return r.select("event_id", "matched", F.round("value", 4).alias("value"), "status")
 
 
@@ -349,7 +350,7 @@ FROM (SELECT (b.x < -(plen / 2 - 16.5) AND ABS(b.y) <= 20.16) = (cd.x_start < -(
 def source_agreement(spark, sf):
     m = D.matches(spark, sf).select("match_id", "pitch_length")
     cand = box_candidates(spark, sf)
-    r = P.evaluate(cand, P.player_in_own_box, P.WindowPolicy(), lake.tracking(spark, sf), BLOCK)
+    r = P.evaluate(cand, P.player_in_own_box, P.WindowPolicy(), lake.tracking(spark, sf))
     return P.agreement(r.join(m, "match_id"))
 
 

@@ -62,34 +62,43 @@ def fetch_sampled(windows: DataFrame, frames: DataFrame, n: int, lo: str = "lo",
     return fetch_at(w.withColumn("requested", F.size("__wanted")), frames, "__wanted").drop("__wanted")
 
 
-def coverage(windows: DataFrame, frames: DataFrame, lo: str = "lo", hi: str = "hi", block: int = 3000) -> DataFrame:
-    """Adds requested (frames that exist in the window), n_frames (usable ones) and coverage.
+def frame_index(frames: DataFrame, block: int = 3000) -> DataFrame:
+    """Running counts of frames (``req``) and usable frames (``use``) at each frame of a match.
 
-    Counts come from two look-ups in running totals over the frame axis, so the cost of a window
-    does not depend on its length and no frame row is fetched.
+    Written once per lake: window coverage and the list of tracked matches read this narrow table
+    and never touch the frames themselves.
     """
     points = frames.select("match_id", "frame", usable().cast("long").alias("__u"))
     totals = running_sum(points, ["match_id"], [block_of("frame", block)], ["frame"], {"req": F.lit(1), "use": F.col("__u")})
-    totals = totals.select("match_id", "frame", "req", "use")
-    found = asof(windows, totals, ["match_id"], hi, "frame", BUCKET, {"__to": ("since", None)}, payload=["req", "use"])
-    found = asof(found, totals, ["match_id"], lo, "frame", BUCKET, {"__from": ("since", None)}, payload=["req", "use"],
-                 strict=True, axis=windows)
+    return totals.select("match_id", "frame", "req", "use")
+
+
+def coverage(windows: DataFrame, index: DataFrame, lo: str = "lo", hi: str = "hi", axis: DataFrame | None = None) -> DataFrame:
+    """Adds requested (frames that exist in the window), n_frames (usable ones) and coverage.
+
+    Counts come from two look-ups in the frame index, so the cost of a window does not depend on
+    its length and no frame row is fetched.
+    """
+    axis = windows if axis is None else axis
+    counts = ["req", "use"]
+    found = asof(windows, index, ["match_id"], hi, "frame", BUCKET, {"__to": ("since", None)}, payload=counts, axis=axis)
+    found = asof(found, index, ["match_id"], lo, "frame", BUCKET, {"__from": ("since", None)}, payload=counts, strict=True, axis=axis)
 
     def between(name: str) -> Column:
-        return F.coalesce(F.col("__to")[name], F.lit(0)) - F.coalesce(F.col("__from")[name], F.lit(0))
+        inside = F.coalesce(F.col("__to")[name], F.lit(0)) - F.coalesce(F.col("__from")[name], F.lit(0))
+        return F.when(F.col(hi) >= F.col(lo), inside).otherwise(0)
 
-    requested = F.when(F.col(hi) >= F.col(lo), between("req")).otherwise(0)
-    n = F.when(F.col(hi) >= F.col(lo), between("use")).otherwise(0)
-    return found.select(*windows.columns, requested.alias("requested"), n.alias("n_frames"),
-                        F.coalesce(F.try_divide(n, requested), F.lit(0.0)).alias("coverage"))
+    return found.select(*windows.columns, between("req").alias("requested"), between("use").alias("n_frames"),
+                        F.coalesce(F.try_divide(between("use"), between("req")), F.lit(0.0)).alias("coverage"))
 
 
-def tracked_matches(frames: DataFrame) -> DataFrame:
-    return frames.where(usable()).select("match_id").distinct()
+def tracked_matches(index: DataFrame) -> DataFrame:
+    """Matches with at least one usable frame."""
+    return index.where(F.col("use") > 0).select("match_id").distinct()
 
 
-def in_tracked_matches(df: DataFrame, frames: DataFrame) -> DataFrame:
-    return df.join(tracked_matches(frames), "match_id", "left_semi")
+def in_tracked_matches(df: DataFrame, index: DataFrame) -> DataFrame:
+    return df.join(tracked_matches(index), "match_id", "left_semi")
 
 
 # --------------------------------------------------------------------------------------
@@ -140,7 +149,7 @@ def in_penalty_area(x: Column, y: Column, edge: Column, own: bool) -> Column:
 # --------------------------------------------------------------------------------------
 # mirror signs
 # --------------------------------------------------------------------------------------
-def vote_signs(events: DataFrame, frames: DataFrame, tolerance: float = 0.5, samples: int | None = 40) -> DataFrame:
+def vote_signs(events: DataFrame, frames: DataFrame, index: DataFrame, tolerance: float = 0.5, samples: int | None = 40) -> DataFrame:
     """sign, confidence, n_votes and n_sampled per (match, team, period) of the tracked matches.
 
     An event votes +1 when its position equals the tracked one and -1 when it equals the negation.
@@ -148,7 +157,7 @@ def vote_signs(events: DataFrame, frames: DataFrame, tolerance: float = 0.5, sam
     """
     group = ["match_id", "team_id", "period"]
     pool = in_tracked_matches(events.where(F.col("team_id").isNotNull()).select(
-        *group, "event_id", "player_id", "frame_start", "x_start", "y_start"), frames)
+        *group, "event_id", "player_id", "frame_start", "x_start", "y_start"), index)
     complete = (F.col("x_start").isNotNull() & F.col("y_start").isNotNull() & F.col("player_id").isNotNull() & F.col("frame_start").isNotNull())
     picked = pool.where(complete)
     if samples is not None:
