@@ -336,7 +336,7 @@ def box_candidates(spark, sf):
 SELECT cw.event_id, COALESCE(x < -(plen_ / 2 - 16.5) AND ABS(y) <= 20.16, FALSE) AS matched, ROUND(x, 4) AS value, CASE WHEN x IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status
 FROM cw LEFT JOIN (SELECT event_id, x, y, plen AS plen_ FROM bx_) b ON b.event_id = cw.event_id"""))
 def player_in_own_box(spark, sf):
-    r = P.evaluate(box_candidates(spark, sf), P.player_in_own_box, P.WindowPolicy(), lake.tracking(spark, sf))
+    r = P.evaluate(box_candidates(spark, sf), P.player_in_own_box(), P.WindowPolicy(), lake.tracking(spark, sf))
     return r.select("event_id", "matched", F.round("value", 4).alias("value"), "status")
 
 
@@ -350,7 +350,7 @@ FROM (SELECT (b.x < -(plen / 2 - 16.5) AND ABS(b.y) <= 20.16) = (cd.x_start < -(
 def source_agreement(spark, sf):
     m = D.matches(spark, sf).select("match_id", "pitch_length")
     cand = box_candidates(spark, sf)
-    r = P.evaluate(cand, P.player_in_own_box, P.WindowPolicy(), lake.tracking(spark, sf))
+    r = P.evaluate(cand, P.player_in_own_box(), P.WindowPolicy(), lake.tracking(spark, sf))
     return P.agreement(r.join(m, "match_id"))
 
 
