@@ -68,7 +68,7 @@ def make_events(mid):
     """Rows of the event file: every 4th frame one possession row, in between the other types."""
     rows, types = [], ["player_possession", "passing_option", "off_ball_run", "on_ball_engagement"]
     last_pp = None
-    home_goals = {180, 520}
+    home_goals = {180}          # a second one would lie within the look-back of the first
     for n, frame in enumerate(range(11, 2 * HALF - 10, 3)):
         side = (n // 6) % 2
         kind = types[n % 4]
@@ -134,10 +134,10 @@ def write_bronze(root: Path) -> str:
                 if mid == 101:
                     time["sequences"] = [{"start_frame": start, "end_frame": end}]
                 players.append({"id": player_id(mid, side, i), "team_id": team, "number": i + 1, "short_name": f"P{i}", "start_time": "00:10:00" if i >= 11 else "00:00:00",
-                                "goal": 2 if (side == 0 and i == 10) else 0, "own_goal": 0, "player_role": {"acronym": pos}, "playing_time": time})
+                                "goal": int(side == 0 and i == 10), "own_goal": 0, "player_role": {"acronym": pos}, "playing_time": time})
         players.append({"id": mid * 100 + 99, "team_id": home, "number": 99, "short_name": "Bench", "start_time": None, "goal": None, "own_goal": None,
                         "player_role": {"acronym": "SUB"}, "playing_time": {"sequences": [], "total": None}})
-        match = {"id": mid, "home_team": {"id": home, "short_name": "H"}, "away_team": {"id": away, "short_name": "A"}, "home_team_score": 2, "away_team_score": 0,
+        match = {"id": mid, "home_team": {"id": home, "short_name": "H"}, "away_team": {"id": away, "short_name": "A"}, "home_team_score": 1, "away_team_score": 0,
                  "pitch_length": length, "pitch_width": width, "date_time": "2024-05-01T15:00:00Z", "stadium": {"name": "S"},
                  "match_periods": [{"period": 1, "start_frame": 1, "end_frame": HALF}, {"period": 2, "start_frame": HALF + 1, "end_frame": 2 * HALF}], "players": players}
         (folder / f"{mid}_match.json").write_text(json.dumps(match, indent=1))
