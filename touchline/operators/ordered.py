@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def block_of(position: Column | str, width: float) -> Column:
@@ -22,6 +23,15 @@ def block_of(position: Column | str, width: float) -> Column:
     return F.floor(F.col(position) / F.lit(width) if isinstance(position, str) else position / F.lit(width))
 
 
+def tie_level(df: DataFrame, tiebreak: str, width: int = 65_536, prefix: int = 8) -> Column:
+    """Order-preserving coarse key of a tiebreak column: a range of numbers or the start of a text.
+
+    As the finest level it keeps even a single position that holds most of the rows out of one task.
+    """
+    kind = df.schema[tiebreak].dataType
+    return block_of(tiebreak, width) if isinstance(kind, T.NumericType) else F.substring(F.col(tiebreak).cast("string"), 1, prefix)
+
+
 # --------------------------------------------------------------------------------------
 # running sums
 # --------------------------------------------------------------------------------------

@@ -260,13 +260,16 @@ def player_baselines(frames: DataFrame, matches: DataFrame, players: DataFrame,
     """Median defending position and its median absolute deviation per (match, player)."""
     by = ["match_id", "player_id", "team_id"]
     at = defending_positions(frames, matches, players, signs)
-    mid = {}
-    for axis in ("x", "y"):
-        mid[axis] = exact_percentiles(at, by, axis, {f"base_{axis}": 0.5}, level)
-    base = mid["x"].join(mid["y"].drop("n"), by).withColumnRenamed("n", "n_frames").where(F.col("n_frames") >= min_frames)
-    off = at.join(base, by).select(*by, *[F.abs(F.col(a) - F.col(f"base_{a}")).alias(f"d{a}") for a in ("x", "y")])
-    out = base
-    for axis in ("x", "y"):
-        out = out.join(exact_percentiles(off, by, f"d{axis}", {f"spread_{axis}": 0.5}, level).drop("n"), by)
-    return out.join(players.select("match_id", "player_id", "position"), ["match_id", "player_id"], "left").select(
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("x", "y")])
+    long = at.select(*by, F.explode(axes).alias("a")).select(*by, F.col("a.axis").alias("axis"), F.col("a.v").alias("v"))
+    mid = exact_percentiles(long, [*by, "axis"], "v", {"base": 0.5}, level).where(F.col("n") >= min_frames)
+    off = long.join(mid, [*by, "axis"]).select(*by, "axis", F.abs(F.col("v") - F.col("base")).alias("d"))
+    spread = exact_percentiles(off, [*by, "axis"], "d", {"spread": 0.5}, level).drop("n")
+
+    def of(axis: str, c: str) -> Column:
+        return F.max(F.when(F.col("axis") == axis, F.col(c))).alias(f"{c}_{axis}")
+
+    wide = mid.join(spread, [*by, "axis"]).groupBy(*by).agg(
+        F.max("n").alias("n_frames"), of("x", "base"), of("y", "base"), of("x", "spread"), of("y", "spread"))
+    return wide.join(players.select("match_id", "player_id", "position"), ["match_id", "player_id"], "left").select(
         "match_id", "player_id", "team_id", "position", "n_frames", "base_x", "base_y", "spread_x", "spread_y")
