@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import exact_percentiles
@@ -43,14 +43,14 @@ def seeded_sample(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataF
 
 def summary(df: DataFrame, value: str, probs: Mapping[str, float], level_width: float, by: Sequence[str] = ()) -> DataFrame:
     """count, mean, std, min, exact percentiles and max of a measure."""
-    keys = list(by) or ["__all"]
-    base = df if by else df.withColumn("__all", F.lit(1))
-    stats = base.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+    by = list(by)
+    stats = df.where(F.col(value).isNotNull()).groupBy(*by).agg(
         F.count(F.lit(1)).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))
-    pct = exact_percentiles(base, keys, value, probs, level_width).drop("n")
-    out = stats.join(pct, keys).select(*keys, "count", "mean", "std", "min", *probs, "max")
-    return out if by else out.drop("__all")
+    pct = exact_percentiles(df, by, value, probs, level_width).drop("n")
+    names = ["count", "mean", "std", "min", *probs, "max"]
+    both = stats.unionByName(pct, allowMissingColumns=True)
+    return both.groupBy(*by).agg(*[F.max(c).alias(c) for c in names])
 
 
 def band_histogram(df: DataFrame, value: str, bands: Sequence[tuple[str, float]], by: Sequence[str] = ()) -> DataFrame:
@@ -59,8 +59,5 @@ def band_histogram(df: DataFrame, value: str, bands: Sequence[tuple[str, float]]
     for name, lower in bands:
         label = F.when(F.col(value) >= lower, F.lit(name)).otherwise(label)
     counts = df.withColumn("band", label).where(F.col("band").isNotNull()).groupBy(*by, "band").agg(F.count(F.lit(1)).alias("n"))
-    keys = list(by) or ["__all"]
-    counts = counts if by else counts.withColumn("__all", F.lit(1))
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("__total"))
-    out = counts.join(total, keys).withColumn("share", F.col("n") / F.col("__total")).drop("__total")
-    return out if by else out.drop("__all")
+    # one row per group and band is left, so the total is a window over a handful of rows
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))

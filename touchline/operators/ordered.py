@@ -287,13 +287,10 @@ def exact_percentiles(
     Counts per distinct value are combined map-side, accumulated by blocks of ``level_width``, and only
     the two order statistics next to each rank survive to the final aggregate.
     """
-    if not by:
-        one = exact_percentiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, level_width)
-        return one.drop("__all")
     by = list(by)
     cum = value_counts(df, by, value, level_width)
     total = cum.groupBy(*by).agg(F.max("cum").alias("__total"))
-    ranked = cum.join(total, by)
+    ranked = cum.join(total, by) if by else cum.withColumn("__total", total.scalar())
     aggs = [F.max("__total").alias("n")]
     keep = F.lit(False)
     for name, p in probs.items():
