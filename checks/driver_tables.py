@@ -259,18 +259,19 @@ def positions_cte() -> str:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from touchline.operators.ordered import row_index
-    day = F.date_diff("l_shipdate", F.lit("1970-01-01").cast("date"))
+    from touchline.operators.ordered import row_index, tie_level
+    month = F.floor(F.date_diff("l_shipdate", F.lit("1970-01-01").cast("date")) / 30)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    numbered = row_index(lines, ["l_suppkey"], [F.floor(day / 30), day], LINE_ORDER, "frame")
+    levels = [month, F.col("l_shipdate"), tie_level(lines, LINE_ORDER[0])]
+    numbered = row_index(lines, ["l_suppkey"], levels, LINE_ORDER, "frame")
     return numbered.selectExpr(*[f"{e} AS {n}" for n, e in POSITION_COLUMNS.items()])
 
 
 def ball(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from touchline.operators.ordered import row_index
-    day = F.date_diff("o_orderdate", F.lit("1970-01-01").cast("date"))
+    from touchline.operators.ordered import row_index, tie_level
+    month = F.floor(F.date_diff("o_orderdate", F.lit("1970-01-01").cast("date")) / 30)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr("*", f"{fl('o_custkey / 360e0')} AS m")
-    numbered = row_index(orders, ["m"], [F.floor(day / 30), day], ["o_orderkey"], "frame")
+    numbered = row_index(orders, ["m"], [month, F.col("o_orderdate"), tie_level(orders, "o_orderkey")], ["o_orderkey"], "frame")
     return numbered.selectExpr(*[f"{e} AS {n}" for n, e in BALL_COLUMNS.items()])
 
 

@@ -78,11 +78,11 @@ SELECT oc.entity, oc.chain, COUNT(*) AS n_rows, ROUND(SUM(l_quantity), 2) AS qua
 FROM lineitem LEFT JOIN oc ON oc.o_orderkey = l_orderkey GROUP BY oc.entity, oc.chain""")
 def parent_propagation(spark, sf):
     from touchline.operators.joins import left_lookup
-    from touchline.operators.ordered import running_sum
+    from touchline.operators.ordered import running_sum, tie_level
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(
         "o_orderkey", (F.col("o_custkey") % 50).alias("entity"), F.col("o_orderstatus"), "o_orderdate")
-    day = F.date_diff("o_orderdate", F.lit("1970-01-01").cast("date"))
-    numbered = running_sum(orders, ["entity"], [F.floor(day / 30), day], ["o_orderdate", "o_orderkey"],
+    month = F.floor(F.date_diff("o_orderdate", F.lit("1970-01-01").cast("date")) / 30)
+    numbered = running_sum(orders, ["entity"], [month, F.col("o_orderdate"), tie_level(orders, "o_orderkey")], ["o_orderkey"],
                            {"chain": (F.col("o_orderstatus") == "F").cast("int")})
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_quantity")
     joined = left_lookup(lines, numbered.select(F.col("o_orderkey").alias("pk"), "entity", "chain", "o_orderkey"),

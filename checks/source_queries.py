@@ -7,7 +7,6 @@ from checks import driver_tables as D
 from checks import lake
 from checks import oracle as O
 from checks.registry import query
-from touchline.plans import lake as L
 from touchline.sources import conform as C
 from touchline.sources import gates as G
 
@@ -66,7 +65,3 @@ def tracked_matches(spark, sf):
 def frame_inventory(spark, sf):
     return lake.frame_index(spark, sf).groupBy("match_id").agg(F.max("req").alias("n_frames"), F.max("use").alias("n_usable"))
 
-
-@query("base_positions")
-def base_positions(spark, sf):
-    return L.base_positions(lake.baselines(spark, sf))

@@ -104,9 +104,52 @@ def observed_values(spark, sf):
     return C.observed_values(D.events(spark, sf), VALUE_COLUMNS)
 
 
-@query("field_vocabulary")
+VOCAB_GROUPS = {"event_type": ("end_type", "carry", "pass_range"), "spatial": ("third_start", "x_start", "last_line_break", "penalty_area_start"),
+                "sequence": ("pressing_chain", "pressing_chain_length"), "player": ("player_position", "number")}
+VOCAB_KIND = {"end_type": "enum", "carry": "bool", "pass_range": "enum", "third_start": "enum", "x_start": "numeric", "last_line_break": "bool",
+              "penalty_area_start": "bool", "pressing_chain": "bool", "pressing_chain_length": "numeric", "player_position": "enum"}
+
+
+def _vocabulary_sql() -> str:
+    rows = []
+    for group, columns in VOCAB_GROUPS.items():
+        for c in columns:
+            if c not in VOCAB_KIND:
+                continue
+            values = (f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT lower(CAST({c} AS VARCHAR)) AS v FROM ev WHERE {c} IS NOT NULL))"
+                      if VOCAB_KIND[c] == "enum" else "''")
+            types = (f"(SELECT string_agg(event_type, '|' ORDER BY event_type) FROM (SELECT event_type FROM ev GROUP BY event_type "
+                     f"HAVING COUNT({c}) * 1.0e0 / COUNT(*) > 0.01))")
+            rows.append(f"SELECT '{group}' AS field_group, '{c}' AS \"column\", '{VOCAB_KIND[c]}' AS kind, {values} AS vals, {types} AS types")
+    return O.with_base(select=" UNION ALL ".join(rows))
+
+
+@query("field_vocabulary", _vocabulary_sql())
 def field_vocabulary(spark, sf):
-    return C.field_vocabulary(D.events(spark, sf))
+    v = C.field_vocabulary(D.events(spark, sf), VOCAB_GROUPS)
+    return v.select("field_group", "column", "kind", F.array_join("values", "|").alias("vals"), F.array_join("event_types", "|").alias("types"))
+
+
+PROXY_SQL = {
+    "through_ball": "COALESCE(first_line_break, FALSE)",
+    "game_management": "COALESCE(minute_start >= 80, FALSE) AND COALESCE(start_type IN ('throw_in_reception', 'keep_possession'), FALSE)",
+    "duel_won": None,      # the stand-in is never populated on possession rows, so it is not applied
+    "numerical_advantage": "COALESCE(n_opponents_ahead_end = 0, FALSE)",
+}
+
+
+@query("proxy_filters", O.with_base("p AS (SELECT * FROM ev WHERE event_type = 'player_possession')", select=" UNION ALL ".join(
+    f"SELECT '{c}' AS concept, {str(w is not None).upper()} AS disclosed, COUNT(*) FILTER (WHERE {w or 'TRUE'}) AS rows FROM p" for c, w in PROXY_SQL.items())))
+def proxy_filters(spark, sf):
+    ev = D.events(spark, sf)
+    checks = C.FieldChecks.of(ev.select("event_type", "match_id", "first_line_break", "minute_start", "start_type", "pressing_chain_end_type", "n_opponents_ahead_end"))
+    out = None
+    for concept in [c for c in K.CONCEPTS if c.name in PROXY_SQL]:
+        specs, disclosed, _ = K.apply_proxies([PP_ONLY], [concept], [S.PP], checks)
+        row = X.execute(ev, specs).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(concept.name).alias("concept"), F.lit(bool(disclosed)).alias("disclosed"), "rows")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 CHECKED = [
@@ -115,13 +158,16 @@ CHECKED = [
     {"column": "no_such_column", "op": "eq", "value": 1}, {"column": "x_start", "op": "gt", "value": 0}]
 
 
+PP_ROWS = "event_type = 'player_possession'"
+
+
 @query("validated_filters", O.with_base(select=f"""
-SELECT 'carry' AS "column", EXISTS (SELECT 1 FROM ev WHERE {{pp}} AND carry) AS usable
-UNION ALL SELECT 'give_and_go', EXISTS (SELECT 1 FROM ev WHERE {{pp}} AND give_and_go)
-UNION ALL SELECT 'end_type', EXISTS (SELECT 1 FROM ev WHERE {{pp}} AND end_type IN ('shot', 'nothing'))
-UNION ALL SELECT 'end_type', EXISTS (SELECT 1 FROM ev WHERE {{pp}} AND end_type = 'nothing')
+SELECT 'carry' AS "column", EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND carry) AS usable
+UNION ALL SELECT 'give_and_go', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND give_and_go)
+UNION ALL SELECT 'end_type', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND end_type IN ('shot', 'nothing'))
+UNION ALL SELECT 'end_type', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND end_type = 'nothing')
 UNION ALL SELECT 'no_such_column', FALSE
-UNION ALL SELECT 'x_start', EXISTS (SELECT 1 FROM ev WHERE {{pp}} AND x_start IS NOT NULL)""".replace("{pp}", "event_type = 'player_possession'").replace("{event_type", "event_type").replace("possession'}", "possession'")))
+UNION ALL SELECT 'x_start', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND x_start IS NOT NULL)"""))
 def validated_filters(spark, sf):
     columns = ["event_type", "match_id", "carry", "give_and_go", "end_type", "x_start"]
     return C.explain_filters(D.events(spark, sf).select(*columns), CHECKED, S.PP).select("column", F.col("problem").isNull().alias("usable"))

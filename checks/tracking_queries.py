@@ -8,6 +8,7 @@ from checks import lake
 from checks import oracle as O
 from checks.registry import query
 from touchline.plans import enrich as E
+from touchline.plans import lake as L
 from touchline.plans import predicates as P
 from touchline.plans import tracking as T
 
@@ -76,9 +77,11 @@ def sign_vote(spark, sf):
     return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=None).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("sign_vote_sampled")
+@query("sign_vote_sampled", O.with_base(POS, D.tracked_events_cte(), VOTES, select="SELECT match_id, team_id, period, sign FROM sv"))
 def sign_vote_sampled(spark, sf):
-    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=40)
+    """Forty events per group decide the sign as all of them do."""
+    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=40).select(
+        "match_id", "team_id", "period", "sign")
 
 
 @query("sign_problems", O.with_base(POS, select="""
@@ -143,6 +146,12 @@ def baseline_median_mad(spark, sf):
     return lake.baselines(spark, sf).withColumns({c: F.round(c, 4) for c in ("base_x", "base_y", "spread_x", "spread_y")})
 
 
+@query("base_positions", O.with_base(POS, BASELINE_SQL, select="""
+SELECT position, COUNT(*) AS players, ROUND(QUANTILE_CONT(base_x, 0.5), 4) AS median_x FROM bl WHERE position IS NOT NULL GROUP BY position"""))
+def base_positions(spark, sf):
+    return L.base_positions(lake.baselines(spark, sf)).select("position", "players", F.round("median_x", 4).alias("median_x"))
+
+
 # --------------------------------------------------------------------------------------
 # predicates
 # --------------------------------------------------------------------------------------
