@@ -57,6 +57,11 @@ def frame_index(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "frame_index", lambda: T.frame_index(frames(spark, sf), BLOCK))
 
 
+def tracked_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose coordinates come from tracking."""
+    return table(spark, sf, "tracked_events", lambda: D.tracked_events(spark, sf))
+
+
 def matches(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "matches", lambda: D.matches(spark, sf))
 

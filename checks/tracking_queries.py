@@ -74,13 +74,13 @@ sv AS (SELECT match_id, team_id, period, CASE WHEN p + n = 0 THEN 0 WHEN p >= n
 
 @query("sign_vote", O.with_base(POS, D.tracked_events_cte(), VOTES, select="SELECT * FROM sv"))
 def sign_vote(spark, sf):
-    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=None).withColumn("confidence", F.round("confidence", 6))
+    return T.vote_signs(lake.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=None).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("sign_vote_sampled", O.with_base(POS, D.tracked_events_cte(), VOTES, select="SELECT match_id, team_id, period, sign FROM sv"))
 def sign_vote_sampled(spark, sf):
     """Forty events per group decide the sign as all of them do."""
-    return T.vote_signs(D.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=40).select(
+    return T.vote_signs(lake.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=40).select(
         "match_id", "team_id", "period", "sign")
 
 
@@ -336,7 +336,7 @@ bx_ AS (SELECT cw.event_id, wp.x, wp.y, wp.plen FROM cw JOIN wp ON wp.event_id =
 
 
 def box_candidates(spark, sf):
-    ev = D.tracked_events(spark, sf).where(F.col("x_start").isNotNull())
+    ev = lake.tracked_events(spark, sf).where(F.col("x_start").isNotNull())
     return E.add_zone_flags(ev.withColumns({c: F.lit(None).cast("double") for c in ("x_end", "y_end", "player_targeted_x_reception", "player_targeted_y_reception")}),
                             D.matches(spark, sf)).select(*ev.columns, "own_penalty_area_start")
 

@@ -63,14 +63,15 @@ def fetch_sampled(windows: DataFrame, frames: DataFrame, n: int, lo: str = "lo",
 
 
 def frame_index(frames: DataFrame, block: int = 3000) -> DataFrame:
-    """Running counts of frames (``req``) and usable frames (``use``) at each frame of a match.
+    """Running counts of frames (``req``) and usable frames (``use``) at each frame, with the ball.
 
-    Written once per lake: window coverage and the list of tracked matches read this narrow table
-    and never touch the frames themselves.
+    Written once per lake: window coverage, the list of tracked matches and everything that needs
+    only the ball read this narrow table and never touch the player arrays.
     """
-    points = frames.select("match_id", "frame", usable().cast("long").alias("__u"))
-    totals = running_sum(points, ["match_id"], [block_of("frame", block)], ["frame"], {"req": F.lit(1), "use": F.col("__u")})
-    return totals.select("match_id", "frame", "req", "use")
+    points = frames.select("match_id", "frame", "ball_x", "ball_y", usable().alias("usable"))
+    counts = {"req": F.lit(1), "use": F.col("usable").cast("long")}
+    totals = running_sum(points, ["match_id"], [block_of("frame", block)], ["frame"], counts)
+    return totals.select("match_id", "frame", "req", "use", "usable", "ball_x", "ball_y")
 
 
 def coverage(windows: DataFrame, index: DataFrame, lo: str = "lo", hi: str = "hi", axis: DataFrame | None = None) -> DataFrame:
@@ -118,10 +119,12 @@ def signed_players(players: str | Column, sign: Column, detected_only: bool = Fa
 
 def to_event_frame(frames: DataFrame, sign: Column) -> DataFrame:
     """Signed players and ball; a ball without both coordinates is no ball."""
+    return signed_ball(frames, sign).withColumn("players", signed_players("players", sign))
+
+
+def signed_ball(frames: DataFrame, sign: Column) -> DataFrame:
     seen = F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull()
-    return frames.withColumns({
-        "players": signed_players("players", sign),
-        "ball_x": F.when(seen, F.col("ball_x") * sign), "ball_y": F.when(seen, F.col("ball_y") * sign)})
+    return frames.withColumns({"ball_x": F.when(seen, F.col("ball_x") * sign), "ball_y": F.when(seen, F.col("ball_y") * sign)})
 
 
 def detection_rate(players: str | Column = "players") -> Column:
