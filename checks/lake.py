@@ -20,6 +20,8 @@ _written: dict = {}
 
 def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 

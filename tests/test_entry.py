@@ -12,3 +12,16 @@ def test_every_oracle_belongs_to_a_query():
 def test_flagship_runs(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "team_possession_id" in df.columns
+
+
+def test_no_plan_pairs_everything_with_everything(spark):
+    for name in ("band_histogram", "distribution_summary", "chain_columns", "goal_timeline", "greedy_marker_collapse", "phase_shape", "result_set_verdict", "concept_tags"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan, name
+
+
+def test_first_per_key_is_pruned_before_the_shuffle(spark):
+    from touchline.plans.predicates import first_per
+    df = spark.range(1000).selectExpr("id % 3 as k", "id as frame_start", "id as event_id")
+    plan = first_per(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2

@@ -1,5 +1,4 @@
 """Raw files to silver and gold on the fixture matches, and one broken copy per gate."""
-import shutil
 
 import pytest
 from pyspark.sql import functions as F
