@@ -33,8 +33,10 @@ UNSETTLED = regex.compile(r"[^\x00-ԯ‐-‧一-龥가-힣]")
 SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 #: A tokenizer file larger than this is refused: its content is broadcast.
 MAX_FILE_BYTES = 64 << 20
+#: Bytes of text that a worker handles at a time.
+BATCH_BYTES = 4 << 20
 #: Pieces whose ids a worker remembers; the memory of a worker does not grow with the corpus.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 
 
 def byte_of_character() -> dict[str, int]:
@@ -158,42 +160,54 @@ def load(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``ids`` array<int> of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(load(tokenizer_path))
+def _ids(c: Codec, texts: pa.Array) -> pa.ListArray:
+    found = [c.encode(value.as_py()) for value in texts]
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def _texts(c: Codec, lists: pa.ListArray) -> pa.Array:
+    return pa.array([c.decode(value.values.to_pylist()) if value.is_valid else None for value in lists], pa.string())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _map(df: DataFrame, tokenizer_path: str, added: dict[str, str], run) -> DataFrame:
+    """``df`` with the columns ``added`` (name to type), which ``run(codec, batch)`` gives as arrays."""
+    shared = df.sparkSession.sparkContext.broadcast(load(tokenizer_path))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared)
-        for batch in small_batches(batches):
-            ids_of = [c.encode(value.as_py()) for value in batch.column("_text")]
-            ends = np.cumsum([0, *map(len, ids_of)], dtype=np.int64) // 4
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(ids_of), np.int32)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], names=[*batch.schema.names[:-1], ids])
+        for batch in small_batches(batches, BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *run(c, batch)], names=[*batch.schema.names, *added])
+
+    known = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.mapInArrow(mapped, ", ".join(f"`{name}` {kind}" for name, kind in (known | added).items()))
 
+
+def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``ids`` array<int> of every whole text."""
     source = docs.select(*keep, whole_text(text).alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), f"`{ids}` array<int>"])
-    return source.mapInArrow(run, schema)
+    return _map(source, tokenizer_path, {ids: "array<int>"}, lambda c, batch: [_ids(c, batch.column("_text"))]).drop("_text")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
-    """``encoded`` with the text of its ids added."""
-    shared = encoded.sparkSession.sparkContext.broadcast(load(tokenizer_path))
+    """``encoded`` with the text of its ids added; null ids have no text."""
+    return _map(encoded, tokenizer_path, {text: "string"}, lambda c, batch: [_texts(c, batch.column(ids))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared)
-        for batch in small_batches(batches):
-            lists = batch.column(batch.schema.get_field_index(ids))
-            flat, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
-            texts = [c.decode(flat[a:b]) for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields), f"`{text}` string"])
-    return encoded.mapInArrow(run, schema)
+def round_trip(docs: DataFrame, tokenizer_path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep``, token_ids of every whole text, and decoded: what these ids decode to, in one pass."""
+
+    def run(c: Codec, batch: pa.RecordBatch) -> list:
+        lists = _ids(c, batch.column("_text"))
+        return [lists, _texts(c, lists)]
+
+    source = docs.select(*keep, whole_text(text).alias("_text"))
+    return _map(source, tokenizer_path, {"token_ids": "array<int>", "decoded": "string"}, run).drop("_text")
 
 
 def digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode(encode(docs, tokenizer_path), tokenizer_path)
+    both = round_trip(docs, tokenizer_path)
     joined = F.concat_ws(",", F.col("token_ids").cast("array<string>"))
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
                        F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
