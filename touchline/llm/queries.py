@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe
+from touchline.llm import bpe, decontaminate, quality_rules, simhash, substring
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,23 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op1_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality_rules.verdicts(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op3_substring(spark: SparkSession, sf: str) -> DataFrame:
+    return substring.digests(table(spark, sf, "documents"))
+
+
+@query
+def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.digests(table(spark, sf, "documents"))
+
+
+@query
+def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.digests(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
