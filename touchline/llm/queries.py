@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, decontaminate, quality_rules, simhash, substring
+from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, toxicity
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,13 @@ def op4_simhash(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op7_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.digests(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op5_compression(spark: SparkSession, sf: str) -> DataFrame:
+    return compression.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
