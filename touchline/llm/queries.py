@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, toxicity
+from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, toxicity, urls, warc
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,17 @@ def op5_compression(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archive(table(spark, sf, "pages"))
+
+
+#: The rules of the URL filter query.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query
+def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), URL_RULES)
