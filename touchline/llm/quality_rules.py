@@ -95,13 +95,12 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label:
     """(_stratum, one column per rule): the chosen cutoffs, null where a rule has none."""
     good = labels.where(F.col(label) == 1).select(F.col(key).alias("_label_id")).distinct()
     held = measured.where("not _base_failed").select(F.col(key).alias("_label_id"), "_stratum", *[f"_{r}" for r in RULES]).join(good, "_label_id", "left_semi")
-    counts = held.groupBy("_stratum").agg(F.count("*").alias("n"), *[
-        F.sum((F.col(f"_{rule}") > cut).cast("long")).alias(f"{rule}_{i}") for rule in RULES for i, cut in enumerate(CUTOFFS)])
+    counts = scratch(held.groupBy("_stratum").agg(F.count("*").alias("n"), *[
+        F.sum((F.col(f"_{rule}") > cut).cast("long")).alias(f"{rule}_{i}") for rule in RULES for i, cut in enumerate(CUTOFFS)]), "strata")
     tests = counts.select("_stratum", "n", F.explode(F.array(*[
         F.struct(F.lit(rule).alias("rule"), F.lit(i).alias("step"), F.lit(cut).alias("cut"), F.col(f"{rule}_{i}").alias("k"))
         for rule in RULES for i, cut in enumerate(CUTOFFS)])).alias("t")).select("_stratum", "n", "t.*")
-    strata = counts.agg(F.greatest(F.count("*"), F.lit(1)).alias("strata"))
-    tested = tests.join(F.broadcast(strata)).withColumn("stands", at_most("k", "n", alpha / len(RULES)) <= delta / (F.col("strata") * len(RULES)))
+    tested = tests.withColumn("stands", at_most("k", "n", alpha / len(RULES)) <= delta / (max(1, counts.count()) * len(RULES)))
     run = Window.partitionBy("_stratum", "rule").orderBy("step")
     standing = tested.withColumn("stands", F.min("stands").over(run)).where("stands")
     return standing.groupBy("_stratum").agg(*[F.min(F.when(F.col("rule") == rule, F.col("cut"))).alias(f"_max_{rule}") for rule in RULES])
