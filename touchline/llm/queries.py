@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, toxicity, urls, warc
+from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, suffix_tree, toxicity, urls, warc
 from touchline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 @query
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return urls.judge(table(spark, sf, "pages"), URL_RULES)
+
+
+@query
+def op8_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_tree.digests(table(spark, sf, "documents"))
