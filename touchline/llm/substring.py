@@ -17,8 +17,8 @@ under its own anchors.
    factor are among those looked up, so no duplicate is lost at a factor boundary.  The words of
    factors (50 or more) are the duplicate spans.
 
-Both look-ups are minima per key, combined before the shuffle, and a join back on the key, which Spark
-splits where a key is hot.  No group is gathered, no pairs are made: the work follows the number of
+Both look-ups are minima per key, combined before the shuffle and written, and a join back on the key, which
+Spark splits where a key is hot.  A block is known by 128 hash bits, a window by 96.  No group is gathered, no pairs are made: the work follows the number of
 blocks, and of windows in blocks with variants.
 
 Defined results: windows are judged on the input.  A null text has no words.  A document without an id
@@ -80,7 +80,7 @@ def document_blocks(documents: list[list[bytes]], window: int, gram: int):
 
 
 def blocks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """anchor, digest, id, row (hash of the text), first window and number of windows of every block."""
+    """anchor, digest, id, row (tells rows that share an id apart), first window and number of windows of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, 4 << 20):
@@ -100,7 +100,7 @@ def references(found: DataFrame) -> DataFrame:
     """Blocks with a reference: all equal (``whole``), or with variants that differ somewhere."""
     index = (found.groupBy("anchor").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.min("digest").alias("a"), F.max("digest").alias("b"))
              .where("least < most").select("anchor", "least", (F.col("a") == F.col("b")).alias("whole")))
-    return found.join(index, "anchor").where("id > least or not whole").select("id", "row", "first", "windows", "whole")
+    return found.join(scratch(index, "index"), "anchor").where("id > least or not whole").select("id", "row", "first", "windows", "whole")
 
 
 def window_references(docs: DataFrame, varied: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -114,14 +114,14 @@ def window_references(docs: DataFrame, varied: DataFrame, window: int = WINDOW)
                 x = numbers(words)
                 one, two = Rolling(x[0], 0), Rolling(x[1], 1)
                 at = np.unique(np.concatenate([np.arange(s["first"], s["first"] + s["windows"]) for s in spans.as_py()]))
-                parts.append((one.of(at, window).view(np.int64), two.of(at, window).view(np.int64), np.full(len(at), key.as_py()), np.full(len(at), row.as_py()), at.astype(np.int32)))
+                parts.append((one.of(at, window).view(np.int64), (two.of(at, window) >> np.uint64(32)).astype(np.uint32).view(np.int32), np.full(len(at), key.as_py()), np.full(len(at), row.as_py()), at.astype(np.int32)))
             if parts:
                 yield arrow(["w1", "w2", "id", "row", "first"], [np.concatenate(c) for c in zip(*parts)])
 
     spans = varied.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "windows")).alias("_spans"))
     windows = scratch(docs.join(spans, ["_id", "_row"]).select("_id", "_row", "_text", "_spans")
-                      .mapInArrow(run, "w1 long, w2 long, id long, row long, first int"), "windows")
-    least = windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most")
+                      .mapInArrow(run, "w1 long, w2 int, id long, row long, first int"), "windows")
+    least = scratch(windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least")
     return windows.join(least, ["w1", "w2"]).where("id > least").select("id", "row", "first", F.lit(1).alias("windows"))
 
 
@@ -157,7 +157,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", win
                    keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, the columns ``keep``, n_words, factors, kept (text without them), n_removed and kept_sha256 of every document."""
     source = docs.select(F.col(key).alias("_id"), whole_text(text).alias("_text"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
-    source = source.withColumn("_row", F.xxhash64("_text"))
+    repeated = source.where("_id is not null").groupBy("_id").count().where("count > 1")
+    source = source.withColumn("_row", F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64("_text"))
     ref = scratch(references(scratch(blocks(source, window, gram), "blocks")), "references")
     single = window_references(source, ref.where("not whole"), window)
     spans = (ref.where("whole").drop("whole").unionByName(single).groupBy(F.col("id").alias("_id"), F.col("row").alias("_row"))
