@@ -195,8 +195,8 @@ def links(fps: DataFrame, blocks_per_anchor: int = 1, part: int = PART) -> DataF
             yield arrow(["a", "b"], [np.concatenate(c) for c in zip(*found)])
 
     placed = scratch(fps.select("fp").mapInArrow(replicate, "anchor long, home boolean, fp long"), "anchors")
-    sizes = (placed.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("settled"))
-             .where("n > 1 and settled").select("anchor", F.ceil(F.col("n") / part).cast("int").alias("parts")))
+    sizes = scratch(placed.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("settled"))
+             .where("n > 1 and settled").select("anchor", F.ceil(F.col("n") / part).cast("int").alias("parts")), "sizes")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     spread = (placed.join(sizes, "anchor").select("anchor", "home", "fp", own.alias("own"), F.explode(F.expr("sequence(0, parts - 1)")).alias("other"))
               .select("anchor", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "home", "fp"))
@@ -213,7 +213,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", blocks_per_
     roots = components(links(classes, blocks_per_anchor, part)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    named = scratch(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
 
