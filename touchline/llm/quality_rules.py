@@ -109,18 +109,21 @@ def cutoffs(measured: DataFrame, labels: DataFrame, key: str = "doc_id", label:
 def judge(measured: DataFrame, chosen: DataFrame) -> DataFrame:
     """``measured`` with ``_kept``."""
     limits = chosen.withColumnRenamed("_stratum", "_limit_of")
+    joined = measured.join(limits, F.col("_stratum").eqNullSafe(F.col("_limit_of")), "left").drop("_limit_of")
     passed = F.lit(True)
     for rule in RULES:
         passed = passed & F.coalesce(F.col(f"_{rule}") <= F.col(f"_max_{rule}"), F.lit(True))
-    joined = measured.join(limits, F.col("_stratum").eqNullSafe(F.col("_limit_of")), "left").drop("_limit_of")
     return joined.withColumn("_kept", ~F.col("_base_failed") & passed)
 
 
 def select(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that pass, unchanged."""
-    narrow = scratch(measures(docs.select(key, text, stratum), text, stratum).drop(text), "measures")
+    mark = F.xxhash64(whole_text(text))
+    narrow = scratch(measures(docs.select(key, text, stratum), text, stratum).withColumn("_mark", mark).drop(text), "measures")
     chosen = scratch(cutoffs(narrow, labels, key), "cutoffs")
-    return judge(measures(docs, text, stratum), chosen).where("_kept").select(*docs.columns)
+    kept = judge(narrow, chosen).where("_kept").select(F.col(key).alias("_kept_id"), F.col("_stratum").alias("_kept_stratum"), F.col("_mark").alias("_kept_mark")).distinct()
+    same = docs[key].eqNullSafe(F.col("_kept_id")) & docs[stratum].cast("string").eqNullSafe(F.col("_kept_stratum")) & (mark == F.col("_kept_mark"))
+    return docs.join(kept, same, "left_semi")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
