@@ -35,8 +35,8 @@ SPLIT_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-
 MAX_FILE_BYTES = 64 << 20
 #: Bytes of text that a worker handles at a time.
 BATCH_BYTES = 4 << 20
-#: Pieces whose ids a worker remembers; the memory of a worker does not grow with the corpus.
-REMEMBERED = 700_000
+#: Pieces in each of the two generations that a worker remembers; its memory does not grow with the corpus.
+REMEMBERED = 150_000
 
 
 def byte_of_character() -> dict[str, int]:
@@ -48,10 +48,14 @@ def byte_of_character() -> dict[str, int]:
 
 
 class Codec(dict):
-    """Encoder and decoder; as a dict it remembers the ids of pieces, as the bytes of 32-bit numbers."""
+    """Encoder and decoder; as a dict it remembers the ids of pieces, as the bytes of 32-bit numbers.
+
+    When the dict is full it becomes the older generation, and pieces met again move to the new one.
+    """
 
     def __init__(self, spec: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         spec = json.loads(spec)
         model = spec["model"]
         vocab = model["vocab"]
@@ -115,8 +119,9 @@ class Codec(dict):
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        ids = array("i", self.merge(piece.encode())).tobytes()
+        ids = self.older.get(piece) or array("i", self.merge(piece.encode())).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids

@@ -46,7 +46,7 @@ def arrow(names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``limit`` bytes, so that memory follows the longest text and not the batch length."""
     for batch in batches:
         if not batch.num_rows:
