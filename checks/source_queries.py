@@ -28,7 +28,7 @@ UNION ALL SELECT 'frame_order', 'fail', COUNT(*) FILTER (WHERE frame_end < frame
 UNION ALL SELECT 'duplicate_keys', 'fail', (SELECT COUNT(*) FROM e) - (SELECT COUNT(*) FROM (SELECT DISTINCT match_id, event_id FROM e))
 UNION ALL SELECT 'team_not_in_match', 'fail', COUNT(*) FROM (SELECT DISTINCT match_id, team_id FROM e) p WHERE NOT EXISTS
   (SELECT 1 FROM m WHERE m.match_id = p.match_id AND p.team_id IN (m.home_team_id, m.away_team_id))
-UNION ALL SELECT 'match_coverage', 'fail', ABS((SELECT COUNT(DISTINCT match_id) FROM e) - (SELECT COUNT(*) FROM m))""")
+UNION ALL SELECT 'match_coverage', 'fail', (SELECT COUNT(*) FROM (SELECT match_id FROM e WHERE match_id IS NOT NULL EXCEPT SELECT match_id FROM m)) + (SELECT COUNT(*) FROM (SELECT match_id FROM m EXCEPT SELECT match_id FROM e))""")
 def quality_gates(spark, sf):
     e = spark.read.parquet(f"{sf}/lineitem.parquet").selectExpr(*[f"{x} AS {n}" for n, x in LINE_EVENTS.items()])
     m = spark.read.parquet(f"{sf}/orders.parquet").selectExpr(*[f"{x} AS {n}" for n, x in ORDER_MATCHES.items()])
@@ -65,3 +65,25 @@ def tracked_matches(spark, sf):
 def frame_inventory(spark, sf):
     return lake.frame_index(spark, sf).groupBy("match_id").agg(F.max("req").alias("n_frames"), F.max("use").alias("n_usable"))
 
+
+@query("conform_numbers", """
+SELECT 'whole' AS "column", 'bigint' AS type, COUNT(*) FILTER (WHERE l_linenumber = 2) AS equal_two, COUNT(*) FILTER (WHERE l_linenumber >= 2) AS from_two FROM lineitem
+UNION ALL SELECT 'fraction', 'double', COUNT(*) FILTER (WHERE l_discount = 0.02), COUNT(*) FILTER (WHERE l_discount >= 0.02) FROM lineitem
+UNION ALL SELECT 'mixed', 'string', COUNT(*) FILTER (WHERE l_linenumber = 2), 0 FROM lineitem""")
+def conform_numbers(spark, sf):
+    """Numbers that arrive as text (also as ``2.0``) answer eq and gte filters."""
+    from touchline.functions import filters as X
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    text = lines.select(F.concat(F.col("l_linenumber").cast("string"), F.lit(".0")).alias("whole"), F.col("l_discount").cast("string").alias("fraction"),
+                        F.when(F.col("l_linenumber") == 2, "2").otherwise("other").alias("mixed"))
+    df = C.conform(text)
+    kind = {c: df.schema[c].dataType.simpleString() for c in df.columns}
+    out = None
+    for column, value in (("whole", 2), ("fraction", 0.02), ("mixed", "2")):
+        equal = X.execute(df, [{"column": column, "op": "eq", "value": value}])
+        row = equal.agg(F.count(F.lit(1)).alias("equal_two"))
+        least = X.execute(df, [{"column": column, "op": "gte", "value": value}]).agg(F.count(F.lit(1)).alias("n")) if column != "mixed" else df.agg(F.lit(0).cast("bigint").alias("n"))
+        both = row.select(F.lit(column).alias("column"), F.lit(kind[column]).alias("type"), "equal_two", F.lit(0).cast("bigint").alias("from_two")).unionByName(
+            least.select(F.lit(column).alias("column"), F.lit(kind[column]).alias("type"), F.lit(0).cast("bigint").alias("equal_two"), F.col("n").alias("from_two")))
+        out = both if out is None else out.unionByName(both)
+    return out.groupBy("column", "type").agg(F.sum("equal_two").alias("equal_two"), F.sum("from_two").alias("from_two"))

@@ -67,14 +67,13 @@ def zero_row_impossible(spark, sf):
     return X.explain_empty(D.events(spark, sf), IMPOSSIBLE)
 
 
-CATALOG_COLUMNS = ["event_id", "carry", "give_and_go", "targeted", "interplayer_distance", "end_type", "player_position",
-                   "pressing_chain_end_type", "second_last_line_break", "game_interruption_after", "n_opponents_ahead_end", "x_start"]
+CATALOG_COLUMNS = [c for c in D.EVENT_COLUMNS if not c.startswith("_")]
 
 
 def _catalog_sql() -> str:
     short = list(S.EVENT_TYPES)
     per = " UNION ALL ".join(
-        f"SELECT '{c}' AS \"column\", FALSE AS derived, "
+        f"SELECT '{c}' AS \"column\", {str(c in S.DERIVED_COLUMNS).upper()} AS derived, "
         + ", ".join(f"COALESCE(ROUND(100.0e0 * COUNT({c}) FILTER (WHERE event_type = '{t}') / NULLIF(COUNT(*) FILTER (WHERE event_type = '{t}'), 0), 1), 0) AS {t}" for t in short)
         + f", COUNT(DISTINCT CASE WHEN {c} IS NOT NULL THEN match_id END) AS matches_with_any, COUNT(DISTINCT match_id) AS matches FROM ev"
         for c in CATALOG_COLUMNS)
@@ -84,49 +83,45 @@ def _catalog_sql() -> str:
 
 @query("field_catalog", _catalog_sql())
 def field_catalog(spark, sf):
-    return C.field_catalog(D.events(spark, sf), CATALOG_COLUMNS)
+    return C.field_catalog(D.events(spark, sf))
 
 
 @query("availability", O.with_base(select=" UNION ALL ".join(
     f"SELECT '{c}' AS \"column\", event_type, ROUND(COUNT({c}) * 1.0e0 / COUNT(*), 6) AS share FROM ev GROUP BY event_type HAVING COUNT({c}) * 1.0e0 / COUNT(*) > 0.01"
-    for c in CATALOG_COLUMNS)))
+    for c in D.EVENT_COLUMNS)))
 def availability(spark, sf):
-    return C.availability(D.events(spark, sf), CATALOG_COLUMNS).withColumn("share", F.round("share", 6))
+    return C.availability(D.events(spark, sf)).withColumn("share", F.round("share", 6))
 
 
-VALUE_COLUMNS = ["carry", "give_and_go", "end_type", "player_position", "pressing_chain_end_type", "channel_start", "_pk", "game_state"]
+BOOLEANS = [c for c in D.EVENT_COLUMNS if c in S.EVENT_COLUMN_TYPES["boolean"]]
+LISTED = [c for c in D.EVENT_COLUMNS if c in S.ENUMERABLE]
 
 
-@query("observed_values", O.with_base(select="SELECT * FROM (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS \"column\", event_type, lower(CAST({c} AS VARCHAR)) AS value, COUNT(*) AS n, (SELECT COUNT(DISTINCT {c}) FROM ev) AS d FROM ev WHERE {c} IS NOT NULL GROUP BY 2, 3"
-    for c in VALUE_COLUMNS) + ") WHERE d <= 64").replace("SELECT * FROM (", "SELECT \"column\", event_type, value, n FROM (", 1))
+@query("observed_values", O.with_base(select=" UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", event_type, lower(CAST({c} AS VARCHAR)) AS value, COUNT(*) AS n FROM ev WHERE {c} IS NOT NULL GROUP BY 2, 3" for c in [*BOOLEANS, *LISTED])))
 def observed_values(spark, sf):
-    return C.observed_values(D.events(spark, sf), VALUE_COLUMNS)
-
-
-VOCAB_GROUPS = {"event_type": ("end_type", "carry", "pass_range"), "spatial": ("third_start", "x_start", "last_line_break", "penalty_area_start"),
-                "sequence": ("pressing_chain", "pressing_chain_length"), "player": ("player_position", "number")}
-VOCAB_KIND = {"end_type": "enum", "carry": "bool", "pass_range": "enum", "third_start": "enum", "x_start": "numeric", "last_line_break": "bool",
-              "penalty_area_start": "bool", "pressing_chain": "bool", "pressing_chain_length": "numeric", "player_position": "enum"}
+    return C.observed_values(D.events(spark, sf))
 
 
 def _vocabulary_sql() -> str:
     rows = []
-    for group, columns in VOCAB_GROUPS.items():
+    for group, columns in C.FIELD_GROUPS.items():
         for c in columns:
-            if c not in VOCAB_KIND:
+            if c not in D.EVENT_COLUMNS:
                 continue
-            values = (f"(SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT lower(CAST({c} AS VARCHAR)) AS v FROM ev WHERE {c} IS NOT NULL))"
-                      if VOCAB_KIND[c] == "enum" else "''")
-            types = (f"(SELECT string_agg(event_type, '|' ORDER BY event_type) FROM (SELECT event_type FROM ev GROUP BY event_type "
-                     f"HAVING COUNT({c}) * 1.0e0 / COUNT(*) > 0.01))")
-            rows.append(f"SELECT '{group}' AS field_group, '{c}' AS \"column\", '{VOCAB_KIND[c]}' AS kind, {values} AS vals, {types} AS types")
+            kind = "bool" if c in BOOLEANS else "enum" if c in LISTED else "text" if c in (*S.EVENT_COLUMN_TYPES["string"], "team_possession_id") else "numeric"
+            values = (f"COALESCE((SELECT string_agg(v, '|' ORDER BY v) FROM (SELECT DISTINCT lower(CAST({c} AS VARCHAR)) AS v FROM ev WHERE {c} IS NOT NULL)), '')"
+                      if kind == "enum" else "''")
+            types = (f"COALESCE((SELECT string_agg(event_type, '|' ORDER BY event_type) FROM (SELECT event_type FROM ev GROUP BY event_type "
+                     f"HAVING COUNT({c}) * 1.0e0 / COUNT(*) > 0.01)), '')")
+            only = f" WHERE EXISTS (SELECT 1 FROM ev WHERE {c})" if kind == "bool" else ""
+            rows.append(f"SELECT '{group}' AS field_group, '{c}' AS \"column\", '{kind}' AS kind, {values} AS vals, {types} AS types{only}")
     return O.with_base(select=" UNION ALL ".join(rows))
 
 
 @query("field_vocabulary", _vocabulary_sql())
 def field_vocabulary(spark, sf):
-    v = C.field_vocabulary(D.events(spark, sf), VOCAB_GROUPS)
+    v = C.field_vocabulary(D.events(spark, sf))
     return v.select("field_group", "column", "kind", F.array_join("values", "|").alias("vals"), F.array_join("event_types", "|").alias("types"))
 
 
@@ -142,7 +137,7 @@ PROXY_SQL = {
     f"SELECT '{c}' AS concept, {str(w is not None).upper()} AS disclosed, COUNT(*) FILTER (WHERE {w or 'TRUE'}) AS rows FROM p" for c, w in PROXY_SQL.items())))
 def proxy_filters(spark, sf):
     ev = D.events(spark, sf)
-    checks = C.FieldChecks.of(ev.select("event_type", "match_id", "first_line_break", "minute_start", "start_type", "pressing_chain_end_type", "n_opponents_ahead_end"))
+    checks = C.FieldChecks.of(ev)
     out = None
     for concept in [c for c in K.CONCEPTS if c.name in PROXY_SQL]:
         specs, disclosed, _ = K.apply_proxies([PP_ONLY], [concept], [S.PP], checks)
@@ -161,16 +156,22 @@ CHECKED = [
 PP_ROWS = "event_type = 'player_possession'"
 
 
-@query("validated_filters", O.with_base(select=f"""
-SELECT 'carry' AS "column", EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND carry) AS usable
-UNION ALL SELECT 'give_and_go', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND give_and_go)
-UNION ALL SELECT 'end_type', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND end_type IN ('shot', 'nothing'))
-UNION ALL SELECT 'end_type', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND end_type = 'nothing')
-UNION ALL SELECT 'no_such_column', FALSE
-UNION ALL SELECT 'x_start', EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND x_start IS NOT NULL)"""))
+def _reason_sql(column: str, values: str | None) -> str:
+    """The code of the first check that a filter on possession rows fails."""
+    share = f"SELECT event_type, COUNT({column}) * 1.0e0 / COUNT(*) AS s FROM ev GROUP BY event_type"
+    seen = f"WHEN NOT EXISTS (SELECT 1 FROM ev WHERE {PP_ROWS} AND lower(CAST({column} AS VARCHAR)) IN ({values})) THEN 'value_never_seen'" if values else ""
+    return (f"CASE WHEN NOT EXISTS (SELECT 1 FROM ({share}) WHERE s > 0.01) THEN 'empty_column' "
+            f"WHEN NOT EXISTS (SELECT 1 FROM ({share}) WHERE s > 0.01 AND {PP_ROWS}) THEN 'wrong_event_type' {seen} END")
+
+
+VALIDATED = [("carry", "'true'"), ("give_and_go", "'true'"), ("end_type", "'shot', 'nothing'"), ("end_type", "'nothing'"), ("x_start", None)]
+
+
+@query("validated_filters", O.with_base(select=" UNION ALL ".join(
+    [f"SELECT '{c}' AS \"column\", r AS problem, r IS NULL AS usable FROM (SELECT {_reason_sql(c, v)} AS r)" for c, v in VALIDATED]
+    + ["SELECT 'no_such_column', 'unknown_column', FALSE"])))
 def validated_filters(spark, sf):
-    columns = ["event_type", "match_id", "carry", "give_and_go", "end_type", "x_start"]
-    return C.explain_filters(D.events(spark, sf).select(*columns), CHECKED, S.PP).select("column", F.col("problem").isNull().alias("usable"))
+    return C.explain_filters(D.events(spark, sf), CHECKED, S.PP).select("column", "problem", F.col("problem").isNull().alias("usable"))
 
 
 TRUTH = [PP_ONLY, {"column": "end_type", "op": "eq", "value": "shot"}]

@@ -74,14 +74,13 @@ sv AS (SELECT match_id, team_id, period, CASE WHEN p + n = 0 THEN 0 WHEN p >= n
 
 @query("sign_vote", O.with_base(POS, D.tracked_events_cte(), VOTES, select="SELECT * FROM sv"))
 def sign_vote(spark, sf):
-    return T.vote_signs(lake.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=None).withColumn("confidence", F.round("confidence", 6))
+    return T.vote_signs(lake.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf)).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("sign_vote_sampled", O.with_base(POS, D.tracked_events_cte(), VOTES, select="SELECT match_id, team_id, period, sign FROM sv"))
 def sign_vote_sampled(spark, sf):
-    """Forty events per group decide the sign as all of them do."""
-    return T.vote_signs(lake.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf), samples=40).select(
-        "match_id", "team_id", "period", "sign")
+    """The signs alone; like ``sign_vote`` by the votes of all events."""
+    return T.vote_signs(lake.tracked_events(spark, sf), lake.frames(spark, sf), lake.frame_index(spark, sf)).select("match_id", "team_id", "period", "sign")
 
 
 @query("sign_problems", O.with_base(POS, select="""
@@ -143,7 +142,7 @@ bl AS (SELECT bm.*, sp.spread_x, sp.spread_y FROM bm JOIN (SELECT df.match_id, d
 @query("baseline_median_mad", O.with_base(POS, BASELINE_SQL, select="""
 SELECT match_id, player_id, team_id, position, n_frames, ROUND(base_x, 4) AS base_x, ROUND(base_y, 4) AS base_y, ROUND(spread_x, 4) AS spread_x, ROUND(spread_y, 4) AS spread_y FROM bl"""))
 def baseline_median_mad(spark, sf):
-    return lake.baselines(spark, sf).withColumns({c: F.round(c, 4) for c in ("base_x", "base_y", "spread_x", "spread_y")})
+    return lake.baselines(spark, sf).where("reliable").drop("reliable").withColumns({c: F.round(c, 4) for c in ("base_x", "base_y", "spread_x", "spread_y")})
 
 
 @query("base_positions", O.with_base(POS, BASELINE_SQL, select="""
@@ -317,14 +316,56 @@ def question_59(spark, sf):
     return tracked(spark, sf, 59).select("event_id", F.round("value", 3).alias("value"))
 
 
-@query("dragged_out_of_position")
+PULLING_CD = BEHIND_CD.format(sub="IN ('dropping_off','pulling_wide','pulling_half_space','coming_short')")
+DRAG = """
+ln_ AS (SELECT wp.event_id, wp.pid, ppos IN ('CB','LCB','RCB') AS back FROM wp JOIN ff ON ff.event_id = wp.event_id AND wp.frame = ff.f0
+       WHERE pteam <> team_id AND ppos IN ('CB','LCB','RCB','LB','RB','LWB','RWB')),
+dn_ AS (SELECT wp.event_id, wp.pid, wp.frame, wp.x, wp.y, ln_.back, bl.base_x, bl.base_y, COUNT(*) OVER (PARTITION BY wp.event_id, wp.pid) AS n FROM wp
+       JOIN ln_ ON ln_.event_id = wp.event_id AND ln_.pid = wp.pid LEFT JOIN bl ON bl.match_id = wp.match_id AND bl.player_id = wp.pid),
+dq_ AS (SELECT event_id, pid, frame, x, y, back, SQRT(POWER(-x - base_x, 2) + POWER(-y - base_y, 2)) AS off FROM dn_ WHERE n >= 12 AND base_x IS NOT NULL),
+rq_ AS (SELECT * FROM (SELECT wp.event_id, wp.frame, wp.x, wp.y, SQRT(POWER(wp.x - base_x, 2) + POWER(wp.y - base_y, 2)) AS off, COUNT(*) OVER (PARTITION BY wp.event_id) AS n
+       FROM wp LEFT JOIN bl ON bl.match_id = wp.match_id AND bl.player_id = wp.pid WHERE wp.pid = wp.player_id) WHERE n >= 12),
+ok_ AS (SELECT event_id FROM ln_ GROUP BY event_id HAVING COUNT(*) >= 3 AND BOOL_OR(back)
+       INTERSECT SELECT event_id FROM dq_ GROUP BY event_id HAVING COUNT(DISTINCT pid) >= 3 INTERSECT SELECT event_id FROM rq_),
+gr_ AS (SELECT dq_.event_id, frame AS f, ROW_NUMBER() OVER (PARTITION BY dq_.event_id ORDER BY frame) AS k FROM dq_ JOIN ok_ ON ok_.event_id = dq_.event_id
+       JOIN (SELECT event_id, MIN(pid) AS p0 FROM dq_ GROUP BY event_id) z ON z.event_id = dq_.event_id AND z.p0 = dq_.pid),
+sr_ AS (SELECT event_id, pid, back, frame, x, y, off FROM dq_ UNION ALL SELECT event_id, -1, FALSE, frame, x, y, off FROM rq_),
+pk_ AS (SELECT DISTINCT gr_.event_id, sr_.pid, sr_.back, k, f FROM gr_ JOIN sr_ ON sr_.event_id = gr_.event_id),
+nb_ AS (SELECT pk_.*, (SELECT MAX(frame) FROM sr_ WHERE sr_.event_id = pk_.event_id AND sr_.pid = pk_.pid AND frame <= f) AS fa,
+              (SELECT MIN(frame) FROM sr_ WHERE sr_.event_id = pk_.event_id AND sr_.pid = pk_.pid AND frame >= f) AS fb FROM pk_),
+ii_ AS (SELECT nb_.event_id, nb_.pid, nb_.back, k, f, CASE WHEN COALESCE(fb, fa) > COALESCE(fa, fb) THEN (f - fa) * 1.0e0 / (fb - fa) ELSE 0 END AS u,
+              a.x AS ax, a.y AS ay, a.off AS ao, b.x AS bx2, b.y AS by2, b.off AS bo FROM nb_
+       JOIN sr_ a ON a.event_id = nb_.event_id AND a.pid = nb_.pid AND a.frame = COALESCE(fa, fb) JOIN sr_ b ON b.event_id = nb_.event_id AND b.pid = nb_.pid AND b.frame = COALESCE(fb, fa)),
+ip_ AS (SELECT event_id, pid, back, k, f, ax + (bx2 - ax) * u AS x, ay + (by2 - ay) * u AS y, ao + (bo - ao) * u AS off FROM ii_),
+ex_ AS (SELECT c.event_id, c.pid, c.k, c.f, c.off - (SELECT MEDIAN(o.off) FROM ip_ o WHERE o.event_id = c.event_id AND o.k = c.k AND o.pid NOT IN (-1, c.pid)) AS rel,
+              SQRT(POWER(c.x - r.x, 2) + POWER(c.y - r.y, 2)) AS gap, r.off AS moved
+       FROM ip_ c JOIN ip_ r ON r.event_id = c.event_id AND r.k = c.k AND r.pid = -1 WHERE c.back),
+ga_ AS (SELECT ex_.*, rel - FIRST_VALUE(rel) OVER w AS gained, FIRST_VALUE(gap) OVER w - gap AS closed, rel - AVG(rel) OVER (PARTITION BY event_id, pid) AS b_,
+              moved - AVG(moved) OVER (PARTITION BY event_id, pid) AS a_ FROM ex_ WINDOW w AS (PARTITION BY event_id, pid ORDER BY k)),
+lg_ AS (SELECT a.event_id, a.pid, b.k - a.k AS lag, SUM(a.a_ * b.b_) AS dot FROM ga_ a JOIN ga_ b ON b.event_id = a.event_id AND b.pid = a.pid GROUP BY ALL),
+ld_ AS (SELECT event_id, pid, lag FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY event_id, pid ORDER BY dot DESC, lag) AS rk FROM lg_ WHERE dot IS NOT NULL) WHERE rk = 1),
+pe_ AS (SELECT event_id, pid, arg_max(closed, gained) AS closed, MAX(gained) AS growth, MIN(f) AS lo9, MAX(f) AS hi9 FROM ga_ GROUP BY ALL),
+be_ AS (SELECT * FROM (SELECT pe_.*, ld_.lag, ROW_NUMBER() OVER (PARTITION BY pe_.event_id ORDER BY growth DESC, pe_.pid) AS rk FROM pe_ LEFT JOIN ld_ ON ld_.event_id = pe_.event_id AND ld_.pid = pe_.pid) WHERE rk = 1)"""
+DRAG_CTES = (POS, O.CHAIN_IDS, BASELINE_SQL, PULLING_CD, gate_sql(10, 30, 0.50), FIRST, DRAG)
+
+
+@query("pulling_runs", O.with_base(POS, O.CHAIN_IDS, PULLING_CD, select="SELECT event_id, match_id, player_id, team_possession_id FROM cd"))
+def pulling_runs(spark, sf):
+    runs = P.pulling_runs(T.in_tracked_matches(gold(spark, sf), lake.frame_index(spark, sf)))
+    return runs.select("event_id", "match_id", "player_id", "team_possession_id")
+
+
+@query("dragged_out_of_position", O.with_base(*DRAG_CTES, select="""
+SELECT cw.event_id, COALESCE(closed > 0 AND lag > 0 AND growth >= 5, FALSE) AS matched, ROUND(growth, 3) AS value, CASE WHEN be_.event_id IS NULL THEN 'insufficient_data' ELSE 'ok' END AS status,
+  be_.pid AS centre_back, ROUND(closed, 3) AS closed, CAST(lag AS DOUBLE) AS lead_frames, lo9 AS evidence_lo, hi9 AS evidence_hi, cw.n_frames
+FROM cw LEFT JOIN be_ ON be_.event_id = cw.event_id"""))
 def dragged_out_of_position(spark, sf):
     t = lake.tracking(spark, sf, True)
-    return P.evaluate(P.pulling_runs(T.in_tracked_matches(gold(spark, sf), t.index)), P.dragged_out_of_position(), P.RACE_WINDOW, t).select(
-        "event_id", "matched", F.round("value", 3).alias("value"), "status", "detail", "centre_back", "evidence_lo", "evidence_hi", "n_frames")
+    r = P.evaluate(P.pulling_runs(T.in_tracked_matches(gold(spark, sf), t.index)), P.dragged_out_of_position(), P.RACE_WINDOW, t)
+    return r.select("event_id", "matched", *[F.round(c, 3).alias(c) for c in ("value", "closed")], "status", "centre_back", "lead_frames", "evidence_lo", "evidence_hi", "n_frames")
 
 
-@query("question_56")
+@query("question_56", O.with_base(*DRAG_CTES, select="SELECT event_id, ROUND(growth, 3) AS value FROM be_ WHERE closed > 0 AND lag > 0 AND growth >= 5"))
 def question_56(spark, sf):
     return tracked(spark, sf, 56).select("event_id", F.round("value", 3).alias("value"))
 

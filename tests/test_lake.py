@@ -168,15 +168,33 @@ def test_each_gate_fails_on_its_own_fault(spark, lake, gate, change):
 
 
 def test_conform(spark):
-    df = spark.createDataFrame([("True", "True", None, "x"), (None, "no", None, "y"), ("False", "True", None, "z")], "a string, b string, c string, d string")
-    assert profile_text(df, limit=2) == {"a": "boolean", "b": "category", "c": "empty", "d": "text"}
-    assert [t for _, t in conform(df).dtypes] == ["boolean", "string", "string", "string"]
+    df = spark.createDataFrame([("True", "True", None, "x", "2.0", "1.5", "2"), (None, "no", None, "y", "3", None, "x"), ("False", "True", None, "z", None, "2", "3")],
+                               "a string, b string, c string, d string, e string, f string, g string")
+    assert profile_text(df) == {"a": "boolean", "b": "text", "c": "empty", "d": "text", "e": "long", "f": "double", "g": "text"}
+    done = conform(df)
+    assert [t for _, t in done.dtypes] == ["boolean", "string", "string", "string", "bigint", "double", "string"]
+    assert done.where("e = 2").count() == 1 and [r["f"] for r in done.collect()] == [1.5, None, 2.0]
+
+
+def test_short_tracking_file_is_read_and_headerless_csv_raises(spark, tmp_path):
+    folder = tmp_path / "matches" / "7"
+    folder.mkdir(parents=True)
+    (folder / "7_tracking_extrapolated.jsonl").write_text('{"frame": 5, "period": 1, "player_data": []}\n')
+    assert raw.read_tracking(spark, str(tmp_path)).count() == 1
+    assert raw.tracking_inventory(spark, str(tmp_path)).first()["status"] == "ok"
+    (folder / "7_dynamic_events.csv").write_text('"event_id",match_id,event_type\n1,7,player_possession\n')
+    assert raw.read_events(spark, str(tmp_path)).count() == 1
+    (folder / "8_dynamic_events.csv").write_text("1,7,player_possession\n")
+    with pytest.raises(raw.MissingHeader):
+        raw.read_events(spark, str(tmp_path))
 
 
 def test_question_report_runs_in_one_scan(spark, lake):
     ev = gold(spark, lake)
     report = {r["qid"]: r for r in Q.run_event_questions(ev).collect()}
-    assert set(report) == set(Q.FILTERS) | set(Q.ABSENCES)
+    assert set(report) == set(Q.FILTERS) | set(Q.ABSENCES) | {54}
+    with pytest.raises(ValueError):
+        Q.run_filters(ev.drop("chain_reached_box"))
     for q in (12, 24, 31, 41, 60, 65, 69, 74):
         rows = Q.answer(q, ev)
         assert report[q]["hits"] == rows.count() and report[q]["matches"] == rows.select("match_id").distinct().count()

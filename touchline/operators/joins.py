@@ -1,4 +1,4 @@
-"""Join helpers: lookups over nullable keys, absence questions and bounded broadcasts."""
+"""Join helpers: lookups over nullable keys and absence questions."""
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
@@ -6,27 +6,26 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NULL_KEY = "\u0001null:"
+#: Partitions over which rows with a null key are spread, at most.
+NULL_SALTS = 4096
 
 
 def left_lookup(df: DataFrame, lookup: DataFrame, on: Mapping[str, str], spread_by: Column) -> DataFrame:
     """Left equi-join whose null keys do not all hash to one task.
 
     A null key matches nothing, but a plain left join still sends every such row to the same
-    partition.  Null keys are replaced by a value no lookup row has, spread by ``spread_by``.
+    partition.  The keys keep their types; a salt that is 0 for whole keys and spread by ``spread_by``
+    for null ones joins the key.
     """
-    left, right, cond = df, lookup, None
-    spare = F.concat(F.lit(NULL_KEY), spread_by.cast("string"))
-    tmp = []
-    for i, (l, r) in enumerate(on.items()):
-        lk, rk = f"__lk{i}", f"__rk{i}"
-        left = left.withColumn(lk, F.coalesce(F.col(l).cast("string"), spare))
-        right = right.withColumn(rk, F.col(r).cast("string"))
-        c = F.col(lk) == F.col(rk)
-        cond = c if cond is None else cond & c
-        tmp += [lk, rk]
-    right = right.drop(*on.values())
-    return left.join(right, cond, "left").drop(*tmp)
+    missing = F.lit(False)
+    for key in on:
+        missing = missing | F.col(key).isNull()
+    left = df.withColumn("__salt", F.when(missing, F.pmod(F.hash(spread_by), F.lit(NULL_SALTS)) + 1).otherwise(0))
+    right = lookup.withColumnsRenamed({r: f"__rk{i}" for i, r in enumerate(on.values())}).withColumn("__rsalt", F.lit(0))
+    cond = F.col("__salt") == F.col("__rsalt")
+    for i, key in enumerate(on):
+        cond = cond & (F.col(key) == F.col(f"__rk{i}"))
+    return left.join(right, cond, "left").drop("__salt", "__rsalt", *[f"__rk{i}" for i in range(len(on))])
 
 
 def without(rows: DataFrame, present: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline import schema as S
 from touchline.plans import enrich as E
 from touchline.plans import shape
 from touchline.plans import tracking as T
@@ -12,12 +13,18 @@ from touchline.sources import gates, layers, raw
 from touchline.sources.conform import conform
 
 
+def conform_undeclared(df: DataFrame, declared: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Columns the schema does not declare get the type of their values; declared text stays text."""
+    known = {c for names in declared.values() for c in names} | {"_pk"}
+    return conform(df, [c for c in df.columns if c not in known])
+
+
 def build_silver(spark: SparkSession, bronze: str, lake: str, check_only: bool = False) -> DataFrame:
     """Read, validate and write the silver tables; returns the gate table.
 
     Nothing is written when a fatal gate fails or ``check_only`` is set.
     """
-    events = conform(raw.read_events(spark, bronze))
+    events = conform_undeclared(raw.read_events(spark, bronze), S.EVENT_COLUMN_TYPES)
     files = raw.read_match_files(spark, bronze)
     matches = raw.matches_table(files)
     players = raw.players_table(files, events)
@@ -30,7 +37,7 @@ def build_silver(spark: SparkSession, bronze: str, lake: str, check_only: bool =
     layers.save(matches, lake, "silver", "matches")
     layers.save(players, lake, "silver", "players")
     if phases is not None:
-        layers.save(conform(phases), lake, "silver", "phases")
+        layers.save(conform_undeclared(phases, S.PHASE_COLUMN_TYPES), lake, "silver", "phases")
     if inventory is not None:
         layers.save(inventory, lake, "silver", "tracking_inventory")
         layers.save(raw.read_tracking(spark, bronze), lake, "silver", "frames", ["match_id", "frame"])
@@ -74,5 +81,5 @@ def load_tracking(spark: SparkSession, lake: str, baselines: bool = True) -> Tra
 def base_positions(baselines: DataFrame) -> DataFrame:
     """Players and median defending depth per position, deepest first."""
     from touchline.operators.ordered import exact_percentiles
-    mid = exact_percentiles(baselines.where(F.col("position").isNotNull()), ["position"], "base_x", {"median_x": 0.5}, 1.0)
+    mid = exact_percentiles(baselines.where(F.col("reliable") & F.col("position").isNotNull()), ["position"], "base_x", {"median_x": 0.5}, 1.0)
     return mid.withColumnRenamed("n", "players").orderBy("median_x", "position")

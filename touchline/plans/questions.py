@@ -219,7 +219,10 @@ def run_filters(events: DataFrame, qids: Sequence[int] | None = None) -> DataFra
     Counting per match first turns "distinct matches with a hit" into a plain count, so that no
     distinct aggregate multiplies the rows.
     """
-    chosen = [FILTERS[q] for q in (qids or FILTERS) if set(FILTERS[q].needs) <= _available(events)]
+    chosen = [FILTERS[q] for q in (qids or FILTERS)]
+    lacking = {part for q in chosen for part in q.needs} - _available(events)
+    if lacking:
+        raise ValueError(f"the events lack derived columns: {sorted(lacking)}")
     per_match = events.groupBy("match_id").agg(*[F.count_if(q.where()).alias(f"q{q.qid}") for q in chosen])
     one = per_match.agg(*[
         F.struct(F.lit(q.qid).alias("qid"), F.lit(q.category).alias("category"), F.lit(q.fidelity).alias("fidelity"),
@@ -242,8 +245,21 @@ def tally(qid: int, rows: DataFrame, fidelity: str) -> DataFrame:
 
 
 def run_event_questions(events: DataFrame) -> DataFrame:
-    """Run report of all filter and absence questions."""
+    """Run report of all filter, absence and aggregate questions; an aggregate has no hits (null)."""
     out = run_filters(events)
     for q, fn in ABSENCES.items():
         out = out.unionByName(tally(q, fn(events), "approximate" if q in APPROXIMATE_ABSENCES else "exact"))
+    shares = long_pass_share_by_lead(events).agg(
+        F.lit(54).alias("qid"), F.lit(category_of(54)).alias("category"), F.lit("exact").alias("fidelity"),
+        F.lit(None).cast("bigint").alias("hits"), F.count(F.lit(1)).cast("bigint").alias("matches"))
+    return out.unionByName(shares.withColumn("matches", F.lit(None).cast("bigint")))
+
+
+def run_all_questions(events: DataFrame, phase_shape: DataFrame, tracking) -> DataFrame:
+    """Run report of all 77 answerable questions: those on events, on phase shape (17) and on tracking."""
+    from touchline.plans import predicates, shape
+
+    out = run_event_questions(events).unionByName(tally(17, shape.narrow_blocks(phase_shape), "exact"))
+    for q in TRACKING_QUESTIONS:
+        out = out.unionByName(tally(q, predicates.answer_tracking(q, events, tracking), "exact"))
     return out

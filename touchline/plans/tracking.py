@@ -38,17 +38,23 @@ def fetch_window(windows: DataFrame, frames: DataFrame, lo: str = "lo", hi: str
     return w.join(f, ["match_id", "__b"]).where(F.col("frame").between(F.col(lo), F.col(hi))).drop("__b")
 
 
-def sample_positions(lo: Column, hi: Column, n: int) -> Column:
-    """n evenly spaced frames of [lo, hi], halves to even; one frame is the midpoint."""
-    if n <= 0:
-        return F.array().cast("array<bigint>")
-    if n == 1:
-        spots = F.array(F.floor((lo + hi) / 2))
-    else:
-        count = F.least(F.lit(n).cast("bigint"), hi - lo + 1)
-        step = F.when(count > 1, (hi - lo) / (count - 1)).otherwise(F.lit(0.0))
-        spots = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(count - 1, F.lit(0))), lambda i: F.bround(lo + i * step).cast("bigint"))
-    return F.when(hi < lo, F.array().cast("array<bigint>")).otherwise(spots)
+def sample_count(lo: Column, hi: Column, n: int) -> Column:
+    """How many frames of [lo, hi] are asked for."""
+    return F.greatest(F.least(F.lit(n).cast("bigint"), hi - lo + 1), F.lit(0))
+
+
+def explode_samples(windows: DataFrame, n: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """``windows`` once for each of n evenly spaced frames of [lo, hi], halves to even; one frame is the midpoint.
+
+    The ordinal is exploded and the frame computed from it afterwards, so what stands behind ``lo`` and
+    ``hi`` is evaluated once per window and not once per sample.
+    """
+    w = windows.withColumn("requested", sample_count(F.col(lo), F.col(hi), n))
+    w = w.where(F.col("requested") > 0).withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("requested") - 1)))
+    step = F.try_divide(F.col(hi) - F.col(lo), F.col("requested") - 1)
+    spread = F.bround(F.col(lo) + F.col("__i") * step).cast("bigint")
+    middle = F.floor((F.col(lo) + F.col(hi)) / 2) if n == 1 else F.col(lo)
+    return w.withColumn("frame", F.when(F.col("requested") > 1, spread).otherwise(middle)).drop("__i")
 
 
 def fetch_at(windows: DataFrame, frames: DataFrame, wanted: str) -> DataFrame:
@@ -58,8 +64,7 @@ def fetch_at(windows: DataFrame, frames: DataFrame, wanted: str) -> DataFrame:
 
 
 def fetch_sampled(windows: DataFrame, frames: DataFrame, n: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    w = windows.withColumn("__wanted", sample_positions(F.col(lo), F.col(hi), n))
-    return fetch_at(w.withColumn("requested", F.size("__wanted")), frames, "__wanted").drop("__wanted")
+    return explode_samples(windows, n, lo, hi).join(frames, ["match_id", "frame"])
 
 
 def frame_index(frames: DataFrame, block: int = 3000) -> DataFrame:
@@ -152,20 +157,16 @@ def in_penalty_area(x: Column, y: Column, edge: Column, own: bool) -> Column:
 # --------------------------------------------------------------------------------------
 # mirror signs
 # --------------------------------------------------------------------------------------
-def vote_signs(events: DataFrame, frames: DataFrame, index: DataFrame, tolerance: float = 0.5, samples: int | None = 40) -> DataFrame:
-    """sign, confidence, n_votes and n_sampled per (match, team, period) of the tracked matches.
+def vote_signs(events: DataFrame, frames: DataFrame, index: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """sign, confidence, n_votes and n_sampled (events that could vote) per (match, team, period) of the tracked matches.
 
-    An event votes +1 when its position equals the tracked one and -1 when it equals the negation.
-    ``samples`` events per group are taken by a hash of the id; None lets every event vote.
+    Every event votes: +1 when its position equals the tracked one and -1 when it equals the negation.
     """
     group = ["match_id", "team_id", "period"]
     pool = in_tracked_matches(events.where(F.col("team_id").isNotNull()).select(
         *group, "event_id", "player_id", "frame_start", "x_start", "y_start"), index)
     complete = (F.col("x_start").isNotNull() & F.col("y_start").isNotNull() & F.col("player_id").isNotNull() & F.col("frame_start").isNotNull())
     picked = pool.where(complete)
-    if samples is not None:
-        order = Window.partitionBy(*group).orderBy(F.xxhash64("event_id"), "event_id")
-        picked = picked.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= samples).drop("__rn")
     at = picked.withColumn("frame", F.col("frame_start")).join(frames.select("match_id", "frame", "players"), ["match_id", "frame"], "left")
     seen = at.withColumn("__p", player_of("players", F.col("player_id")))
     tx, ty = F.col("__p.x"), F.col("__p.y")
@@ -260,12 +261,15 @@ def defending_positions(frames: DataFrame, matches: DataFrame, players: DataFram
 
 def player_baselines(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame,
                      min_frames: int = 600, level: float = 1.0) -> DataFrame:
-    """Median defending position and its median absolute deviation per (match, player)."""
+    """Median defending position and its median absolute deviation per (match, player).
+
+    Players with few frames stay, with ``reliable`` false: a baseline is chosen where it is used.
+    """
     by = ["match_id", "player_id", "team_id"]
     at = defending_positions(frames, matches, players, signs)
     axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("x", "y")])
     long = at.select(*by, F.explode(axes).alias("a")).select(*by, F.col("a.axis").alias("axis"), F.col("a.v").alias("v"))
-    mid = exact_percentiles(long, [*by, "axis"], "v", {"base": 0.5}, level).where(F.col("n") >= min_frames)
+    mid = exact_percentiles(long, [*by, "axis"], "v", {"base": 0.5}, level)
     off = long.join(mid, [*by, "axis"]).select(*by, "axis", F.abs(F.col("v") - F.col("base")).alias("d"))
     spread = exact_percentiles(off, [*by, "axis"], "d", {"spread": 0.5}, level).drop("n")
 
@@ -275,4 +279,4 @@ def player_baselines(frames: DataFrame, matches: DataFrame, players: DataFrame,
     wide = mid.join(spread, [*by, "axis"]).groupBy(*by).agg(
         F.max("n").alias("n_frames"), of("x", "base"), of("y", "base"), of("x", "spread"), of("y", "spread"))
     return wide.join(players.select("match_id", "player_id", "position"), ["match_id", "player_id"], "left").select(
-        "match_id", "player_id", "team_id", "position", "n_frames", "base_x", "base_y", "spread_x", "spread_y")
+        "match_id", "player_id", "team_id", "position", "n_frames", "base_x", "base_y", "spread_x", "spread_y", (F.col("n_frames") >= min_frames).alias("reliable"))

@@ -13,10 +13,9 @@ GOAL_CLUSTER_FRAMES = 100
 SCORE_LOOKBACK_FRAMES = 1500
 BAND_RUNNING, BAND_HSR, BAND_SPRINT = 15.0, 20.0, 25.0
 MIN_COVERAGE = 0.70
-STUB_BYTES = 10_000
-CATEGORY_LIMIT = 64
+#: First words of a large-file pointer that stands for a tracking file.
+POINTER_LINE = "version https://git-lfs"
 POPULATED_SHARE = 0.01
-ENUM_LIMIT = 40
 
 # Event types and position groups.
 PP, PO, OBR, OBE = "player_possession", "passing_option", "off_ball_run", "on_ball_engagement"
@@ -30,16 +29,42 @@ WINGERS = ("LW", "RW")
 WIDE_PLAYERS = ("LW", "RW", "LM", "RM")
 PULLING_SUBTYPES = ("dropping_off", "pulling_wide", "pulling_half_space", "coming_short")
 
-#: Columns the gold build must add to the events.
-DERIVED_COLUMNS = tuple(
-    [f"seconds_{d}_goal_{s}" for d in ("since", "until") for s in ("for", "against")]
-    + [f"seconds_to_next_{what}_{who}" for what in ("shot", "goal") for who in ("same_team", "opponent")]
-    + ["team_possession_id", "chain_n_possessions", "chain_reached_final_third", "chain_reached_box",
-       "chain_ended_in_shot", "chain_duration_s"]
-    + [f"{own}_{zone}_{at}" for own in ("own", "opp") for zone in ("penalty_area", "six_yard_box")
-       for at in ("start", "end", "reception")]
-    + ["number", "is_substitute", "is_starter", "team_back_line_size", "team_front_line_size",
-       "team_pivot_size", "is_starting_cb_pair", "is_captain"]
+#: Columns the gold build must add to the events (fixed values).
+DERIVED_COLUMNS = (
+    "seconds_since_goal_for",
+    "seconds_since_goal_against",
+    "seconds_until_goal_for",
+    "seconds_until_goal_against",
+    "seconds_to_next_shot_same_team",
+    "seconds_to_next_shot_opponent",
+    "seconds_to_next_goal_same_team",
+    "seconds_to_next_goal_opponent",
+    "team_possession_id",
+    "chain_n_possessions",
+    "chain_reached_final_third",
+    "chain_reached_box",
+    "chain_ended_in_shot",
+    "chain_duration_s",
+    "own_penalty_area_start",
+    "own_penalty_area_end",
+    "own_penalty_area_reception",
+    "own_six_yard_box_start",
+    "own_six_yard_box_end",
+    "own_six_yard_box_reception",
+    "opp_penalty_area_start",
+    "opp_penalty_area_end",
+    "opp_penalty_area_reception",
+    "opp_six_yard_box_start",
+    "opp_six_yard_box_end",
+    "opp_six_yard_box_reception",
+    "number",
+    "is_substitute",
+    "is_starter",
+    "team_back_line_size",
+    "team_front_line_size",
+    "team_pivot_size",
+    "is_starting_cb_pair",
+    "is_captain",
 )
 
 #: Typed columns of the raw event files; any other column is read as text and conformed by profile.
@@ -65,6 +90,11 @@ EVENT_COLUMN_TYPES = {
                "pressing_chain_end_type", "overall_pressure_start", "speed_avg_band"),
 }
 
+#: Text columns whose values are a fixed list; their filters are checked against the values that occur.
+ENUMERABLE = ("event_type", "event_subtype", "player_position", "player_in_possession_position", "third_start", "third_end", "channel_start", "channel_end",
+              "start_type", "end_type", "game_interruption_before", "game_interruption_after", "game_state", "team_in_possession_phase_type",
+              "team_out_of_possession_phase_type", "pass_range", "pressing_chain_end_type", "overall_pressure_start", "speed_avg_band")
+
 PHASE_COLUMN_TYPES = {
     "long": ("match_id", "team_in_possession_id", "frame_start", "frame_end"),
     "double": tuple(f"team_{side}_{dim}_{at}" for side in ("in_possession", "out_of_possession")

@@ -37,7 +37,7 @@ def event_gates(events: DataFrame, matches: DataFrame, required: Sequence[str] =
     seen = events.where(F.col("match_id").isNotNull()).select("match_id", F.lit(1).alias("e"), F.lit(0).alias("m"))
     listed = matches.select("match_id", F.lit(0).alias("e"), F.lit(1).alias("m"))
     both = seen.unionByName(listed).groupBy("match_id").agg(F.max("e").alias("e"), F.max("m").alias("m"))
-    coverage = _gate(both.agg(F.abs(F.sum("e") - F.sum("m")).alias("x")), "match_coverage", "fail", F.col("x"))
+    coverage = _gate(both.agg(F.count_if(F.col("e") != F.col("m")).alias("x")), "match_coverage", "fail", F.col("x"))
     out = simple.unionByName(duplicates).unionByName(strangers).unionByName(coverage)
     missing = [c for c in required if c not in events.columns]
     if missing:
@@ -46,11 +46,15 @@ def event_gates(events: DataFrame, matches: DataFrame, required: Sequence[str] =
 
 
 def note_gates(matches: DataFrame, players: DataFrame, inventory: DataFrame | None = None) -> DataFrame:
-    """Findings that are reported but stop nothing: scorers against the official score, tracking stubs."""
+    """Findings that are reported but stop nothing: scorers against the official score, and what tracking there is."""
     scored = players.groupBy("match_id").agg(F.sum("goals").alias("g"))
     differs = matches.join(scored, "match_id", "left").where(F.coalesce("g", F.lit(0)) != F.col("home_team_score") + F.col("away_team_score"))
     out = _gate(differs.agg(F.count(F.lit(1)).alias("x")), "scorers_vs_score", "note", F.col("x"))
-    if inventory is not None:
+    if inventory is None:
+        return out.unionByName(_gate(matches.agg(F.lit(1).alias("x")), "no_tracking", "note", F.col("x")))
+    else:
+        frames = inventory.agg(F.sum("n_frames").alias("f"), F.count_if(F.col("n_frames") > 0).alias("m"))
+        out = out.unionByName(_gate(frames, "frames_indexed", "note", F.col("f"))).unionByName(_gate(frames, "matches_indexed", "note", F.col("m")))
         stubs = inventory.agg(F.count_if(F.col("status") == "lfs_stub").alias("x"))
         out = out.unionByName(_gate(stubs, "tracking_stubs", "note", F.col("x")))
     return out

@@ -17,6 +17,10 @@ class MissingSource(FileNotFoundError):
     """No raw file of a kind under the bronze folder."""
 
 
+class MissingHeader(ValueError):
+    """A raw file without the header line of its kind."""
+
+
 def match_id_of_file() -> Column:
     return F.regexp_extract(F.col("_metadata.file_name"), r"^(\d+)_", 1).try_cast("bigint")
 
@@ -55,8 +59,12 @@ def read_csv_by_header(spark: SparkSession, pattern: str, marker: str) -> DataFr
     if not _has_files(spark, pattern):
         raise MissingSource(f"no files match {pattern}")
     lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
-    headers = lines.where(F.concat(F.lit(","), "value", F.lit(",")).contains(f",{marker},")).groupBy("value").agg(
-        F.collect_set("path").alias("paths")).collect()
+    names = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda c: F.btrim(F.btrim(c), F.lit('"')))
+    found = lines.groupBy("path").agg(F.min_by("value", F.when(F.array_contains(names, marker), 0)).alias("value"), F.max(F.array_contains(names, marker)).alias("has"))
+    headers = found.groupBy("has", "value").agg(F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("paths")).collect()
+    lost = sorted(p for h in headers if not h["has"] for p in h["paths"])
+    if lost:
+        raise MissingHeader(f"{len(lost)} files of {pattern} have no header with column {marker!r}, first {lost[0]}")
     out = None
     for h in sorted(headers, key=lambda r: r["value"]):
         columns = T.StructType([T.StructField(c.strip().strip('"'), T.StringType()) for c in h["value"].lstrip("﻿").split(",")])
@@ -133,7 +141,7 @@ def read_tracking(spark: SparkSession, bronze: str) -> DataFrame | None:
     pattern = f"{bronze}/matches/*/{TRACKING}"
     if not _has_files(spark, pattern):
         return None
-    raw = spark.read.schema(S.TRACKING_JSON).json(pattern).where(F.col("_metadata.file_size") >= S.STUB_BYTES)
+    raw = spark.read.schema(S.TRACKING_JSON).json(pattern)
     return raw.where(F.col("frame").isNotNull()).select(
         match_id_of_file().alias("match_id"), "frame", "timestamp", "period", F.col("ball_data.x").alias("ball_x"), F.col("ball_data.y").alias("ball_y"),
         F.col("possession.group").alias("possession_group"),
@@ -152,9 +160,10 @@ def tracking_inventory(spark: SparkSession, bronze: str) -> DataFrame | None:
     if not _has_files(spark, pattern):
         return None
     lines = spark.read.text(pattern).select(
-        match_id_of_file().alias("match_id"), F.col("_metadata.file_size").alias("source_bytes"), F.col("_metadata.file_modification_time").alias("source_mtime"))
-    stub = F.col("source_bytes") < S.STUB_BYTES
-    return lines.groupBy("match_id", "source_bytes", "source_mtime").agg(F.count(F.lit(1)).alias("n")).select(
+        match_id_of_file().alias("match_id"), F.col("_metadata.file_size").alias("source_bytes"), F.col("_metadata.file_modification_time").alias("source_mtime"),
+        F.startswith("value", F.lit(S.POINTER_LINE)).alias("pointer"))
+    stub = F.col("pointers") > 0
+    return lines.groupBy("match_id", "source_bytes", "source_mtime").agg(F.count(F.lit(1)).alias("n"), F.count_if("pointer").alias("pointers")).select(
         "match_id", F.when(stub, 0).otherwise(F.col("n")).alias("n_frames"), F.when(stub, "lfs_stub").otherwise("ok").alias("status"), "source_bytes", "source_mtime")
 
 
