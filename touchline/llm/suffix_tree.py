@@ -18,8 +18,8 @@ Corpus counts come from all training documents: one word table, combined in each
 each length one pass that counts the next tokens of the candidates.  The lists are bounded by the two
 shares and are all that reaches the driver or is broadcast.  Scoring also needs the count of every word
 of every text; this table grows with the corpus, so it is joined instead: documents are dealt into blocks
-by hash, each block asks for its different words, and the block's documents meet the answers in one
-task of bounded size.
+by hash, each block asks for its different words by their 64-bit hashes, and the block's documents meet the
+answers, told apart by a checksum where hashes should collide, in one task of bounded size.
 
 Defined results: a null or empty text is one end token.  Rows that repeat an id are scored each by its own
 text.  Without training rows N = V = 0 and both scores are 0.  A row without an id is a training row.
@@ -27,12 +27,14 @@ Other columns are not read.
 """
 from __future__ import annotations
 
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +67,11 @@ def as_strings(words: list[bytes]) -> pa.Array:
     return pa.array(words, pa.binary()).cast(pa.string())
 
 
+def hashes(words) -> np.ndarray:
+    """The hash of each word that Spark's xxhash64 gives its string."""
+    return np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
+
+
 def word_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
     """word, n (count in training rows) and every (count in all rows); the end token is the word of a line feed."""
 
@@ -264,14 +271,19 @@ def scores(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id
                 wanted[block].update(tokens(value.as_py()))
         for block, found in wanted.items():
             found.add(END)
-            yield arrow(["_block", "word"], [pa.array([block] * len(found), pa.int64()), as_strings(list(found))])
+            yield arrow(["_block", "_hash"], [pa.array([block] * len(found), pa.int64()), hashes(found)])
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
         tree_ = shared.value
         listed = tree_.number()
-        asked = found.column("word").cast(pa.binary()).to_pylist()
+        asked = list({w for t in texts.column("_text") for w in tokens(t.as_py())} | {END})
         place = dict(zip(asked, range(len(asked))))
-        n = found.column("n").to_numpy().astype(float)
+        key, check = found.column("_hash").to_numpy(), found.column("_check").to_numpy()
+        order = np.argsort(key)
+        at, crc = np.searchsorted(key[order], hashes(asked)), np.array([zlib.crc32(w) for w in asked])
+        while (wrong := check[order][at] != crc).any():  # words that share a hash come one after another
+            at[wrong] += 1
+        n = found.column("n").to_numpy()[order][at].astype(float)
         base = np.log10((n + 0.5) / (n_train + 0.5 * (v_train + 1)))
         number = np.array([listed[w] for w in asked], np.int64)
         out = []
@@ -285,7 +297,8 @@ def scores(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id
         return pa.table({"_id": texts.column("_id"), "held_out": texts.column("_held"), "n_tokens": length, "n_known": seen,
                          "train_tokens": np.full(len(length), n_train), "base_score": base_score, "score": model_score})
 
-    answers = source.select("_block", "_text").mapInArrow(ask, "_block long, word string").join(words, "word").select("_block", "word", "n")
+    known = words.select(F.xxhash64("word").alias("_hash"), F.crc32(F.col("word").cast("binary")).alias("_check"), "n")
+    answers = source.select("_block", "_text").mapInArrow(ask, "_block long, _hash long").join(known, "_hash").select("_block", "_hash", "_check", "n")
     kind = docs.schema[key].dataType.simpleString()
     scored = source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
         score, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
