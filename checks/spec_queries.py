@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import driver_tables as D
+from checks import lake
 from checks import oracle as O
 from checks.registry import query
 from touchline import schema as S
@@ -126,6 +127,7 @@ def field_vocabulary(spark, sf):
 
 
 PROXY_SQL = {
+    "cutback": "COALESCE(opp_penalty_area_start, FALSE) AND COALESCE(start_type = 'pass_reception', FALSE)",
     "through_ball": "COALESCE(first_line_break, FALSE)",
     "game_management": "COALESCE(minute_start >= 80, FALSE) AND COALESCE(start_type IN ('throw_in_reception', 'keep_possession'), FALSE)",
     "duel_won": None,      # the stand-in is never populated on possession rows, so it is not applied
@@ -133,10 +135,10 @@ PROXY_SQL = {
 }
 
 
-@query("proxy_filters", O.with_base("p AS (SELECT * FROM ev WHERE event_type = 'player_possession')", select=" UNION ALL ".join(
+@query("proxy_filters", O.with_base(*O.gold(["zones"]), "p AS (SELECT * FROM gd WHERE event_type = 'player_possession')", select=" UNION ALL ".join(
     f"SELECT '{c}' AS concept, {str(w is not None).upper()} AS disclosed, COUNT(*) FILTER (WHERE {w or 'TRUE'}) AS rows FROM p" for c, w in PROXY_SQL.items())))
 def proxy_filters(spark, sf):
-    ev = D.events(spark, sf)
+    ev = lake.gold_events(spark, sf)
     checks = C.FieldChecks.of(ev)
     out = None
     for concept in [c for c in K.CONCEPTS if c.name in PROXY_SQL]:
@@ -326,8 +328,3 @@ def band_histogram(spark, sf):
 @query("topk", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 def topk(spark, sf):
     return M.top_k(spark.read.parquet(f"{sf}/orders.parquet"), "o_totalprice", 25, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
-
-
-@query("seeded_sample")
-def seeded_sample(spark, sf):
-    return M.seeded_sample(spark.read.parquet(f"{sf}/orders.parquet"), 400, ["o_orderkey"], seed=1).select("o_orderkey")

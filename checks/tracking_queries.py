@@ -6,10 +6,13 @@ from pyspark.sql import functions as F
 from checks import driver_tables as D
 from checks import lake
 from checks import oracle as O
-from checks.registry import query
+from checks import question_queries, spec_queries  # noqa: F401  (their SQL is part of the whole report)
+from checks.registry import ORACLES, query
 from touchline.plans import enrich as E
 from touchline.plans import lake as L
 from touchline.plans import predicates as P
+from touchline.plans import questions as Q
+from touchline.plans import shape
 from touchline.plans import tracking as T
 
 BLOCK = 50
@@ -409,3 +412,18 @@ SELECT (SELECT COUNT(*) FROM cw) AS candidates, COUNT(*) AS resolved, COUNT(*) F
   ROUND(COUNT(*) FILTER (WHERE NOT (first_def OR COALESCE(gap <= 2.5, FALSE))) * 1.0e0 / NULLIF(COUNT(*), 0), 6) AS share FROM c4"""))
 def tracked_report(spark, sf):
     return P.report(corner_result(spark, sf, "corner_against", P.first_ball_contested()), negate=True).withColumn("share", F.round("share", 6))
+
+
+def _whole_report_sql() -> str:
+    """Hits and matches of the questions on phase shape and tracking, next to those on events."""
+    rows = [ORACLES["question_report"], "SELECT 17, COUNT(*), COUNT(DISTINCT match_id) FROM (" + ORACLES["question_17"] + ")"]
+    match = O.with_base(select="SELECT event_id, match_id FROM ev")
+    for q in (56, 59, 66, 68, 70):
+        rows.append(f"SELECT {q}, COUNT(*), COUNT(DISTINCT match_id) FROM ({ORACLES[f'question_{q}']}) JOIN ({match}) USING (event_id)")
+    return "SELECT qid, hits, matches FROM (" + ") UNION ALL SELECT * FROM (".join(rows) + ")"
+
+
+@query("whole_report", _whole_report_sql())
+def whole_report(spark, sf):
+    from checks.spec_queries import phases
+    return Q.run_all_questions(lake.gold_events(spark, sf), shape.phase_shape(phases(spark, sf)), lake.tracking(spark, sf, True)).select("qid", "hits", "matches")

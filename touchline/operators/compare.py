@@ -38,7 +38,7 @@ def top_k(df: DataFrame, value: str, k: int, tiebreak: Sequence[str], descending
 
 def seeded_sample(df: DataFrame, n: int, key: Sequence[str], seed: int) -> DataFrame:
     """n rows chosen by a hash of the key and the seed: the same rows on every run and every cluster."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed)))), *key).limit(n)
 
 
 def summary(df: DataFrame, value: str, probs: Mapping[str, float], level_width: float, by: Sequence[str] = ()) -> DataFrame:
