@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, suffix_tree, toxicity, urls, warc
 from touchline.llm.common import table
+from touchline.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -55,7 +55,7 @@ def op9_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
-    return warc.archive(table(spark, sf, "pages"))
+    return warc.archive(table(spark, sf, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: The rules of the URL filter query.
