@@ -33,7 +33,7 @@ LOUD = r"[A-Z!]"
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 GRAM = 5
-ALPHA = 0.01
+ALPHA = 0.02
 DELTA = 0.05
 #: Candidate cutoffs of every rule, loosest first; a document is rejected where its share is above.
 CUTOFFS = (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02, 0.01)
