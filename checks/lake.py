@@ -5,7 +5,6 @@ Questions read gold, as they do in a real deployment.  The tables go to the shar
 """
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks import driver_tables as D
 from touchline.plans import enrich as E
+from touchline.session import temporary_folder
 
 BLOCK = 50
 _written: dict = {}
@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None and not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return named or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return named or temporary_folder()
 
 
 def table(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:

@@ -22,6 +22,16 @@ def local_session(cpus: int = 8, memory: str = "16g", app: str = "touchline") ->
     )
 
 
+_temporary: list[tempfile.TemporaryDirectory] = []
+
+
+def temporary_folder() -> str:
+    """A folder for a local master without a named one (a laptop, a test); it goes when the process ends."""
+    if not _temporary:
+        _temporary.append(tempfile.TemporaryDirectory(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"), ignore_cleanup_errors=True))
+    return _temporary[0].name
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -34,5 +44,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
+        context.setCheckpointDir(named or temporary_folder())
     return df.checkpoint(eager=True)
