@@ -212,7 +212,7 @@ def groups(docs: DataFrame, text: str = "text", key: str = "doc_id", blocks_per_
         blocks_per_anchor = 1 if prints.agg(F.approx_count_distinct("fp")).first()[0] < MANY else 2
     roots = components(links(classes, blocks_per_anchor, part)).select(F.col("node").alias("fp"), "root")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("_least").alias("component_id"))
+    least = scratch(rooted.groupBy("root").agg(F.min("_least").alias("component_id")), "least")
     named = scratch(rooted.join(least, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select(key, "fp", "component_id")
 
