@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.operators.joins import left_lookup
 from touchline.operators.ordered import exact_percentiles, value_counts
 
 #: Width of the value blocks (metres) that carry ranks and medians.
@@ -33,7 +34,10 @@ def relative_to_group(df: DataFrame, by: list[str], value: str, names: tuple[str
     # rank of a value = smaller values + half of its ties (plus one half)
     ranks = cum.select(*by, value, (F.col("cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("__rank"))
     group = stats.join(mid, by)
-    out = df.join(ranks, [*by, value], "left").join(group, by, "left")
+    # rows without a value, a team or a type match nothing and are spread over the tasks
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    out = left_lookup(df, ranks, {c: c for c in (*by, value)}, spread)
+    out = left_lookup(out, group, {c: c for c in by}, spread)
     return out.select(
         *df.columns, (F.col("__rank") / F.col("__n")).alias(pctile),
         F.try_divide(F.col(value) - F.col("__avg"), F.col("__sd")).alias(z), F.col("__med").alias(median))
