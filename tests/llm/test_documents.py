@@ -1,5 +1,6 @@
 """Operators on documents against brute force, with the odd cases."""
 import math
+import zlib
 
 import brute as B
 import public_tokenizers
@@ -186,6 +187,17 @@ def test_suffix_tree_states_sum_to_one(spark, docs):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def test_suffix_tree_keeps_rare_contexts_of_a_large_corpus(spark):
+    """A context seen 40 times is a state beside three million other tokens too, and its next tokens are listed."""
+    learnt = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != 1][:60]
+    held = next(i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 1)
+    rows = [(i, "x " * 75_000 + ("alpha beta gamma" if at < 40 else "")) for at, i in enumerate(learnt)] + [(held, "x alpha beta gamma")]
+    r = by_id(suffix_tree.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))[held]
+    assert r["held_out"] and r["train_tokens"] > 4_000_000
+    # beta and gamma are near-certain after alpha and beta; at the root each has a probability of about 1e-5
+    assert r["score"] - r["base_score"] > 9
+
+
 OPERATORS = {
     "bpe": lambda d, s: bpe.digests(d, PATH),
     "quality": lambda d, s: quality_rules.verdicts(d, s.createDataFrame([], "doc_id long, quality int, toxic int")),

@@ -3,23 +3,24 @@
 Symbols are tokens: words (lower-cased in A-Z) and one end per text, which also stands before the first
 word.  The states of the tree are contexts of up to ``DEPTH`` tokens:
 
-* a context is a candidate if it is at least ``MIN_SHARE`` of all training tokens, so there are at most
-  1 / ``MIN_SHARE`` candidates of a length, whatever the corpus; its next tokens are listed one by one down
-  to ``MIN_NEXT_SHARE`` of all tokens, so a length has at most 1 / ``MIN_NEXT_SHARE`` of them;
+* a context is a candidate if the training texts hold it at least ``MIN_COUNT`` times, and a next token is
+  listed if it follows that often; both are counts and not shares, so the tree grows with the corpus;
 * it is retained if its next tokens diverge from those of the next shorter state: its count times the
   Kullback-Leibler divergence must exceed the description length of its list.
 
 A listed next token is smoothed with the shorter state; what remains of the probability is shared among
 the other tokens as the shorter state shares it.  The root is the add-half unigram distribution over
 the training vocabulary and one class of unknown words, so every state sums to 1 over the same events.
-A token is scored by the longest suffix of its history that is a state.
+A token is scored by the longest suffix of its history that is a state: in logarithms, the root's score
+and what each state on the way to the longest adds to it, so the lengths are scored one after another.
 
-Corpus counts come from all training documents: one word table, combined in each task first, and for
-each length one pass that counts the next tokens of the candidates.  The lists are bounded by the two
-shares and are all that reaches the driver or is broadcast.  Scoring also needs the count of every word
-of every text; this table grows with the corpus, so it is joined instead: documents are dealt into blocks
-by hash, each block asks for its different words, and the block's documents meet the answers in one
-task of bounded size.
+Words, contexts and next tokens are Parquet tables; no part of the tree is collected or broadcast.
+Documents are dealt into blocks by hash.  A block asks for its different words, then for each length for
+its different contexts and (context, token) pairs, and meets the answers in one task of bounded size.
+The questions carry the counts of the block's training texts, so their sums are the corpus counts, and those
+that are not frequent enough end there.  A pair is asked only where its context and its own last tokens are
+frequent enough, which leaves out none that is.
+Sums of probabilities are taken in whole numbers, so they do not depend on the order of the rows.
 
 Defined results: a null or empty text is one end token.  Rows that repeat an id are scored each by its own
 text.  Without training rows N = V = 0 and both scores are 0.  A row without an id is a training row.
@@ -29,20 +30,19 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import arrow, scratch, small_batches, whole_text
+from touchline.llm import common
+from touchline.llm.common import arrow, small_batches, whole_text
 from touchline.llm.labelled import held_out
 
 DEPTH = 2
-MIN_SHARE = 2e-5
-MIN_NEXT_SHARE = 2e-6
-#: Listed next tokens and contexts occur this often at least, in small corpora too.
+#: Listed next tokens and contexts occur this often at least, whatever the size of the corpus.
 MIN_COUNT = 4
 #: Weight of the shorter state in the probability of a listed token, in tokens.
 SMOOTHING = 2.0
@@ -50,13 +50,24 @@ SMOOTHING = 2.0
 BLOCK_TOKENS = 1_500_000
 #: Different words that a task holds before it hands its counts on.
 HELD_WORDS = 400_000
-#: Different (context, token) pairs that a task holds before it hands its counts on.
-HELD_PAIRS = 2_000_000
-#: Multiplier of a context number in a pair key; tokens are numbered below it.
+#: Multiplier of the place of a tuple when the next column is added to it; tokens are numbered below it.
 WIDE = 1 << 31
+#: Probabilities are summed in whole multiples of 1 / ``FINE``.
+FINE = float(1 << 52)
 END = b"\n"
 
 
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """As in ``common``; the shuffle files of the table are removed when it is written."""
+    conf, cleanup = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(cleanup, None)
+    conf.set(cleanup, "true")
+    try:
+        return common.scratch(df, name)
+    finally:
+        conf.unset(cleanup) if before is None else conf.set(cleanup, before)
+
+
 def tokens(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
@@ -103,56 +114,86 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
-@dataclass
-class Level:
-    """Contexts of one length: sorted pair keys (context of the length before, token), and the lists of next tokens."""
+class Places:
+    """Places of different rows of whole-number columns, in sorted order; rows given twice have one place."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        self.keys: list[np.ndarray] = []
+        self.first = code = np.zeros(len(columns[0]), np.int64)
+        for column in columns:
+            keys, self.first, code = np.unique(code * WIDE + column, return_index=True, return_inverse=True)
+            self.keys.append(keys)
+        self.code = code
 
-    contexts: np.ndarray  #: pair keys of the candidates; a context's number is its place here
-    counts: np.ndarray
-    pairs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  #: sorted keys context * WIDE + token
-    pair_counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
-    listed: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: log10 probability of each pair's token
-    others: np.ndarray = field(default_factory=lambda: np.zeros(0))  #: log10 factor on the shorter state, per context
+    def find(self, columns: list[np.ndarray]) -> np.ndarray:
+        code = np.zeros(len(columns[0]), np.int64)
+        for keys, column in zip(self.keys, columns):
+            known = (code >= 0) & (column >= 0)
+            code = np.where(known, find(keys, np.where(known, code * WIDE + column, -1)), -1)
+        return code
+
+
+class Level:
+    """Contexts of one length with their next tokens: all of them, or those that a block asked for.
+
+    The columns are the tokens of the context, then for pairs the next token.  ``others`` is the log10 factor
+    of a retained context on the shorter state, ``delta`` what a listed token has more than there.
+    """
+
+    def __init__(self, contexts: list[np.ndarray], retained: np.ndarray, others: np.ndarray, pairs: list[np.ndarray], delta: np.ndarray):
+        self.length = len(contexts)
+        self.places, self.pairs = Places(contexts), Places(pairs)
+        self.contexts = self.places.keys[-1]  #: (place of the context without its last token) * WIDE + last token
+        self.retained, self.others = retained[self.places.first], others[self.places.first]
+        self.delta = delta[self.pairs.first]
+
+    def add(self, ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the level adds to the log10 probability of each token, and the marks for the next level."""
+        at = after_context(marks, starts)
+        columns = histories(ids, at, self.length)
+        context = self.places.find(columns)
+        pair = np.where(marks[at], self.pairs.find([*columns, ids[at]]), -1)
+        added, found = np.zeros(len(ids)), np.zeros(len(ids), bool)
+        state = np.flatnonzero(context >= 0)
+        state = state[self.retained[context[state]]]
+        added[at[state]] = self.others[context[state]]
+        listed = np.flatnonzero(pair >= 0)
+        added[at[listed]] = self.delta[pair[listed]]
+        found[at[listed]] = True
+        return added, found
+
+
+def after_context(marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Places of the tokens before which a candidate context ends; texts begin with an end token at ``starts``."""
+    follows = np.zeros(len(marks), bool)
+    follows[1:] = marks[:-1]
+    follows[starts] = False
+    return np.flatnonzero(follows)
+
+
+def histories(ids: np.ndarray, at: np.ndarray, length: int) -> list[np.ndarray]:
+    return [ids[at - length + k] for k in range(length)]
 
 
 @dataclass
 class Tree:
+    """A whole tree in memory, for corpora that fit there."""
+
     words: list[bytes]  #: listed words; a word's number is its place
-    root: np.ndarray  #: log10 probability of each listed word at the root
     levels: list[Level]
 
     def number(self) -> dict[bytes, int]:
         return Numbers(zip(self.words, range(len(self.words))))
 
-    def histories(self, ids: np.ndarray, starts: np.ndarray, depth: int) -> Iterator[np.ndarray]:
-        """For lengths 1, 2, ...: the number of the context before each token, -1 where it is no candidate.
-
-        ``ids`` holds texts one after another, each ended by the end token; ``starts`` marks their first tokens.
-        """
-        end = self.words.index(END) if END in self.words else -1
-        before = np.empty_like(ids)
-        before[1:] = ids[:-1]
-        before[starts] = end
-        context = np.zeros(len(ids), np.int64)
-        for length in range(depth):
-            longer = context
-            if length:
-                longer = np.empty_like(context)
-                longer[1:] = context[:-1]
-                longer[starts] = -1
-            known = (longer >= 0) & (before >= 0)
-            context = np.where(known, find(self.levels[length].contexts, np.where(known, longer * WIDE + before, -1)), -1)
-            yield context
-
     def score(self, base: np.ndarray, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """log10 probability of each token; ``base`` has that of the root."""
-        out = base.copy()
-        for level, context in zip(self.levels, self.histories(ids, starts, len(self.levels))):
-            at = np.flatnonzero((context >= 0) & level.retained[context] if len(level.retained) else np.zeros(len(ids), bool))
-            pair = find(level.pairs, np.where(ids[at] >= 0, context[at] * WIDE + ids[at], -1))
-            out[at] = np.where(pair >= 0, level.listed[pair] if len(level.listed) else 0.0, out[at] + level.others[context[at]])
-        return out
+        end = self.words.index(END) if END in self.words else -1
+        ids, starts = np.insert(ids, starts, end), starts + np.arange(len(starts))
+        marks, added = ids >= 0, np.zeros(len(ids))
+        for level in self.levels:
+            more, marks = level.add(ids, marks, starts)
+            added += more
+        return base + np.delete(added, starts)
 
 
 class Numbers(dict):
@@ -161,98 +202,43 @@ class Numbers(dict):
 
 
 def text_arrays(texts: list[list[bytes]], number) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of texts one after another, each with its end, and the places of their first tokens."""
-    sizes = np.array([len(t) + 1 for t in texts])
-    ids = np.fromiter((number[w] for t in texts for w in (*t, END)), np.int64, int(sizes.sum()))
+    """Token numbers of texts one after another, each between two end tokens, and the places of the first ones."""
+    sizes = np.array([len(t) + 2 for t in texts])
+    ids = np.fromiter((number[w] for t in texts for w in (END, *t, END)), np.int64, int(sizes.sum()))
     return ids, np.cumsum(sizes) - sizes
 
 
-def next_counts(docs: DataFrame, held: Column, tree: Tree, text: str) -> DataFrame:
-    """(pair, n): the listed words after every candidate context of the longest length."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree_ = shared.value
-        number = tree_.number()
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for batch in small_batches(batches):
-            ids, starts = text_arrays([tokens(t.as_py()) for t in batch.column(0)], number)
-            *_, context = tree_.histories(ids, starts, len(tree_.levels))
-            some, n = np.unique((context * WIDE + ids)[(context >= 0) & (ids >= 0)], return_counts=True)
-            keys, place = np.unique(np.concatenate([keys, some]), return_inverse=True)
-            counts = np.bincount(place, np.concatenate([counts, n]), len(keys)).astype(np.int64)
-            if len(keys) > HELD_PAIRS:
-                yield arrow(["pair", "n"], [keys, counts])
-                keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if len(keys):
-            yield arrow(["pair", "n"], [keys, counts])
-
-    return docs.where(~held).select(whole_text(text).alias("_text")).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def settle(tree: Tree, depth: int, n_tokens: int) -> None:
-    """Divergence tests and smoothed probabilities of the level ``depth`` (shorter levels are settled)."""
-    level = tree.levels[depth]
-    context, token = level.pairs // WIDE, level.pairs % WIDE
-    shorter = tree.root[token]
-    if depth:  # the context without its first token, one length after the other
-        own = np.stack(spelled(tree, depth), axis=1)[context]
-        for d in range(depth):
-            place = np.zeros(len(own), np.int64)
-            for k in range(d + 1):
-                place = np.where(place >= 0, find(tree.levels[k].contexts, place * WIDE + own[:, depth - d + k]), -1)
-            less = tree.levels[d]
-            state = (place >= 0) & less.retained[place]
-            pair = find(less.pairs, np.where(state, place * WIDE + token, -1))
-            shorter = np.where(state, np.where(pair >= 0, less.listed[pair], shorter + less.others[place]), shorter)
-    up = 10.0 ** shorter
-    size = len(level.contexts)
-    p = (level.pair_counts + SMOOTHING * up) / (level.counts[context] + SMOOTHING)
-    rest = np.maximum(1 - np.bincount(context, p, size), 1e-12)
-    rest_up = np.maximum(1 - np.bincount(context, up, size), 1e-12)
-    gain = level.counts * (np.bincount(context, p * np.log(p / up), size) + rest * np.log(rest / rest_up))
-    kinds = np.bincount(context, minlength=size)
-    level.retained = (kinds > 0) & (gain > 0.5 * (kinds + 1) * np.log(max(2, n_tokens)))
-    level.listed = np.log10(p)
-    level.others = np.log10(rest / rest_up)
-
-
-def spelled(tree: Tree, depth: int) -> list[np.ndarray]:
-    """The token numbers of all contexts of the level ``depth``, first token first."""
-    keys = tree.levels[depth].contexts
-    out = [keys % WIDE]
-    for d in range(depth - 1, -1, -1):
-        keys = tree.levels[d].contexts[keys // WIDE]
-        out.insert(0, keys % WIDE)
-    return out
-
-
-def grow(docs: DataFrame, words: DataFrame, held: Column, n_train: int, v_train: int, text: str, depth: int) -> Tree:
-    """The tree, from the word table and one pass over the training texts for each length."""
-    least_next, least = max(MIN_COUNT, MIN_NEXT_SHARE * n_train), max(MIN_COUNT, MIN_SHARE * n_train)
-    rows = words.where(F.col("n") >= least_next).orderBy(F.desc("n"), "word").select("word", "n").collect()
-    counts = np.array([r["n"] for r in rows], np.int64)
-    tree = Tree([r["word"].encode() for r in rows], np.log10((counts + 0.5) / (n_train + 0.5 * (v_train + 1))), [])
-    contexts, sizes = np.arange(len(rows), dtype=np.int64)[counts >= least], counts[counts >= least]
-    for length in range(depth):
-        if not len(contexts):
-            break
-        level = Level(contexts, sizes)
-        tree.levels.append(level)
-        found = next_counts(docs, held, tree, text).where(F.col("n") >= least_next).toPandas().sort_values("pair")
-        level.pairs, level.pair_counts = found["pair"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
-        settle(tree, length, n_train)
-        often = level.pair_counts >= least
-        contexts, sizes = level.pairs[often], level.pair_counts[often]
-    return tree
 
+def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column one after another and the places of the first ones."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
 
-def scores(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
-    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    words = scratch(word_counts(docs, held, text), "words")
-    n_train, v_train, n_every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
-    tree = grow(docs, words, held, n_train, v_train, text, depth)
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+def numbered(words: DataFrame) -> DataFrame:
+    """``words`` with a number from 0 on for those of ``MIN_COUNT``, the most frequent first, and -1 for others."""
+    often = words.where(F.col("n") >= MIN_COUNT).orderBy(F.desc("n"), "word").select("word", F.monotonically_increasing_id().alias("_at"))
+    ranked = scratch(often, "ranked")
+    part = F.shiftright("_at", 33)
+    number, before = F.lit(0).cast("long"), 0
+    sizes = ranked.groupBy(part.alias("part")).count().orderBy("part").collect()  # a row for each task of the sort
+    if sizes:
+        offsets = []
+        for r in sizes:
+            offsets += [F.lit(r["part"]).cast("long"), F.lit(before).cast("long")]
+            before += r["count"]
+        number = F.element_at(F.create_map(*offsets), part.cast("long")) + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return scratch(words.join(ranked.select("word", number.alias("_number")), "word", "left")
+                   .select("word", "n", F.coalesce("_number", F.lit(-1)).cast("int").alias("number")), "numbers")
+
+
+def encode(docs: DataFrame, held: Column, words: DataFrame, n_every: int, n_train: int, v_train: int, text: str, key: str) -> DataFrame:
+    """Every row with its block, its scores at the root, its token numbers and marks on those that have one."""
     blocks = max(1, -(-n_every // BLOCK_TOKENS))
     source = docs.select(F.col(key).alias("_id"), held.alias("_held"), whole_text(text).alias("_text"))
     source = source.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))).repartition(int(blocks), "_block")
@@ -260,36 +246,179 @@ def scores(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted: dict[int, set[bytes]] = defaultdict(set)
         for batch in small_batches(batches):
-            for block, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for block, value in zip(batch.column(3).to_pylist(), batch.column(2)):
                 wanted[block].update(tokens(value.as_py()))
         for block, found in wanted.items():
             found.add(END)
             yield arrow(["_block", "word"], [pa.array([block] * len(found), pa.int64()), as_strings(list(found))])
 
-    def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        tree_ = shared.value
-        listed = tree_.number()
+    def translate(texts: pa.Table, found: pa.Table) -> pa.Table:
         asked = found.column("word").cast(pa.binary()).to_pylist()
         place = dict(zip(asked, range(len(asked))))
         n = found.column("n").to_numpy().astype(float)
         base = np.log10((n + 0.5) / (n_train + 0.5 * (v_train + 1)))
-        number = np.array([listed[w] for w in asked], np.int64)
+        number = found.column("number").to_numpy().astype(np.int32)
         out = []
         for at in range(0, texts.num_rows, 512):
-            some = [tokens(t.as_py()) for t in texts.column("_text").slice(at, 512)]
-            where, starts = text_arrays(some, place)
-            model = tree_.score(base[where], number[where], starts)
-            length = np.diff(np.append(starts, len(where)))
-            out.append((length, np.add.reduceat(n[where] > 0, starts, dtype=np.int64), np.add.reduceat(base[where], starts), np.add.reduceat(model, starts)))
-        length, seen, base_score, model_score = (np.concatenate(c) for c in zip(*out))
-        return pa.table({"_id": texts.column("_id"), "held_out": texts.column("_held"), "n_tokens": length, "n_known": seen,
-                         "train_tokens": np.full(len(length), n_train), "base_score": base_score, "score": model_score})
-
-    answers = source.select("_block", "_text").mapInArrow(ask, "_block long, word string").join(words, "word").select("_block", "word", "n")
+            some = texts.slice(at, 512)
+            where, starts = text_arrays([tokens(t.as_py()) for t in some.column("_text")], place)
+            seen, root = (n > 0)[where], base[where]
+            seen[starts], root[starts] = False, 0.0
+            ids = number[where]
+            out.append(pa.table({
+                "_block": some.column("_block"), "_id": some.column("_id"), "held_out": some.column("_held"),
+                "n_tokens": np.diff(np.append(starts, len(where))) - 1, "n_known": np.add.reduceat(seen, starts, dtype=np.int64),
+                "base_score": np.add.reduceat(root, starts), "score": np.add.reduceat(root, starts),
+                "ids": lists(ids, starts), "marks": lists(ids >= 0, starts)}))
+        return pa.concat_tables(out)
+
+    answers = source.mapInArrow(ask, "_block long, word string").join(words, "word").select("_block", "word", "n", "number")
     kind = docs.schema[key].dataType.simpleString()
-    scored = source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        score, f"_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("_id", key)
+    return source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
+        translate, f"_block long, _id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, ids array<int>, marks array<boolean>")
+
+
+def context(length: int) -> list[str]:
+    """The columns of a context's tokens."""
+    return [f"w{k}" for k in range(length)]
+
+
+def questions(texts: DataFrame, length: int) -> DataFrame:
+    """The different pairs of each block, of a context and the next token t, with n, the count in training texts."""
+    names = ["_block", *context(length), "t", "n"]
+
+    def distinct(block: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, marks, train, begins = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        at = after_context(marks, np.flatnonzero(begins)) if length else np.arange(len(ids))
+        at = at[marks[at]]
+        columns = [*histories(ids, at, length), ids[at]]
+        places = Places(columns)
+        size = len(places.first)
+        n = np.bincount(places.code, train[at], size).astype(np.int64)
+        if size:
+            yield arrow(names, [np.full(size, block, np.int64), *(c[places.first] for c in columns), n])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, size = None, [], 0
+        for batch in small_batches(batches):
+            block = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for a, b in zip(edges[:-1], edges[1:]):
+                if parts and (block[a] != now or size > BLOCK_TOKENS):
+                    yield from distinct(now, parts)
+                    parts, size = [], 0
+                ids, starts = flat(batch.column(2).slice(a, b - a))
+                marks, _ = flat(batch.column(3).slice(a, b - a))
+                held = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+                begins = np.zeros(len(ids), bool)
+                begins[starts] = True
+                parts.append((ids, marks, np.repeat(~held, np.diff(np.append(starts, len(ids)))), begins))
+                now, size = block[a], size + len(ids)
+        if parts:
+            yield from distinct(now, parts)
+
+    schema = ", ".join(["_block long", *(f"{w} int" for w in context(length)), "t int", "n long"])
+    return texts.select("_block", "held_out", "ids", "marks").mapInArrow(run, schema)
+
+
+def frequent(asked: DataFrame, length: int) -> DataFrame:
+    """The questions whose pair the training texts hold often enough, with n, its count there; a pair has one row for each block."""
+    own = [*context(length), "t"]
+    total = F.sum("n").over(Window.partitionBy(*own))
+    return asked.select("_block", *own, total.alias("n")).where(F.col("n") >= MIN_COUNT)
+
+
+def settle(asked: DataFrame, shorter: DataFrame, length: int, n_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts (retained, others) and pairs (n, state, delta, retained) of a length; ``shorter`` has the pairs of the length before."""
+    own = context(length)
+    counted = scratch(asked.groupBy(*own, "t").agg(F.first("n").alias("n")), "counts")
+    suffix = shorter.select(*(F.col(w).alias(f"w{k + 1}") for k, w in enumerate(context(length - 1))), "t", F.col("state").alias("up"))
+    sizes = shorter.select(*context(length - 1), F.col("t").alias(own[-1]), F.col("n").alias("size"))
+    p, up = F.col("p"), F.pow(F.lit(10.0), "up")
+    joined = counted.join(suffix, [*own[1:], "t"]).join(sizes, own)
+    joined = scratch(joined.withColumn("p", (F.col("n") + SMOOTHING * up) / (F.col("size") + SMOOTHING)), "smoothed")
+
+    def total(part: Column) -> Column:
+        return F.sum((part * FINE).cast("long")) / FINE
+
+    sums = joined.groupBy(*own).agg(F.count("*").alias("kinds"), F.first("size").alias("size"), F.greatest(1 - total(p), F.lit(1e-12)).alias("rest"),
+                                    F.greatest(1 - total(up), F.lit(1e-12)).alias("rest_up"), total(p * F.log(p / up)).alias("inside"))
+    gain = F.col("size") * (F.col("inside") + F.col("rest") * F.log(F.col("rest") / F.col("rest_up")))
+    contexts = scratch(sums.select(*own, (gain > 0.5 * (F.col("kinds") + 1) * float(np.log(max(2, n_tokens)))).alias("retained"),
+                                   F.log10(F.col("rest") / F.col("rest_up")).alias("others")), "contexts")
+    state = F.when(F.col("retained"), F.log10("p")).otherwise(F.col("up"))
+    pairs = joined.join(contexts.select(*own, "retained"), own).select(*own, "t", "n", state.alias("state"), (state - F.col("up")).alias("delta"), "retained")
+    return contexts, scratch(pairs, "pairs")
+
+
+def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFrame, pairs: DataFrame, length: int, last: bool) -> DataFrame:
+    """``texts`` with the scores of contexts up to ``length``; ``before`` has the pairs that are the contexts of the blocks.
+
+    The last one leaves out the token numbers.
+    """
+    own = context(length)
+    states = contexts.where("retained").select(*own, F.col("others").alias("value"))
+    listed = (pairs.where("retained") if last else pairs).select(*own, "t", F.col("delta").alias("value"))
+    answers = before.select("_block", *context(length - 1), F.col("t").alias(own[-1])).join(states, own).select("_block", *own, F.lit(-1).alias("t"), "value")
+    answers = answers.unionAll(asked.drop("n").join(listed, [*own, "t"]).select("_block", *own, "t", "value"))
+    schema = (texts.drop("ids", "marks") if last else texts).schema
+    names = schema.names
+
+    def score(some: pa.Table, found: pa.Table) -> pa.Table:
+        columns = [found.column(c).to_numpy().astype(np.int64) for c in (*own, "t")]
+        value = found.column("value").to_numpy()
+        state, listed = np.flatnonzero(columns[-1] < 0), np.flatnonzero(columns[-1] >= 0)
+        level = Level([c[state] for c in columns[:-1]], np.ones(len(state), bool), value[state], [c[listed] for c in columns], value[listed])
+        added, marks = [], []
+        for at in range(0, some.num_rows, 512):
+            ids, starts = flat(some.column("ids").slice(at, 512))
+            more, found_ = level.add(ids.astype(np.int64), flat(some.column("marks").slice(at, 512))[0], starts)
+            added.append(np.add.reduceat(more, starts))
+            marks.append(lists(found_, starts))
+        scored = some.set_column(some.column_names.index("score"), "score", pa.array(some.column("score").to_numpy() + np.concatenate(added)))
+        if not last:
+            scored = scored.set_column(some.column_names.index("marks"), "marks", pa.chunked_array(marks))
+        return scored.select(names)
+
+    return texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
+
+
+def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train: int, n_every: int, text: str, key: str, depth: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """Numbered words, contexts and pairs of each length, and the scored rows."""
+    words = numbered(words)
+    texts = encode(docs, held, words, n_every, n_train, v_train, text, key)
+    shorter = words.where("number >= 0").select(F.col("number").alias("t"), "n", F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (v_train + 1))).alias("state"))
+    texts = scratch(texts, "texts")
+    levels, asked = [], scratch(questions(texts, 0), "asked")
+    for length in range(1, depth + 1):
+        before, asked = asked, scratch(frequent(questions(texts, length), length), "asked")
+        contexts, shorter = settle(asked, shorter, length, n_train)
+        texts = step(texts, before, asked, contexts, shorter, length, length == depth)
+        if length < depth:
+            texts = scratch(texts, "texts")
+        levels.append((contexts, shorter))
+    return words, levels, texts
+
+
+def grow(docs: DataFrame, words: DataFrame, held: Column, n_train: int, v_train: int, text: str, depth: int, key: str = "doc_id") -> Tree:
+    """The whole tree in memory."""
+    n_every = words.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
+    words, levels, _ = learn(docs, held, words, n_train, v_train, n_every, text, key, depth)
+    tree = Tree([r["word"].encode() for r in words.where("number >= 0").orderBy("number").select("word").collect()], [])
+    for length, (contexts, pairs) in enumerate(levels, 1):
+        c, p = contexts.toPandas(), pairs.toPandas()
+        own = context(length)
+        tree.levels.append(Level([c[w].to_numpy(np.int64) for w in own], c["retained"].to_numpy(bool), c["others"].to_numpy(float),
+                                 [p[w].to_numpy(np.int64) for w in (*own, "t")], p["delta"].to_numpy(float)))
+    return tree
+
+
+def scores(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
+    """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
+    words = scratch(word_counts(docs, held, text), "words")
+    n_train, v_train, n_every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
+    *_, texts = learn(docs, held, words, n_train, v_train, n_every, text, key, depth)
+    return texts.select(F.col("_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def digests(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> DataFrame:
