@@ -5,7 +5,7 @@ the shared folder and reads it again as the documents of the next stage.  All st
 return the columns of ``documents``.
 
 Defined results beyond those of the operators: a document that loses words keeps the rest of its text
-as it is and gets a new ``n_chars``; rows that share an id stay or go together in the near-duplicate stage.
+as it is and gets a new ``n_chars``; the near-duplicate stage keeps one row of each group, whether or not ids repeat or are null.
 """
 from __future__ import annotations
 
@@ -25,9 +25,14 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id."""
-    first = simhash.groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_first")), "left_semi").select(COLUMNS)
+    """One row of each group: that with the smallest id (null last), then the smallest hash of its columns; of equal rows one."""
+    none = F.col("doc_id").isNull()
+    number = F.coalesce("doc_id", F.lit(0).cast(docs.schema["doc_id"].dataType))
+    mark = F.struct(none.alias("none"), number.alias("id"), F.sha2(F.to_json(F.struct(*COLUMNS)), 256).alias("hash"))
+    marked = docs.select(*COLUMNS, mark.alias("_mark"))
+    first = simhash.groups(marked, key="_mark").where("_mark = component_id").groupBy("_mark").agg(F.count("*").alias("_rows"))
+    kept = marked.join(scratch(first, "first"), "_mark")
+    return kept.where("_rows = 1").select(COLUMNS).unionAll(kept.where("_rows > 1").dropDuplicates(["_mark"]).select(COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,6 +170,17 @@ def test_pipeline_stage_by_stage(spark):
     assert set(before) == set(after) and all(r["round_trip"] and r["n_tokens"] == len(r["token_ids"]) for r in after.values())
 
 
+def test_near_duplicates_keeps_one_row_of_each_group(spark, odd_docs):
+    """Repeated rows, shared ids and null ids: five groups of text, one row each, and a row with an id before one without."""
+    from conftest import DOCS
+    lone = " ".join(f"lone{i}" for i in range(90))
+    extra = [(None, lone, "en", "s", 3), (None, lone, "de", "s", 3), (None, "solo " * 9, "en", "s", 4)]
+    got = corpus_pipeline.near_duplicates(spark, odd_docs.unionAll(spark.createDataFrame(extra, DOCS)), SF)
+    assert got.columns == corpus_pipeline.COLUMNS
+    rows = [(r["doc_id"], (r["text"] or "")[:5]) for r in got.collect()]
+    assert sorted(rows, key=repr) == sorted([(5, "w0 w1"), (5, "other"), (None, ""), (None, "lone0"), (None, "solo ")], key=repr)
+
+
 def test_pipeline_on_odd_documents(spark, odd_docs, empty_docs):
     for docs in (odd_docs, empty_docs):
         for _, stage in corpus_pipeline.STAGES:
