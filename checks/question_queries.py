@@ -138,6 +138,5 @@ SELECT l_linestatus, ROUND(AVG(CASE WHEN l_returnflag = 'R' THEN 1.0e0 ELSE 0.0e
   COALESCE(l_quantity >= 25, FALSE) AS condition FROM lineitem GROUP BY ALL""")
 def share_by_condition(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
-    one = [Q.share_by_condition(lines.where(F.col("l_linestatus") == status), F.col("l_quantity") >= 25, F.col("l_returnflag") == "R").select(
-        F.lit(status).alias("l_linestatus"), "condition", F.round("share", 6).alias("share"), "rows") for status in ("O", "F")]
-    return one[0].unionByName(one[1])
+    shares = Q.share_by_condition(lines, F.col("l_quantity") >= 25, F.col("l_returnflag") == "R", by=("l_linestatus",))
+    return shares.select("l_linestatus", "condition", F.round("share", 6).alias("share"), "rows")

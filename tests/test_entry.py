@@ -25,3 +25,11 @@ def test_first_per_key_is_pruned_before_the_shuffle(spark):
     df = spark.range(1000).selectExpr("id % 3 as k", "id as frame_start", "id as event_id")
     plan = first_per(df, ["k"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_share_by_condition_reads_every_status(spark, tmp_path):
+    import __spark_entry__
+    rows = [("O", 30.0, "R"), ("F", 10.0, "N"), ("P", 30.0, "R"), (None, 30.0, "N"), (None, None, "R")]
+    spark.createDataFrame(rows, "l_linestatus string, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = {(r["l_linestatus"], r["condition"]): (r["share"], r["rows"]) for r in __spark_entry__.queries()["share_by_condition"](spark, str(tmp_path)).collect()}
+    assert got == {("O", True): (1.0, 1), ("F", False): (0.0, 1), ("P", True): (1.0, 1), (None, True): (0.0, 1), (None, False): (1.0, 1)}

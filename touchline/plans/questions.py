@@ -175,10 +175,10 @@ def transitions_without_counter_press(events: DataFrame) -> DataFrame:
     return without(rows, events.where(obe() & has("event_subtype", "counter_press")), ["_pk"])
 
 
-def share_by_condition(df: DataFrame, condition: Column, hit: Column, name: str = "condition", share: str = "share") -> DataFrame:
-    """Share of hits on both sides of a condition; nulls count as no, and stay in the denominator."""
+def share_by_condition(df: DataFrame, condition: Column, hit: Column, name: str = "condition", share: str = "share", by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of hits on both sides of a condition, in each group of ``by``; nulls count as no, and stay in the denominator."""
     flag = F.coalesce(condition, F.lit(False))
-    return df.groupBy(flag.alias(name)).agg(
+    return df.groupBy(*by, flag.alias(name)).agg(
         F.avg(F.coalesce(hit, F.lit(False)).cast("int")).alias(share), F.count(F.lit(1)).alias("rows"))
 
 
