@@ -70,4 +70,28 @@ chosen AS (SELECT stratum, {_CHOSEN} FROM ordered WHERE standing GROUP BY stratu
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept
 FROM m LEFT JOIN chosen ON chosen.stratum IS NOT DISTINCT FROM m.stratum"""
 
-ORACLES = {"op2_quality_rules": RULED, "op3_substring": REPEATS, "op6_warc": ARCHIVE, "op7_decontaminate": CONTAMINATION}
+MIXED = f"""
+WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+w AS (SELECT *, [5, 2, 1][(place - 1) % 3 + 1] AS w, 2 * source_size AS can FROM s),
+b AS (SELECT SUM(w)::BIGINT AS w_all, SUM(source_size)::BIGINT * 150 / 100 AS budget FROM w),
+o AS (SELECT *, can / w AS rate, (budget - (SUM(can) OVER z - can)::BIGINT) / (w_all - (SUM(w) OVER z - w)::BIGINT) AS level FROM w, b WINDOW z AS (ORDER BY can / w, place)),
+l AS (SELECT arg_min(level, (rate, place)) AS shared FROM o WHERE level <= rate),
+t AS (SELECT source, source_size, place, CASE WHEN shared IS NULL OR rate < shared THEN CAST(can AS DOUBLE) ELSE w * shared END AS target FROM o, l),
+q AS (SELECT d.*, source_size, target, place, SUM(size) OVER (PARTITION BY place ORDER BY h, doc_id, size)::BIGINT AS done FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, (epoch * source_size + done) / target AS finish FROM q, (VALUES (0), (1)) e(epoch)),
+g AS (SELECT *, SUM(size) OVER (ORDER BY finish, place, epoch, h, doc_id, size) AS total FROM f)
+SELECT doc_id, source, size, source_size, target, CAST(coalesce(SUM(size) FILTER (WHERE total <= budget), 0) AS BIGINT) AS taken FROM g, b GROUP BY ALL"""
+
+MINED = """
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM r a, r b WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) AS k
+      FROM s WHERE same AND anchor_id <> other_id) WHERE k <= 5),
+n AS (SELECT p.*, other_id AS negative_id, score AS negative_score, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
+
+ORACLES = {"op12_mixing": MIXED, "op13_negatives": MINED, "op2_quality_rules": RULED, "op3_substring": REPEATS, "op6_warc": ARCHIVE, "op7_decontaminate": CONTAMINATION}

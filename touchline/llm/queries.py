@@ -5,8 +5,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import bpe, compression, decontaminate, quality_rules, simhash, substring, suffix_tree, toxicity, urls, warc
+from touchline.llm import bpe, compression, decontaminate, mixing, negatives, quality_rules, simhash, substring, suffix_tree, toxicity, urls, warc
 from touchline.llm.common import table
 from touchline.llm.oracles import ORACLES  # noqa: F401
 
@@ -70,3 +71,13 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_tree.digests(table(spark, sf, "documents"))
+
+
+@query
+def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"))
+
+
+@query
+def op13_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    return negatives.mine(negatives.noisy(table(spark, sf, "embeddings")), F.col("_id") % 50 == 0)
