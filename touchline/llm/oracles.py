@@ -70,6 +70,20 @@ chosen AS (SELECT stratum, {_CHOSEN} FROM ordered WHERE standing GROUP BY stratu
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_PASSED} AS kept
 FROM m LEFT JOIN chosen ON chosen.stratum IS NOT DISTINCT FROM m.stratum"""
 
+LEXICAL = rf"regexp_extract_all({LOW}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+RANKED = f"""
+WITH d AS (SELECT doc_id, {LEXICAL} AS w FROM documents),
+g AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+a AS (SELECT COUNT(*) AS n_docs, SUM(n)::BIGINT AS n_terms FROM g),
+p AS (SELECT doc_id, t, COUNT(*) AS tf FROM (SELECT doc_id, unnest(w) AS t FROM d) GROUP BY ALL),
+q AS (SELECT item_id, t, COUNT(*) AS qf FROM (SELECT item_id, unnest({LEXICAL}) AS t FROM benchmark) GROUP BY ALL),
+f AS (SELECT t, COUNT(*) AS df FROM p GROUP BY t),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM f, a WHERE t IN (SELECT t FROM q)),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * n_docs) // n_terms AS m FROM g, a),
+s AS (SELECT item_id, doc_id, SUM(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN v USING (t) JOIN p USING (t) JOIN m USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
 MIXED = f"""
 WITH d AS (SELECT doc_id, source, len({WORDS}) AS size, CAST('0x' || substr(md5('11:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(SUM(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
@@ -94,4 +108,4 @@ n AS (SELECT p.*, other_id AS negative_id, score AS negative_score, CAST(row_num
       FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3"""
 
-ORACLES = {"op12_mixing": MIXED, "op13_negatives": MINED, "op2_quality_rules": RULED, "op3_substring": REPEATS, "op6_warc": ARCHIVE, "op7_decontaminate": CONTAMINATION}
+ORACLES = {"op11_ranking": RANKED, "op12_mixing": MIXED, "op13_negatives": MINED, "op2_quality_rules": RULED, "op3_substring": REPEATS, "op6_warc": ARCHIVE, "op7_decontaminate": CONTAMINATION}

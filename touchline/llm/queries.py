@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import bpe, compression, decontaminate, mixing, negatives, quality_rules, simhash, substring, suffix_tree, toxicity, urls, warc
+from touchline.llm import bpe, compression, decontaminate, mixing, negatives, quality_rules, ranking, simhash, substring, suffix_tree, toxicity, urls, warc
 from touchline.llm.common import table
 from touchline.llm.oracles import ORACLES  # noqa: F401
 
@@ -73,6 +73,11 @@ def op8_suffix_tree(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_tree.digests(table(spark, sf, "documents"))
 
 
+@query
+def op11_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op12_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"))
