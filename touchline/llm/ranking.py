@@ -63,13 +63,13 @@ def raw(column: pa.Array) -> list[bytes]:
 class Part:
     """The items of one part: distinct terms as numbers, and each item's numbers with their counts."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple[object, str]]):
         self.ids = [r[0] for r in rows]
         self.code: dict[bytes, int] = {}
         self.codes, self.counts = [], []
         for _, text in rows:
             found: dict[int, int] = {}
-            for t in terms(text):
+            for t in terms(text.encode()):
                 c = self.code.setdefault(t, len(self.code))
                 found[c] = found.get(c, 0) + 1
             self.codes.append(np.fromiter(found.keys(), np.int64, len(found)))
@@ -330,7 +330,7 @@ def rank(docs: DataFrame, items: DataFrame, k: int = TOP, key: str = "doc_id", t
     found = []
     for i in range(n_parts):
         rows = read.where(F.pmod(F.xxhash64("_row"), F.lit(n_parts)) == i).orderBy("_row").collect()
-        part = Part([(r["_item_id"], r["_text"].encode()) for r in rows])
+        part = Part([(r["_item_id"], r["_text"]) for r in rows])
         if part.code:
             found.append(_search(docs, part, k, key, text, item_kind))
     if not found:
