@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from checks import driver_tables as D
 from touchline.plans import enrich as E
+from touchline.plans import tracking as T
 from touchline.session import temporary_folder
+from touchline.sources import layers
 
 BLOCK = 50
 _written: dict = {}
@@ -25,12 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return named or temporary_folder()
 
 
-def table(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def table(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], **layout) -> DataFrame:
     """The named table for this session and folder, built and written on first use."""
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
         path = f"{shared_folder(spark)}/gold-{uuid.uuid4().hex[:12]}/{name}"
-        build().write.mode("overwrite").parquet(path)
+        layers.write(build(), path, **layout)
         _written[key] = path
     return spark.read.parquet(_written[key])
 
@@ -50,13 +52,12 @@ def goals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """Tracking frames, sorted so that row groups can be skipped by (match_id, frame)."""
-    return table(spark, sf, "frames", lambda: D.frames(spark, sf).repartitionByRange("match_id", "frame").sortWithinPartitions("match_id", "frame"))
+    """Tracking frames as the lake lays them out: in folders by match, sorted by (match_id, frame)."""
+    return table(spark, sf, "frames", lambda: D.frames(spark, sf), sort=["match_id", "frame"], part=T.part_of())
 
 
 def frame_index(spark: SparkSession, sf: str) -> DataFrame:
-    from touchline.plans import tracking as T
-    return table(spark, sf, "frame_index", lambda: T.frame_index(frames(spark, sf), BLOCK))
+    return table(spark, sf, "frame_index", lambda: T.frame_index(frames(spark, sf)), sort=["match_id", "bucket"], part=T.part_of())
 
 
 def tracked_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,7 +82,6 @@ BASELINE_FRAMES = 100
 
 
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
-    from touchline.plans import tracking as T
     return table(spark, sf, "baselines", lambda: T.player_baselines(
         frames(spark, sf), matches(spark, sf), players(spark, sf), signs(spark, sf), min_frames=BASELINE_FRAMES, level=2.0))
 
@@ -90,3 +90,9 @@ def tracking(spark: SparkSession, sf: str, with_baselines: bool = False):
     from touchline.plans.predicates import Tracking
     return Tracking(frames(spark, sf), frame_index(spark, sf), signs(spark, sf), matches(spark, sf), players(spark, sf),
                     baselines(spark, sf) if with_baselines else None)
+
+
+def candidates(spark: SparkSession, sf: str, qid: int) -> DataFrame:
+    """The candidates of a tracking question, written like those of the lake."""
+    from touchline.plans import predicates
+    return table(spark, sf, f"candidates_{qid}", lambda: predicates.candidates(qid, gold_events(spark, sf), frame_index(spark, sf)))

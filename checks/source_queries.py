@@ -7,6 +7,7 @@ from checks import driver_tables as D
 from checks import lake
 from checks import oracle as O
 from checks.registry import query
+from touchline.plans import tracking as T
 from touchline.sources import conform as C
 from touchline.sources import gates as G
 
@@ -57,13 +58,12 @@ def conform_types(spark, sf):
 
 @query("tracked_matches", O.with_base(D.positions_cte(), select="SELECT DISTINCT match_id FROM tk"))
 def tracked_matches(spark, sf):
-    from touchline.plans import tracking as T
     return T.tracked_matches(lake.frame_index(spark, sf))
 
 
 @query("frame_inventory", O.with_base(D.positions_cte(), select="SELECT match_id, COUNT(*) AS n_frames, CAST(SUM(u) AS BIGINT) AS n_usable FROM fr GROUP BY match_id"))
 def frame_inventory(spark, sf):
-    return lake.frame_index(spark, sf).groupBy("match_id").agg(F.max("req").alias("n_frames"), F.max("use").alias("n_usable"))
+    return lake.frame_index(spark, sf).where(F.col("bucket") == T.EXTENT).select("match_id", F.col("req").alias("n_frames"), F.col("use").alias("n_usable"))
 
 
 @query("conform_numbers", """

@@ -172,16 +172,12 @@ wp AS (SELECT wf.*, tk.player_id AS pid, tk.x * sign AS x, tk.y * sign AS y, pl.
        JOIN tk ON tk.match_id = wf.match_id AND tk.frame = wf.frame LEFT JOIN pl ON pl.match_id = tk.match_id AND pl.player_id = tk.player_id)"""
 
 
-NEED = ["event_id", "match_id", "team_id", "player_id", "period", "frame_start", "frame_end", "phase_index", "game_interruption_before",
-        "event_type", "event_subtype", "end_type", "player_position", "x_start", "y_start", "team_possession_id", "own_penalty_area_start"]
-
-
-def gold(spark, sf):
-    return lake.gold_events(spark, sf).select(*NEED)
+def tracked(spark, sf, qid: int):
+    return P.rank_measured(qid, lake.candidates(spark, sf, qid), lake.tracking(spark, sf, qid == 56))
 
 
-def tracked(spark, sf, qid: int):
-    return P.answer_tracking(qid, gold(spark, sf), lake.tracking(spark, sf, qid == 56))
+def measured(spark, sf, qid: int):
+    return P.measured(qid, lake.candidates(spark, sf, qid), lake.tracking(spark, sf, qid == 56))
 
 
 CORNER_CD = """cd AS (SELECT * FROM (SELECT ev.*, ROW_NUMBER() OVER (PARTITION BY match_id, phase_index ORDER BY frame_start, event_id) AS rn FROM ev
@@ -197,9 +193,7 @@ CORNER_COLS = "event_id, matched, value, status, evidence_lo, evidence_hi, n_fra
 
 
 def corner_result(spark, sf, tag, predicate):
-    t = lake.tracking(spark, sf)
-    cand = P.corner_candidates(T.in_tracked_matches(gold(spark, sf), t.index), tag)
-    return P.evaluate(cand, predicate, P.CORNER_WINDOW, t)
+    return P.evaluate(lake.candidates(spark, sf, 68 if tag == "corner_for" else 70), predicate, P.CORNER_WINDOW, lake.tracking(spark, sf))
 
 
 @query("nearest_approach", O.with_base(POS, CORNER_CD.format(tag="corner_for"), gate_sql(250, 80, 0.10), DELIVERY, NEAR, select="""
@@ -276,8 +270,7 @@ SELECT cw.event_id, COALESCE(net >= 5 AND peak >= 15, FALSE) AS matched, ROUND(p
   CASE WHEN rb.event_id IS NOT NULL THEN f0 END AS evidence_lo, CASE WHEN rb.event_id IS NOT NULL THEN f9 END AS evidence_hi, cw.n_frames
 FROM cw LEFT JOIN rb ON rb.event_id = cw.event_id LEFT JOIN ff ON ff.event_id = cw.event_id"""))
 def recovery_run(spark, sf):
-    t = lake.tracking(spark, sf)
-    r = P.evaluate(P.turnovers(T.in_tracked_matches(gold(spark, sf), t.index)), P.recovery_run(), P.RECOVERY_WINDOW, t)
+    r = measured(spark, sf, 66)
     return r.select("event_id", "matched", F.round("value", 3).alias("value"), "status", "winger", F.round("net_retreat", 4).alias("net_retreat"),
                     F.round("distance", 3).alias("distance"), "tracked_back", "evidence_lo", "evidence_hi", "n_frames")
 
@@ -308,8 +301,7 @@ SELECT cw.event_id, COALESCE(cosine >= 0.6 AND score >= 15, FALSE) AS matched, R
   rr.pid AS centre_back, ROUND(peak_runner, 3) AS peak_runner, ROUND(peak_back, 3) AS peak_back, ROUND(cosine, 4) AS cosine, ROUND(sep_start, 4) AS sep_start, ROUND(sep_end, 4) AS sep_end,
   lo9 AS evidence_lo, hi9 AS evidence_hi, cw.n_frames FROM cw LEFT JOIN rr ON rr.event_id = cw.event_id"""))
 def foot_race(spark, sf):
-    t = lake.tracking(spark, sf)
-    r = P.evaluate(P.runs_in_behind(T.in_tracked_matches(gold(spark, sf), t.index)), P.foot_race(), P.RACE_WINDOW, t)
+    r = measured(spark, sf, 59)
     return r.select("event_id", "matched", *[F.round(c, 3).alias(c) for c in ("value", "peak_runner", "peak_back")], "status", "centre_back",
                     *[F.round(c, 4).alias(c) for c in ("cosine", "sep_start", "sep_end")], "evidence_lo", "evidence_hi", "n_frames")
 
@@ -354,8 +346,7 @@ DRAG_CTES = (POS, O.CHAIN_IDS, BASELINE_SQL, PULLING_CD, gate_sql(10, 30, 0.50),
 
 @query("pulling_runs", O.with_base(POS, O.CHAIN_IDS, PULLING_CD, select="SELECT event_id, match_id, player_id, team_possession_id FROM cd"))
 def pulling_runs(spark, sf):
-    runs = P.pulling_runs(T.in_tracked_matches(gold(spark, sf), lake.frame_index(spark, sf)))
-    return runs.select("event_id", "match_id", "player_id", "team_possession_id")
+    return lake.candidates(spark, sf, 56).select("event_id", "match_id", "player_id", "team_possession_id")
 
 
 @query("dragged_out_of_position", O.with_base(*DRAG_CTES, select="""
@@ -363,8 +354,7 @@ SELECT cw.event_id, COALESCE(closed > 0 AND lag > 0 AND growth >= 5, FALSE) AS m
   be_.pid AS centre_back, ROUND(closed, 3) AS closed, CAST(lag AS DOUBLE) AS lead_frames, lo9 AS evidence_lo, hi9 AS evidence_hi, cw.n_frames
 FROM cw LEFT JOIN be_ ON be_.event_id = cw.event_id"""))
 def dragged_out_of_position(spark, sf):
-    t = lake.tracking(spark, sf, True)
-    r = P.evaluate(P.pulling_runs(T.in_tracked_matches(gold(spark, sf), t.index)), P.dragged_out_of_position(), P.RACE_WINDOW, t)
+    r = measured(spark, sf, 56)
     return r.select("event_id", "matched", *[F.round(c, 3).alias(c) for c in ("value", "closed")], "status", "centre_back", "lead_frames", "evidence_lo", "evidence_hi", "n_frames")
 
 
@@ -380,6 +370,10 @@ bx_ AS (SELECT cw.event_id, wp.x, wp.y, wp.plen FROM cw JOIN wp ON wp.event_id =
 
 
 def box_candidates(spark, sf):
+    return lake.table(spark, sf, "box_candidates", lambda: _box_candidates(spark, sf))
+
+
+def _box_candidates(spark, sf):
     ev = lake.tracked_events(spark, sf).where(F.col("x_start").isNotNull())
     return E.add_zone_flags(ev.withColumns({c: F.lit(None).cast("double") for c in ("x_end", "y_end", "player_targeted_x_reception", "player_targeted_y_reception")}),
                             D.matches(spark, sf)).select(*ev.columns, "own_penalty_area_start")
@@ -426,4 +420,5 @@ def _whole_report_sql() -> str:
 @query("whole_report", _whole_report_sql())
 def whole_report(spark, sf):
     from checks.spec_queries import phases
-    return Q.run_all_questions(lake.gold_events(spark, sf), shape.phase_shape(phases(spark, sf)), lake.tracking(spark, sf, True)).select("qid", "hits", "matches")
+    return Q.run_all_questions(lake.gold_events(spark, sf), shape.phase_shape(phases(spark, sf)), lake.tracking(spark, sf, True),
+                               {q: lake.candidates(spark, sf, q) for q in P.QUESTIONS}).select("qid", "hits", "matches")

@@ -304,3 +304,66 @@ def test_rankings_come_in_order(t, gold):
     for q in (59, 66, 68, 70):
         values = [r["value"] for r in P.answer_tracking(q, gold, t).collect()]
         assert values == sorted(values, reverse=q != 66), q
+
+
+def test_answers_come_from_written_candidates(spark, lake, t, gold):
+    L.build_candidates(spark, lake)
+    chosen = L.load_candidates(spark, lake)
+    for q in (68, 70):
+        a, b = ([tuple(r) for r in df.select("event_id", "value", "matched").collect()] for df in (P.rank_measured(q, chosen[q], t), P.answer_tracking(q, gold, t)))
+        assert a == b
+
+
+def jobs(spark):
+    return spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+
+
+def test_only_folders_of_the_candidates_are_read(spark, lake, t):
+    """Frames and index of a question are pruned by folder when it runs; and planning it runs nothing."""
+    L.build_candidates(spark, lake)
+    chosen = layers.load(spark, lake, "gold", "candidates_68")
+    one = chosen.first()["match_id"]
+    chosen = chosen.where(F.col("match_id") == one)
+    before = jobs(spark)
+    df = P.rank_measured(68, chosen, t)
+    assert jobs(spark) == before
+    plan = df._jdf.queryExecution().executedPlan()
+    text = plan.toString()
+    scans = [line for line in text.splitlines() if "FileScan" in line and "part#" in line]
+    assert len(scans) >= 3 and all("dynamicpruningexpression(part#" in line for line in scans), text
+    assert {r["match_id"] for r in P.measured(68, chosen, t).collect()} == {one}
+
+
+def test_few_shuffles_per_question(spark, lake, t):
+    import re
+    L.build_candidates(spark, lake)
+    for q, chosen in L.load_candidates(spark, lake).items():
+        if q in (68, 70):
+            df = P.rank_measured(q, chosen, t)
+            df.collect()
+            text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert len(re.findall(r"\bExchange (?:hash|range|single|RoundRobin)", text)) <= 12, text
+
+
+@pytest.mark.parametrize("shift", [0, 37, 63, 64, 100_000])
+def test_coverage_with_pauses_and_repeats(spark, shift):
+    """Windows before, in, across and behind a match with pauses of whole buckets, unusable and repeated frames."""
+    import random
+    rng = random.Random(shift)
+    exist = sorted({shift + f for f in (*range(0, 70), *range(300, 310), *range(63, 66), 127, 128, 1000, 5000)})
+    usable = {f for f in exist if rng.random() < 0.7}
+    one = [(7, 1.0, 1.0, True)]
+    rows = [(m, f, 1.0, 2.0, one if f in usable else []) for m in (1, 4097) for f in exist] + [(1, exist[0], 1.0, 2.0, one if exist[0] in usable else [])]
+    frames = spark.createDataFrame(rows, "match_id long, frame long, ball_x double, ball_y double, players array<struct<player_id long, x double, y double, is_detected boolean>>")
+    index = T.frame_index(frames, block=2).cache()
+    ends = [-200, 0, 1, 62, 63, 64, 65, 70, 128, 200, 299, 305, 999, 1000, 1001, 4999, 5000, 5001, 9000]
+    windows = [(m, f"{m}.{a}.{b}", a + shift, b + shift) for m in (1, 4097, 2) for a in ends for b in ends]
+    got = T.coverage(spark.createDataFrame(windows, "match_id long, event_id string, lo long, hi long"), index).collect()
+    assert len(got) == len(windows)
+    for r in got:
+        inside = [f for f in exist if r["lo"] <= f <= r["hi"]] if r["match_id"] != 2 else []
+        n = sum(f in usable for f in inside)
+        assert (r["requested"], r["n_frames"], r["coverage"]) == (len(inside), n, n / len(inside) if inside else 0.0), r
+    balls = T.fetch_balls(spark.createDataFrame([(1, "e", shift + 60, shift + 305)], "match_id long, event_id string, lo long, hi long"), index)
+    assert sorted({r["frame"] for r in balls.collect()}) == [f for f in exist if shift + 60 <= f <= shift + 305 and f in usable]
+    assert {r["match_id"] for r in T.tracked_matches(index).collect()} == {1, 4097}

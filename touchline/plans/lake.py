@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline import schema as S
 from touchline.plans import enrich as E
-from touchline.plans import shape
+from touchline.plans import predicates, shape
 from touchline.plans import tracking as T
 from touchline.plans.predicates import Tracking
 from touchline.sources import gates, layers, raw
@@ -40,9 +40,9 @@ def build_silver(spark: SparkSession, bronze: str, lake: str, check_only: bool =
         layers.save(conform_undeclared(phases, S.PHASE_COLUMN_TYPES), lake, "silver", "phases")
     if inventory is not None:
         layers.save(inventory, lake, "silver", "tracking_inventory")
-        layers.save(raw.read_tracking(spark, bronze), lake, "silver", "frames", ["match_id", "frame"])
+        layers.save(raw.read_tracking(spark, bronze), lake, "silver", "frames", ["match_id", "frame"], T.part_of())
         frames = layers.load(spark, lake, "silver", "frames")
-        layers.save(T.frame_index(frames), lake, "silver", "frame_index", ["match_id", "frame"])
+        layers.save(T.frame_index(frames), lake, "silver", "frame_index", ["match_id", "bucket"], T.part_of())
         signs = T.vote_signs(layers.load(spark, lake, "silver", "events"), frames, layers.load(spark, lake, "silver", "frame_index"))
         layers.save(T.require_signs(signs), lake, "silver", "mirror_signs")
     return found
@@ -72,6 +72,17 @@ def build_baselines(spark: SparkSession, lake: str, min_frames: int = 600) -> No
     layers.save(T.player_baselines(t.frames, t.matches, t.players, t.signs, min_frames), lake, "gold", "player_baselines")
 
 
+def build_candidates(spark: SparkSession, lake: str) -> None:
+    """Write the candidates of every tracking question."""
+    events, index = layers.load(spark, lake, "gold", "events_enriched"), layers.load(spark, lake, "silver", "frame_index")
+    for qid in predicates.QUESTIONS:
+        layers.save(predicates.candidates(qid, events, index), lake, "gold", f"candidates_{qid}")
+
+
+def load_candidates(spark: SparkSession, lake: str) -> dict[int, DataFrame]:
+    return {qid: layers.load(spark, lake, "gold", f"candidates_{qid}") for qid in predicates.QUESTIONS}
+
+
 def load_tracking(spark: SparkSession, lake: str, baselines: bool = True) -> Tracking:
     frames, index, signs, matches, players = (
         layers.load(spark, lake, "silver", t) for t in ("frames", "frame_index", "mirror_signs", "matches", "players"))

@@ -1,7 +1,7 @@
 """The analyst questions: each a filter, an absence, an aggregate or a tracking predicate."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -255,11 +255,15 @@ def run_event_questions(events: DataFrame) -> DataFrame:
     return out.unionByName(shares.withColumn("matches", F.lit(None).cast("bigint")))
 
 
-def run_all_questions(events: DataFrame, phase_shape: DataFrame, tracking) -> DataFrame:
-    """Run report of all 77 answerable questions: those on events, on phase shape (17) and on tracking."""
+def run_all_questions(events: DataFrame, phase_shape: DataFrame, tracking, candidates: Mapping[int, DataFrame] | None = None) -> DataFrame:
+    """Run report of all 77 answerable questions: those on events, on phase shape (17) and on tracking.
+
+    ``candidates`` are the written candidate tables of the tracking questions; without them they are found in ``events``.
+    """
     from touchline.plans import predicates, shape
 
     out = run_event_questions(events).unionByName(tally(17, shape.narrow_blocks(phase_shape), "exact"))
     for q in TRACKING_QUESTIONS:
-        out = out.unionByName(tally(q, predicates.answer_tracking(q, events, tracking), "exact"))
+        chosen = candidates[q] if candidates else predicates.candidates(q, events, tracking.index)
+        out = out.unionByName(tally(q, predicates.rank_measured(q, chosen, tracking), "exact"))
     return out

@@ -12,10 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import schema as S
-from touchline.operators.ordered import asof, block_of, exact_percentiles, running_sum
+from touchline.operators.ordered import block_of, exact_percentiles, previous_row, running_sum
 
 #: Frames per bucket of the range join.
 BUCKET = 256
+#: Frames per row of the frame index: the bits of a number.
+INDEX_BUCKET = 64
+#: Values of the partition column ``part`` of the tracking tables, which bounds what tells a scan which folders it needs.
+PARTS = 4096
+#: The index row of a whole match stands at this bucket.
+EXTENT = -(1 << 40)
 KEY = ["match_id", "event_id"]
 
 
@@ -26,18 +32,49 @@ def usable(players: str | Column = "players") -> Column:
     return F.coalesce(F.size(players) > 0, F.lit(False))
 
 
-def fetch_window(windows: DataFrame, frames: DataFrame, lo: str = "lo", hi: str = "hi", bucket: int = BUCKET) -> DataFrame:
+def part_of(match_id: str | Column = "match_id") -> Column:
+    """The folder of a match's tracking."""
+    return F.pmod(match_id if isinstance(match_id, Column) else F.col(match_id), F.lit(PARTS)).cast("int")
+
+
+def pruned(table: DataFrame, windows: DataFrame) -> DataFrame:
+    """``table`` without the folders that no window touches; a table that is not laid out in folders stays as it is.
+
+    The folders are found when the query runs, and Spark reads no others.  What is broadcast are distinct
+    values of ``part``: at most ``PARTS`` numbers, however many windows there are.
+    """
+    if "part" not in table.columns:
+        return table
+    needed = windows.select(part_of().alias("part")).distinct()
+    return table.join(F.broadcast(needed), "part", "left_semi").drop("part")
+
+
+def occupied(windows: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """The windows that can hold a frame at all; Spark skips folders only for a side that is filtered."""
+    return windows.where(F.col(lo) <= F.col(hi))
+
+
+def fetch_window(windows: DataFrame, frames: DataFrame, lo: str = "lo", hi: str = "hi", bucket: int = BUCKET, scope: DataFrame | None = None) -> DataFrame:
     """All frames of each window, both ends inclusive.
 
     A range join on match_id alone would pair a whole match with every window; joining on
     (match_id, frame bucket) pairs a window only with the few buckets it touches, and spreads a
-    match over as many tasks as it has buckets.
+    match over as many tasks as it has buckets.  ``scope`` names windows that are cheaper to look up and
+    touch at least the same folders.
     """
     w = windows.withColumn("__b", F.explode(F.sequence(block_of(lo, bucket), block_of(hi, bucket))))
-    f = frames.withColumn("__b", block_of("frame", bucket))
+    f = pruned(frames, occupied(windows, lo, hi) if scope is None else scope).withColumn("__b", block_of("frame", bucket))
     return w.join(f, ["match_id", "__b"]).where(F.col("frame").between(F.col(lo), F.col(hi))).drop("__b")
 
 
+def fetch_balls(windows: DataFrame, index: DataFrame, lo: str = "lo", hi: str = "hi", scope: DataFrame | None = None) -> DataFrame:
+    """frame, ball_x and ball_y of the usable frames of each window, from the frame index alone."""
+    w = windows.withColumn("bucket", F.explode(F.sequence(block_of(lo, INDEX_BUCKET), block_of(hi, INDEX_BUCKET))))
+    found = w.join(pruned(index, occupied(windows, lo, hi) if scope is None else scope).select("match_id", "bucket", "balls"), ["match_id", "bucket"]).drop("bucket")
+    inside = F.filter("balls", lambda b: b["frame"].between(F.col(lo), F.col(hi)))
+    return found.withColumn("__ball", F.explode(inside)).select(*windows.columns, "__ball.*")
+
+
 def sample_count(lo: Column, hi: Column, n: int) -> Column:
     """How many frames of [lo, hi] are asked for."""
     return F.greatest(F.least(F.lit(n).cast("bigint"), hi - lo + 1), F.lit(0))
@@ -60,47 +97,72 @@ def explode_samples(windows: DataFrame, n: int, lo: str = "lo", hi: str = "hi")
 def fetch_at(windows: DataFrame, frames: DataFrame, wanted: str) -> DataFrame:
     """The frames named in an array column; frames that do not exist are skipped."""
     w = windows.withColumn("frame", F.explode(wanted))
-    return w.join(frames, ["match_id", "frame"])
+    return w.join(pruned(frames, windows.where(F.size(wanted) > 0)), ["match_id", "frame"])
 
 
 def fetch_sampled(windows: DataFrame, frames: DataFrame, n: int, lo: str = "lo", hi: str = "hi") -> DataFrame:
-    return explode_samples(windows, n, lo, hi).join(frames, ["match_id", "frame"])
+    return explode_samples(windows, n, lo, hi).join(pruned(frames, occupied(windows, lo, hi)), ["match_id", "frame"])
 
 
-def frame_index(frames: DataFrame, block: int = 3000) -> DataFrame:
-    """Running counts of frames (``req``) and usable frames (``use``) at each frame, with the ball.
+def frame_index(frames: DataFrame, block: int = 256) -> DataFrame:
+    """One row per match and bucket of 64 frames: counts of frames and usable frames before it, and which of its frames exist.
 
-    Written once per lake: window coverage, the list of tracked matches and everything that needs
-    only the ball read this narrow table and never touch the player arrays.
+    Bit i of ``here`` (``used``) tells that the bucket's frame i exists (is usable); ``balls`` has the ball of the usable ones.
+    Buckets without frames between a match's first and last get a row too (frame numbers count tenths of
+    a second, so a pause costs one row per 64 of them), and one row at ``EXTENT`` tells the totals of the match
+    and its last bucket.  With that, the frames of any window are counted from two buckets.  A frame that
+    stands twice in ``frames`` counts once.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("frame", F.lit(INDEX_BUCKET)).cast("int"))
+    held = frames.where("match_id is not null and frame is not null").groupBy("match_id", block_of("frame", INDEX_BUCKET).alias("bucket")).agg(
+        F.bit_or(bit).alias("here"), F.coalesce(F.bit_or(F.when(usable(), bit)), F.lit(0)).alias("used"),
+        F.sort_array(F.collect_list(F.when(usable(), F.struct("frame", "ball_x", "ball_y")))).alias("balls"))
+    levels = [block_of("bucket", block)]
+    counts = held.select("match_id", "bucket", F.bit_count("here").cast("long").alias("n"), F.bit_count("used").cast("long").alias("n_used"))
+    counts = running_sum(counts, ["match_id"], levels, ["bucket"], {"req": F.col("n"), "use": F.col("n_used")})
+    linked = previous_row(counts, ["match_id"], levels, "bucket", {"earlier": "bucket"})
+    gap = F.sequence(F.coalesce(F.col("earlier") + 1, F.col("bucket")), F.col("bucket"))
+    filled = linked.select("match_id", F.explode(gap).alias("bucket"), (F.col("req") - F.col("n")).alias("req"), (F.col("use") - F.col("n_used")).alias("use"))
+    rows = filled.join(held, ["match_id", "bucket"], "left").fillna(0, ["here", "used"])
+    whole = counts.groupBy("match_id").agg(F.sum("n").alias("req"), F.sum("n_used").alias("use"), F.max("bucket").alias("last"))
+    return rows.unionByName(whole.withColumn("bucket", F.lit(EXTENT)), allowMissingColumns=True)
+
+
+def coverage(windows: DataFrame, index: DataFrame, lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """Adds requested (frames that exist in the window), n_frames (usable ones) and coverage.  Windows are distinct rows.
+
+    The counts up to both ends come from their two buckets and from the match's own row, all met in
+    one join, so the cost of a window does not depend on its length and no frame row is read.
     """
-    points = frames.select("match_id", "frame", "ball_x", "ball_y", usable().alias("usable"))
-    counts = {"req": F.lit(1), "use": F.col("usable").cast("long")}
-    totals = running_sum(points, ["match_id"], [block_of("frame", block)], ["frame"], counts)
-    return totals.select("match_id", "frame", "req", "use", "usable", "ball_x", "ball_y")
+    ends = F.array(block_of(F.col(lo) - 1, INDEX_BUCKET), block_of(hi, INDEX_BUCKET), F.lit(EXTENT))
+    probes = windows.withColumn("bucket", F.explode(F.array_distinct(ends)))
+    found = probes.join(pruned(index, occupied(windows, lo, hi)).select("match_id", "bucket", "req", "use", "here", "used", "last"), ["match_id", "bucket"], "left")
 
+    def up_to(end: Column, counted: str, bits: str) -> Column:
+        """Frames up to ``end``, known in the row of its bucket."""
+        low = F.call_function("shiftrightunsigned", F.lit(-1).cast("bigint"), (INDEX_BUCKET - 1 - F.pmod(end, F.lit(INDEX_BUCKET))).cast("int"))
+        return F.max(F.when(F.col("bucket") == block_of(end, INDEX_BUCKET), F.col(counted) + F.bit_count(F.col(bits).bitwiseAND(low))))
 
-def coverage(windows: DataFrame, index: DataFrame, lo: str = "lo", hi: str = "hi", axis: DataFrame | None = None) -> DataFrame:
-    """Adds requested (frames that exist in the window), n_frames (usable ones) and coverage.
+    def total(name: str) -> Column:
+        return F.max(F.when(F.col("bucket") == EXTENT, F.col(name))).alias(f"__{name}")
 
-    Counts come from two look-ups in the frame index, so the cost of a window does not depend on
-    its length and no frame row is fetched.
-    """
-    axis = windows if axis is None else axis
-    counts = ["req", "use"]
-    found = asof(windows, index, ["match_id"], hi, "frame", BUCKET, {"__to": ("since", None)}, payload=counts, axis=axis)
-    found = asof(found, index, ["match_id"], lo, "frame", BUCKET, {"__from": ("since", None)}, payload=counts, strict=True, axis=axis)
+    before, last = F.col(lo) - 1, F.col(hi)
+    met = found.groupBy(*windows.columns).agg(
+        up_to(before, "req", "here").alias("__req_lo"), up_to(last, "req", "here").alias("__req_hi"),
+        up_to(before, "use", "used").alias("__use_lo"), up_to(last, "use", "used").alias("__use_hi"), *[total(c) for c in ("req", "use", "last")])
 
     def between(name: str) -> Column:
-        inside = F.coalesce(F.col("__to")[name], F.lit(0)) - F.coalesce(F.col("__from")[name], F.lit(0))
-        return F.when(F.col(hi) >= F.col(lo), inside).otherwise(0)
+        def at(end: Column, known: str) -> Column:  # an end outside the match has no bucket
+            return F.coalesce(F.col(known), F.when(block_of(end, INDEX_BUCKET) > F.col("__last"), F.col(f"__{name}")), F.lit(0))
+        return F.when(F.col(hi) >= F.col(lo), at(last, f"__{name}_hi") - at(before, f"__{name}_lo")).otherwise(0)
 
-    return found.select(*windows.columns, between("req").alias("requested"), between("use").alias("n_frames"),
-                        F.coalesce(F.try_divide(between("use"), between("req")), F.lit(0.0)).alias("coverage"))
+    return met.select(*windows.columns, between("req").alias("requested"), between("use").alias("n_frames"),
+                      F.coalesce(F.try_divide(between("use"), between("req")), F.lit(0.0)).alias("coverage"))
 
 
 def tracked_matches(index: DataFrame) -> DataFrame:
     """Matches with at least one usable frame."""
-    return index.where(F.col("use") > 0).select("match_id").distinct()
+    return index.where((F.col("bucket") == EXTENT) & (F.col("use") > 0)).select("match_id")
 
 
 def in_tracked_matches(df: DataFrame, index: DataFrame) -> DataFrame:
@@ -167,7 +229,7 @@ def vote_signs(events: DataFrame, frames: DataFrame, index: DataFrame, tolerance
         *group, "event_id", "player_id", "frame_start", "x_start", "y_start"), index)
     complete = (F.col("x_start").isNotNull() & F.col("y_start").isNotNull() & F.col("player_id").isNotNull() & F.col("frame_start").isNotNull())
     picked = pool.where(complete)
-    at = picked.withColumn("frame", F.col("frame_start")).join(frames.select("match_id", "frame", "players"), ["match_id", "frame"], "left")
+    at = picked.withColumn("frame", F.col("frame_start")).join(pruned(frames, picked.where("frame_start >= 0")).select("match_id", "frame", "players"), ["match_id", "frame"], "left")
     seen = at.withColumn("__p", player_of("players", F.col("player_id")))
     tx, ty = F.col("__p.x"), F.col("__p.y")
     same = (F.abs(F.col("x_start") - tx) <= tolerance) & (F.abs(F.col("y_start") - ty) <= tolerance)

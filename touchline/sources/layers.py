@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 BUILD_STEP = {"silver": "touchline.plans.lake.build_silver", "gold": "touchline.plans.lake.build_gold"}
 
@@ -23,10 +23,17 @@ def load(spark: SparkSession, lake: str, layer: str, table: str) -> DataFrame:
         raise MissingTable(f"{path} is missing; run {BUILD_STEP.get(layer, 'its build step')} first") from exc
 
 
-def save(df: DataFrame, lake: str, layer: str, table: str, sort: Sequence[str] = ()) -> None:
+def save(df: DataFrame, lake: str, layer: str, table: str, sort: Sequence[str] = (), part: Column | None = None) -> None:
     """Write a table.  ``sort`` range-partitions and sorts, so that row groups can be skipped on it.
 
     Range partitioning splits by row counts, so a match with most of the rows is spread over many files.
+    ``part`` lays the table out in one folder per value (column ``part``), which a scan can leave out.
     """
-    out = df.repartitionByRange(*sort).sortWithinPartitions(*sort) if sort else df
-    out.write.mode("overwrite").parquet(f"{lake}/{layer}/{table}")
+    write(df, f"{lake}/{layer}/{table}", sort, part)
+
+
+def write(df: DataFrame, path: str, sort: Sequence[str] = (), part: Column | None = None) -> None:
+    out, order = (df, [*sort]) if part is None else (df.withColumn("part", part), ["part", *sort])
+    out = out.repartitionByRange(*order).sortWithinPartitions(*order) if order else out
+    writer = out.write.mode("overwrite")
+    (writer if part is None else writer.partitionBy("part")).parquet(path)
