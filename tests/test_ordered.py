@@ -139,3 +139,38 @@ def test_sample_is_repeatable(spark):
     df = spark.range(200)
     a, b = (sorted(r["id"] for r in M.seeded_sample(d, 20, ["id"], 7).collect()) for d in (df, df.repartition(9)))
     assert a == b and len(a) == 20
+
+
+@pytest.mark.parametrize("fold", [0, 3, 10 ** 6])
+def test_greedy_collapse_by_pointers(spark, fold):
+    rng = random.Random(fold)
+    rows = [(rng.choice("aab"), rng.randrange(-300, 900) // rng.choice([1, 1, 40])) for _ in range(400)] + [("c", 5), ("c", 5), ("c", None), ("d", None)]
+    got = R.greedy_collapse(spark.createDataFrame(rows, "g string, t long"), ["g"], "t", 11, fold=fold, block=4).collect()
+    for g in "abcd":
+        assert sorted(r["t"] for r in got if r["g"] == g) == greedy([t for k, t in rows if k == g and t is not None], 11)
+
+
+def test_one_island_of_a_hundred_thousand_markers(spark):
+    """Every cell's first offset is smaller than the last one's of the cell before, so nothing splits the island."""
+    n, gap = 100_000, 9
+    at = F.col("id") * 6 + F.pmod(F.col("id") * 7, F.lit(5))
+    df = spark.range(n).select(F.lit("m").alias("g"), at.alias("t"))
+    want = greedy([i * 6 + i * 7 % 5 for i in range(n)], gap)
+    got = sorted(r["t"] for r in R.greedy_collapse(df, ["g"], "t", gap).collect())
+    assert got == want and len(got) > 40_000
+
+
+def test_asof_rows_without_position_or_key_and_strict_payload(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", 5, 2), (None, 5, 3), ("a", 200, 4), ("b", 7, 5), ("a", -40, 6)], "g string, t int, id int")
+    marks = spark.createDataFrame([("a", 5, "x"), ("a", 90, "y"), (None, 5, "z"), ("a", None, "n")], "g string, m long, p string")
+    got = {r["id"]: r for r in R.asof(df, marks, ["g"], "t", "m", 16, {"s": ("since", None), "u": ("until", None)}, payload=["p"]).collect()}
+    assert {k: (r["s"] and r["s"]["p"], r["u"] and r["u"]["p"]) for k, r in got.items()} == {1: (None, None), 2: ("x", "x"), 3: (None, None), 4: ("y", None), 5: (None, None), 6: (None, "x")}
+    strict = {r["id"]: r for r in R.asof(df, marks, ["g"], "t", "m", 16, {"s": ("since", None), "u": ("until", None)}, payload=["p"], strict=True).collect()}
+    assert strict[2]["s"] is None and strict[2]["u"]["p"] == "y"
+    assert dict(R.asof(df, marks, ["g"], "t", "m", 16, {"s": ("since", None)}).dtypes)["t"] == "int"
+
+
+def test_asof_has_no_array_of_a_block(spark):
+    df = spark.range(10).selectExpr("1L AS g", "id AS t")
+    plan = R.asof(df, df, ["g"], "t", "t", 64, {"s": ("since", None)})._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lambda" not in plan

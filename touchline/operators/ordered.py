@@ -17,6 +17,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.session import cut_lineage
+
+#: Groups over which rows without a position are spread.
+LOST_BLOCKS = 4096
+
 
 def block_of(position: Column | str, width: float) -> Column:
     """Order-preserving coarse position."""
@@ -138,7 +143,10 @@ def asof(
     strict: bool = False,
     axis: DataFrame | None = None,
 ) -> DataFrame:
-    """Nearest marker at or before ("since") and at or after ("until") each row, in one join.
+    """Nearest marker at or before ("since") and at or after ("until") each row.
+
+    Within a block of the axis rows and markers are merged in order, so a row costs the same however
+    many markers its block holds; what lies in other blocks comes from one summary row per block.
 
     ``lookups`` maps an output column to ``(direction, kind)``; markers of several kinds are told
     apart by the ``kind`` column.  Each output is a struct ``(at, <payload>)`` or null.  Ties are
@@ -150,85 +158,93 @@ def asof(
     by = list(by)
     kinds = list(dict.fromkeys(k for _, k in lookups.values()))
     cols = [*by, *([kind] if kind else []), marker_at]
-    m = markers.where(F.col(marker_at).isNotNull())
+    m = markers.where(F.col(marker_at).isNotNull()).dropna(subset=by)
     if not payload:
         m = m.select(*cols).distinct()
     item = F.struct(F.col(marker_at).alias("at"), *[F.col(p) for p in payload])
-    arrays = {k: f"__ms{i}" for i, k in enumerate(kinds)}
-    blocks = (
-        m.withColumn("__blk", block_of(marker_at, width))
-        .groupBy(*by, "__blk")
-        .agg(*[
-            F.sort_array(F.collect_list(item if k is None else F.when(F.col(kind) == k, item))).alias(a)
-            for k, a in arrays.items()
-        ])
-    )
-    rows = df.withColumn("__blk", block_of(at, width))
+    mark = {k: f"__m{i}" for i, k in enumerate(kinds)}
+    placed = m.select(*by, F.col(marker_at).cast("bigint").alias("__pos"), block_of(marker_at, width).alias("__blk"),
+                      *[(item if k is None else F.when(F.col(kind) == k, item)).alias(c) for k, c in mark.items()])
+
+    # inside the block: rows and markers in one order, the nearest marker carried along it in either direction
+    apart = -1 - F.pmod(F.xxhash64(*df.columns), F.lit(LOST_BLOCKS))  # rows without a position meet no marker and are spread
+    rows = df.withColumn("__row", F.lit(True)).withColumn("__pos", F.col(at).cast("bigint")).withColumn("__blk", block_of(at, width))
+    rows = rows.withColumn("__lost", F.when(F.col(at).isNull(), apart))
+    merged = rows.unionByName(placed, allowMissingColumns=True)
+    group = Window.partitionBy(*by, "__blk", "__lost")
+    reach = -1 if strict else Window.currentRow
+    order = {"since": group.orderBy("__pos"), "until": group.orderBy(F.col("__pos").desc())}
+    near = merged.select("*", *[F.last(mark[k], ignorenulls=True).over(order[way].rangeBetween(Window.unboundedPreceding, reach)).alias("__n_" + out)
+                                for out, (way, k) in lookups.items()])
+    near = near.where("__row").drop("__row", "__pos", *mark.values())
+
+    # outside: the last marker of an earlier block, the first of a later one
+    ends = placed.groupBy(*by, "__blk").agg(*[f(c, F.when(F.col(c).isNotNull(), F.col("__pos"))).alias(f"{c}_{way}") for c in mark.values() for way, f in (("since", F.max_by), ("until", F.min_by))])
     needed = (df if axis is None else axis).select(*by, block_of(at, width).alias("__blk")).distinct()
-    index = needed.unionByName(blocks, allowMissingColumns=True).groupBy(*by, "__blk").agg(
-        *[F.first(a, ignorenulls=True).alias(a) for a in arrays.values()]
-    )
-    w = Window.partitionBy(*by).orderBy("__blk")
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    later = w.rowsBetween(1, Window.unboundedFollowing)
-    edges = {}
-    for out, (direction, k) in lookups.items():
-        a = arrays[k]
-        if direction == "since":
-            edges[out] = F.last(F.try_element_at(a, F.lit(-1)), ignorenulls=True).over(earlier)
-        else:
-            edges[out] = F.first(F.try_element_at(a, F.lit(1)), ignorenulls=True).over(later)
-    index = index.select("*", *[e.alias("__e_" + o) for o, e in edges.items()])
-
-    found = rows.join(index, [*by, "__blk"], "left")
-    for out, (direction, k) in lookups.items():
-        inside = _nearest_in(F.col(arrays[k]), F.col(at), direction == "since", strict)
-        found = found.withColumn(out, F.when(F.col(at).isNotNull(), F.coalesce(inside, F.col("__e_" + out))))
-    return found.drop("__blk", *arrays.values(), *["__e_" + o for o in lookups])
-
-
-def _nearest_in(items: Column, x: Column, back: bool, strict: bool) -> Column:
-    """Last item at or before x, or first item at or after it, of a sorted array of (at, ...)."""
-    if back:
-        reached = F.filter(items, lambda s: (s["at"] < x) if strict else (s["at"] <= x))
-        return F.try_element_at(reached, F.lit(-1))
-    reached = F.filter(items, lambda s: (s["at"] > x) if strict else (s["at"] >= x))
-    return F.try_element_at(reached, F.lit(1))
+    index = needed.unionByName(ends, allowMissingColumns=True).groupBy(*by, "__blk").agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ends.columns if c not in (*by, "__blk")])
+    blocks = {"since": Window.partitionBy(*by).orderBy("__blk"), "until": Window.partitionBy(*by).orderBy(F.col("__blk").desc())}
+    edges = index.select(*by, "__blk", *[F.last(f"{mark[k]}_{way}", ignorenulls=True).over(blocks[way].rowsBetween(Window.unboundedPreceding, -1)).alias("__e_" + out)
+                                         for out, (way, k) in lookups.items()])
+    found = near.join(edges, [*by, "__blk"], "left")
+    return found.select(*df.columns, *[F.when(F.col(at).isNotNull(), F.coalesce("__n_" + out, "__e_" + out)).alias(out) for out in lookups])
 
 
 # --------------------------------------------------------------------------------------
 # marker collapse
 # --------------------------------------------------------------------------------------
-def greedy_collapse(markers: DataFrame, by: Sequence[str], at: str, gap: int) -> DataFrame:
+def greedy_collapse(markers: DataFrame, by: Sequence[str], at: str, gap: int, fold: int = 512, block: int = 4096) -> DataFrame:
     """Keep a marker when it lies more than ``gap`` after the last *kept* one.
 
     Cells of ``gap + 1`` positions hold at most one kept marker each.  A cell whose predecessor is
     empty, or whose first offset is no smaller than the predecessor's last, keeps its first marker
-    whatever came before, so it opens an independent island and the order-dependent fold runs inside
-    one island.  The window sees one row per occupied cell.
+    whatever came before, so it opens an independent island.  An island of at most ``fold`` markers is folded
+    in one row; in a longer one every marker points to the one that is kept after it, and the pointers are
+    doubled until the opener has reached the island's end, so no group ever holds a long island.
+
+    Whether there are long islands has to be known, so this runs a job when it is called.
     """
     by = list(by)
     size = gap + 1
+    cell = block_of(at, size)
     start = F.col("__cell") * size
-    cells = (
-        markers.where(F.col(at).isNotNull())
-        .select(*by, at, block_of(at, size).alias("__cell"))
-        .groupBy(*by, "__cell")
-        .agg(F.sort_array(F.collect_set(at)).alias("__ms"))
-        .select("*", (F.element_at("__ms", 1) - start).alias("__lo"), (F.element_at("__ms", -1) - start).alias("__hi"))
-    )
-    w = Window.partitionBy(*by).orderBy("__cell")
-    opens = (F.lag("__cell").over(w).isNull() | (F.lag("__cell").over(w) < F.col("__cell") - 1)
-             | (F.col("__lo") >= F.lag("__hi").over(w)))
-    islands = cells.withColumn("__opens", opens.cast("int")).withColumn(
-        "__island", F.sum("__opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pos_type = markers.schema[at].dataType.simpleString()
+    places = markers.where(F.col(at).isNotNull()).select(*by, at).distinct()
+    cells = places.groupBy(*by, cell.alias("__cell")).agg(F.min(at).alias("__first"), F.max(at).alias("__last"), F.count(F.lit(1)).alias("__n"))
+    cells = cells.withColumns({"__lo": F.col("__first") - start, "__hi": F.col("__last") - start})
+    levels = [block_of("__cell", block)]
+    linked = previous_row(cells, by, levels, "__cell", {"__before": "__cell", "__before_hi": "__hi"})
+    opens = F.col("__before").isNull() | (F.col("__before") < F.col("__cell") - 1) | (F.col("__lo") >= F.col("__before_hi"))
+    numbered = running_sum(linked.withColumn("__opens", opens), by, levels, ["__cell"], {"__island": F.col("__opens").cast("long")})
+    sizes = numbered.groupBy(*by, "__island").agg(F.sum("__n").alias("__size"))
+    islands = numbered.join(sizes, [*by, "__island"]).select(*by, "__cell", "__island", "__size")
+    placed = cut_lineage(places.withColumn("__cell", cell).join(islands, [*by, "__cell"]).drop("__cell"))
+    short, long = (placed.where(test).drop("__size") for test in (F.col("__size") <= fold, F.col("__size") > fold))
     kept = F.aggregate(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("__cell", "__ms"))), lambda c: c["__ms"])),
-        F.array().cast(f"array<{pos_type}>"),
-        lambda acc, v: F.when((F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) > gap), F.array_append(acc, v)).otherwise(acc),
-    )
-    return islands.groupBy(*by, "__island").agg(kept.alias("__kept")).select(*by, F.explode("__kept").alias(at))
+        F.sort_array(F.collect_list(at)), F.array().cast(f"array<{markers.schema[at].dataType.simpleString()}>"),
+        lambda acc, v: F.when((F.size(acc) == 0) | (v - F.try_element_at(acc, F.lit(-1)) > gap), F.array_append(acc, v)).otherwise(acc))
+    folded = short.groupBy(*by, "__island").agg(kept.alias("__kept")).select(*by, F.explode("__kept").alias(at))
+    if long.isEmpty():
+        return folded
+    return folded.unionAll(_follow(long, [*by, "__island"], at, gap, size * 64).select(*by, at))
+
+
+def _follow(places: DataFrame, by: list[str], at: str, gap: int, width: int) -> DataFrame:
+    """The places reached from the first of each ``by`` by going to the next place more than ``gap`` ahead, again and again.
+
+    After k rounds the first 2^k steps are taken and each pointer leads 2^k steps on.
+    """
+    ahead = places.withColumn("__from", F.col(at) + gap + 1)
+    found = asof(ahead, places, by, "__from", at, width, {"__next": ("until", None)})
+    jump = cut_lineage(found.where(F.col("__next").isNotNull()).select(*by, at, F.col("__next.at").alias("__next")))
+    kept = places.groupBy(*by).agg(F.min(at).alias(at))
+    while True:
+        if jump.isEmpty():
+            return kept
+        new = kept.join(jump, [*by, at]).select(*by, F.col("__next").alias(at))
+        kept = cut_lineage(kept.unionAll(new).repartition(*by, at))
+        further = jump.select(*by, F.col(at).alias("__next"), F.col("__next").alias("__then"))
+        jump = jump.join(further, [*by, "__next"]).select(*by, at, F.col("__then").alias("__next"))
+        jump = cut_lineage(jump.repartition(*by, at))  # dealt anew, or the partitions double with the pointers
 
 
 # --------------------------------------------------------------------------------------
