@@ -13,20 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from checks import driver_tables as D
 from touchline.plans import enrich as E
 from touchline.plans import tracking as T
-from touchline.session import temporary_folder
+from touchline.session import shared_folder
 from touchline.sources import layers
 
 BLOCK = 50
 _written: dict = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return named or temporary_folder()
-
-
 def table(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], **layout) -> DataFrame:
     """The named table for this session and folder, built and written on first use."""
     key = (spark.sparkContext.applicationId, sf, name)

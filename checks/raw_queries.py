@@ -59,8 +59,8 @@ def bronze(spark: SparkSession, sf: str) -> str:
         F.struct(F.col("possession_group").alias("group")).alias("possession"), F.col("players").alias("player_data"))
     _files(frames.withColumnRenamed("match_id", "m"), "m", root, raw.TRACKING[1:], lambda w, at: w.json(at))
     teams = D.captains(spark, sf).groupBy("match_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("team_id").cast("string"), "player_id"))).alias("t"))
-    one = teams.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("match_id").cast("string"), "t")))).alias("value"))
-    one.write.text(f"{root}/captains.json")
+    lines = teams.select(F.to_json(F.create_map(F.col("match_id").cast("string"), "t")).alias("value"))
+    lines.write.text(f"{root}/captains.json")
     _written[key] = root
     return root
 
@@ -93,14 +93,13 @@ def raw_players(spark, sf):
 
 
 @query("raw_tracking", O.with_base(D.positions_cte(), select="""
-SELECT f.match_id, n_frames, n_players, sum_x, n_ball FROM (SELECT match_id, COUNT(*) AS n_frames FROM fr GROUP BY match_id) f
+SELECT f.match_id, n_frames, n_players, sum_x, COALESCE(n_ball, 0) AS n_ball FROM (SELECT match_id, COUNT(*) AS n_frames FROM fr GROUP BY match_id) f
 LEFT JOIN (SELECT match_id, COUNT(*) AS n_players, ROUND(SUM(x), 2) AS sum_x FROM tk GROUP BY match_id) t ON t.match_id = f.match_id
 LEFT JOIN (SELECT match_id, COUNT(ball_x) AS n_ball FROM bf GROUP BY match_id) b ON b.match_id = f.match_id"""))
 def raw_tracking(spark, sf):
     f = raw.read_tracking(spark, bronze(spark, sf)).groupBy("match_id").agg(F.count(F.lit(1)).alias("n_frames"), F.count("ball_x").alias("n_ball"))
     p = raw.player_frames(raw.read_tracking(spark, bronze(spark, sf))).groupBy("match_id").agg(F.count(F.lit(1)).alias("n_players"), F.round(F.sum("x"), 2).alias("sum_x"))
-    had = D.ball(spark, sf).select("match_id").distinct().withColumn("had", F.lit(True))
-    return f.join(p, "match_id", "left").join(had, "match_id", "left").select("match_id", "n_frames", "n_players", "sum_x", F.when(F.col("had"), F.col("n_ball")).alias("n_ball"))
+    return f.join(p, "match_id", "left").select("match_id", "n_frames", "n_players", "sum_x", "n_ball")
 
 
 @query("tracking_inventory", O.with_base(D.positions_cte(), select="SELECT match_id, COUNT(*) AS n_frames, TRUE AS ok FROM fr GROUP BY match_id"))

@@ -199,3 +199,64 @@ def test_question_report_runs_in_one_scan(spark, lake):
         rows = Q.answer(q, ev)
         assert report[q]["hits"] == rows.count() and report[q]["matches"] == rows.select("match_id").distinct().count()
     assert [r["qid"] for r in Q.refusals(spark).orderBy("qid").collect()] == [5, 27, 78]
+
+
+def scans_of(spark, since, part):
+    """How often plans executed since then read files whose path holds ``part``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = store.executionsList()
+    text = [runs.apply(i).physicalPlanDescription() for i in range(since, runs.size())]
+    return [line for t in text for line in t.splitlines() if line.startswith("Location") and part in line]
+
+
+def executions(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsList().size()
+
+
+def test_each_kind_of_raw_file_is_read_once(spark, bronze, tmp_path):
+    before = executions(spark)
+    L.build_silver(spark, bronze, str(tmp_path / "lake"))
+    for kind in (raw.EVENTS, raw.PHASES, raw.MATCH, raw.TRACKING):
+        assert len(scans_of(spark, before, kind[1:])) == 1, (kind, scans_of(spark, before, "matches"))
+
+
+def test_a_failed_gate_publishes_nothing(spark, bronze, tmp_path):
+    import shutil
+    lake = str(tmp_path / "lake")
+    L.build_silver(spark, bronze, lake)
+    n = layers.load(spark, lake, "silver", "events").count()
+    where = layers.published(spark, lake, "silver")
+    broken = tmp_path / "bronze"
+    shutil.copytree(bronze, broken)
+    file = sorted(broken.glob(f"matches/*/{raw.EVENTS}"))[0]
+    head, first, *rest = file.read_text().splitlines()
+    file.write_text("\n".join([head, first, first, *rest]) + "\n")
+    with pytest.raises(gates.GateError, match="duplicate_keys: 1"):
+        L.build_silver(spark, str(broken), lake)
+    with pytest.raises(gates.GateError):
+        L.build_silver(spark, str(broken), str(tmp_path / "new"))
+    assert not (tmp_path / "new").exists() and layers.published(spark, lake, "silver") == where
+    assert layers.load(spark, lake, "silver", "events").count() == n
+    L.build_silver(spark, bronze, lake)
+    assert layers.published(spark, lake, "silver") != where and layers.load(spark, lake, "silver", "events").count() == n
+
+
+def test_lines_meet_their_own_header(spark, tmp_path):
+    texts = {"1": '﻿event_id,match_id,note\n1,1,"a, ""b"""\n\n2,1,\n', "2": "note,event_id\nx,7\n", "3": '"event_id" , extra,match_id\n5,event_id,9\n6\n'}
+    for m, t in texts.items():
+        (tmp_path / f"{m}_x.csv").write_text(t)
+    got = raw.parse_by_header(raw.read_lines(spark, str(tmp_path / "*_x.csv")), "event_id")
+    rows = {r["event_id"]: (r["match_id"], r["note"], r["extra"], r["__file_match"]) for r in got.collect()}
+    assert rows == {"1": ("1", 'a, "b"', None, 1), "2": ("1", None, None, 1), "7": (None, "x", None, 2), "5": ("9", None, "event_id", 3), "6": (None, None, None, 3)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+    (tmp_path / "4_x.csv").write_text("1,2\n")
+    with pytest.raises(raw.MissingHeader, match="1 files .*4_x.csv"):
+        raw.parse_by_header(raw.read_lines(spark, str(tmp_path / "*_x.csv")), "event_id")
+
+
+def test_captains_line_by_line_or_whole(spark, tmp_path):
+    (tmp_path / "lines.json").write_text('{"1": {"10": 100}}\n{"2": {"20": 200, "21": 201}}\n')
+    (tmp_path / "whole.json").write_text('{\n "1": {"10": 100},\n "2": {"20": 200, "21": 201}\n}\n')
+    lines, whole = raw.read_captains(spark, str(tmp_path / "lines.json")), raw.read_captains(spark, str(tmp_path / "whole.json"), whole=True)
+    assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, whole.collect())) == [(1, 10, 100), (2, 20, 200), (2, 21, 201)]

@@ -1,7 +1,10 @@
 """Build the lake: raw files -> silver (typed, validated) -> gold (derived)."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline import schema as S
@@ -9,6 +12,7 @@ from touchline.plans import enrich as E
 from touchline.plans import predicates, shape
 from touchline.plans import tracking as T
 from touchline.plans.predicates import Tracking
+from touchline.session import shared_folder
 from touchline.sources import gates, layers, raw
 from touchline.sources.conform import conform
 
@@ -20,31 +24,50 @@ def conform_undeclared(df: DataFrame, declared: dict[str, tuple[str, ...]]) -> D
 
 
 def build_silver(spark: SparkSession, bronze: str, lake: str, check_only: bool = False) -> DataFrame:
-    """Read, validate and write the silver tables; returns the gate table.
+    """Read, validate, write and publish the silver tables; returns the gate table.
 
-    Nothing is written when a fatal gate fails or ``check_only`` is set.
+    The raw files of each kind are read once, into typed Parquet in the shared folder; profiles, gates and the
+    tables themselves come from there.  Nothing reaches the lake when a fatal gate fails or
+    ``check_only`` is set, and readers see the new tables only when all of them are written.
     """
-    events = conform_undeclared(raw.read_events(spark, bronze), S.EVENT_COLUMN_TYPES)
-    files = raw.read_match_files(spark, bronze)
-    matches = raw.matches_table(files)
-    players = raw.players_table(files, events)
-    phases = raw.read_phases(spark, bronze)
-    inventory = raw.tracking_inventory(spark, bronze)
-    found = gates.require(gates.event_gates(events, matches)).unionByName(gates.note_gates(matches, players, inventory))
+    version = f"build-{uuid.uuid4().hex[:12]}"
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_folder(spark)}/silver-{version}/{name}"
+        layers.write(df, path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    events = staged(raw.parse_events(staged(raw.event_lines(spark, bronze), "event_lines")), "events")
+    events = conform_undeclared(events, S.EVENT_COLUMN_TYPES)
+    files = staged(raw.read_match_files(spark, bronze), "match_files")
+    matches, players = raw.matches_table(files), raw.players_table(files, events)
+    lines = raw.tracking_lines(spark, bronze)
+    lines = None if lines is None else staged(lines, "tracking_lines")
+    inventory = None if lines is None else raw.inventory_of(lines)
+    found = gates.event_gates(events, matches).unionByName(gates.note_gates(matches, players, inventory))
+    found = staged(found, "gates")
+    gates.require(found)
     if check_only:
         return found
-    layers.save(events, lake, "silver", "events", ["match_id", "frame_start"])
-    layers.save(matches, lake, "silver", "matches")
-    layers.save(players, lake, "silver", "players")
+
+    def save(df: DataFrame, table: str, sort: Sequence[str] = (), part: Column | None = None) -> DataFrame:
+        path = f"{lake}/silver/{version}/{table}"
+        layers.write(df, path, sort, part)
+        return spark.read.parquet(path)
+
+    written = save(events, "events", ["match_id", "frame_start"])
+    save(matches, "matches")
+    save(players, "players")
+    phases = raw.phase_lines(spark, bronze)
     if phases is not None:
-        layers.save(conform_undeclared(phases, S.PHASE_COLUMN_TYPES), lake, "silver", "phases")
-    if inventory is not None:
-        layers.save(inventory, lake, "silver", "tracking_inventory")
-        layers.save(raw.read_tracking(spark, bronze), lake, "silver", "frames", ["match_id", "frame"], T.part_of())
-        frames = layers.load(spark, lake, "silver", "frames")
-        layers.save(T.frame_index(frames), lake, "silver", "frame_index", ["match_id", "bucket"], T.part_of())
-        signs = T.vote_signs(layers.load(spark, lake, "silver", "events"), frames, layers.load(spark, lake, "silver", "frame_index"))
-        layers.save(T.require_signs(signs), lake, "silver", "mirror_signs")
+        phases = staged(raw.parse_phases(staged(phases, "phase_lines")), "phases")
+        save(conform_undeclared(phases, S.PHASE_COLUMN_TYPES), "phases")
+    if lines is not None:
+        save(inventory, "tracking_inventory")
+        frames = save(raw.frames_of(lines), "frames", ["match_id", "frame"], T.part_of())
+        index = save(T.frame_index(frames), "frame_index", ["match_id", "bucket"], T.part_of())
+        save(T.require_signs(T.vote_signs(written, frames, index)), "mirror_signs")
+    layers.publish(spark, lake, "silver", version)
     return found
 
 

@@ -13,8 +13,36 @@ class MissingTable(FileNotFoundError):
     """A layer table was not built yet."""
 
 
+#: Names the folder of a layer's published tables; it is written last.
+MARKER = "_published"
+
+
+def publish(spark: SparkSession, lake: str, layer: str, version: str) -> None:
+    """From now on ``load`` reads the tables of ``version``; one small file is replaced, so a reader sees the old tables or the new ones."""
+    path, fs = _marker(spark, lake, layer)
+    out = fs.create(path, True)
+    out.write(bytearray(version.encode()))
+    out.close()
+
+
+def _marker(spark: SparkSession, lake: str, layer: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{lake}/{layer}/{MARKER}")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def published(spark: SparkSession, lake: str, layer: str) -> str:
+    """The folder of a layer's published tables; the layer's own folder if nothing was published."""
+    path, fs = _marker(spark, lake, layer)
+    if not fs.exists(path):
+        return f"{lake}/{layer}"
+    stream = fs.open(path)
+    version = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(stream)).readLine()
+    stream.close()
+    return f"{lake}/{layer}/{version}"
+
+
 def load(spark: SparkSession, lake: str, layer: str, table: str) -> DataFrame:
-    path = f"{lake}/{layer}/{table}"
+    path = f"{published(spark, lake, layer)}/{table}"
     try:
         return spark.read.parquet(path)
     except AnalysisException as exc:

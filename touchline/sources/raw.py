@@ -50,49 +50,85 @@ def typed(df: DataFrame, kinds: Mapping[str, tuple[str, ...]]) -> DataFrame:
     return df.withColumns(casts)
 
 
-def read_csv_by_header(spark: SparkSession, pattern: str, marker: str) -> DataFrame:
-    """All CSV files of a pattern as text columns, joined by column name.
-
-    Files are grouped by their header line (one group per version of the file format, not per file),
-    so that each group is one scan; columns missing from a version are null.
-    """
+def read_lines(spark: SparkSession, pattern: str) -> DataFrame:
+    """path, file_match and value of every line of the files of a pattern."""
     if not _has_files(spark, pattern):
         raise MissingSource(f"no files match {pattern}")
-    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), "value")
-    names = F.transform(F.split(F.regexp_replace("value", "^\ufeff", ""), ","), lambda c: F.btrim(F.btrim(c), F.lit('"')))
-    found = lines.groupBy("path").agg(F.min_by("value", F.when(F.array_contains(names, marker), 0)).alias("value"), F.max(F.array_contains(names, marker)).alias("has"))
-    headers = found.groupBy("has", "value").agg(F.count(F.lit(1)).alias("n"), F.collect_set("path").alias("paths")).collect()
-    lost = sorted(p for h in headers if not h["has"] for p in h["paths"])
+    return spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), match_id_of_file().alias("file_match"), "value")
+
+
+def _names(line: str | Column):
+    """The column names of a header line."""
+    if isinstance(line, str):
+        return [c.strip().strip('"') for c in line.lstrip("\ufeff").split(",")]
+    return F.transform(F.split(F.regexp_replace(line, "^\ufeff", ""), ","), lambda c: F.btrim(F.btrim(c), F.lit('"')))
+
+
+def parse_by_header(lines: DataFrame, marker: str) -> DataFrame:
+    """CSV lines of many files as text columns, joined by column name; ``__file_match`` is the match in the file's name.
+
+    Each file's header (the line with column ``marker``) is found where its lines are, and only the
+    different headers reach the driver, with a count of files without one.  Lines meet the number of their file's
+    header by a join on the path if there are several, and every line is parsed once, by its own header;
+    columns missing from a header are null.
+    """
+    is_header = F.array_contains(_names(F.col("value")), marker)
+    per_file = lines.groupBy("path").agg(F.min(F.when(is_header, F.col("value"))).alias("header"))
+    headers = per_file.groupBy("header").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("one")).collect()
+    lost = [h for h in headers if h["header"] is None]
     if lost:
-        raise MissingHeader(f"{len(lost)} files of {pattern} have no header with column {marker!r}, first {lost[0]}")
-    out = None
-    for h in sorted(headers, key=lambda r: r["value"]):
-        columns = T.StructType([T.StructField(c.strip().strip('"'), T.StringType()) for c in h["value"].lstrip("﻿").split(",")])
-        part = spark.read.csv(sorted(h["paths"]), header=True, schema=columns, enforceSchema=True)
-        part = part.withColumn("__file_match", match_id_of_file())
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        raise MissingSource(f"no header with column {marker!r} in {pattern}")
-    return out
+        raise MissingHeader(f"{lost[0]['n']} files have no header with column {marker!r}, for example {lost[0]['one']}")
+    if not headers:
+        raise MissingSource(f"no line of a file with column {marker!r}")
+    known = sorted(h["header"] for h in headers)
+    if len(known) == 1:
+        told = lines.withColumn("version", F.lit(0))
+    else:
+        version = F.array_position(F.array(*[F.lit(h) for h in known]), F.col("header")).cast("int") - 1
+        told = lines.join(per_file.select("path", version.alias("version")), "path")
+    body = told.where((F.btrim("value") != "") & (F.col("value") != F.get(F.array(*[F.lit(h) for h in known]), F.col("version"))))
+    shapes = [T.StructType([T.StructField(c, T.StringType()) for c in _names(h)]) for h in known]
+    parsed = body.select("file_match", "version", *[F.when(F.col("version") == i, F.from_csv("value", _ddl(shape), {"escape": '"'})).alias(f"v{i}") for i, shape in enumerate(shapes)])
+    columns = list(dict.fromkeys(c for shape in shapes for c in shape.names))
+    pick = {c: F.coalesce(*[F.col(f"v{i}")[c] for i, shape in enumerate(shapes) if c in shape.names]) for c in columns}
+    return parsed.select(*[e.alias(c) for c, e in pick.items()], F.col("file_match").alias("__file_match"))
 
 
-def read_events(spark: SparkSession, bronze: str) -> DataFrame:
+def _ddl(shape: T.StructType) -> str:
+    return ", ".join(f"`{name.replace('`', '``')}` string" for name in shape.names)
+
+
+def event_lines(spark: SparkSession, bronze: str) -> DataFrame:
+    return read_lines(spark, f"{bronze}/matches/*/{EVENTS}")
+
+
+def parse_events(lines: DataFrame) -> DataFrame:
     """One row per event, typed, with the phase key ``_pk``."""
-    raw = read_csv_by_header(spark, f"{bronze}/matches/*/{EVENTS}", "event_id").drop("__file_match")
-    out = typed(raw, S.EVENT_COLUMN_TYPES)
+    out = typed(parse_by_header(lines, "event_id").drop("__file_match"), S.EVENT_COLUMN_TYPES)
     return out.withColumn("_pk", F.concat(F.col("match_id").cast("string"), F.lit("_"), F.col("phase_index").cast("string")))
 
 
-def read_phases(spark: SparkSession, bronze: str) -> DataFrame | None:
-    """One row per phase; the match id comes from the file name where the column is absent.  None without files."""
+def read_events(spark: SparkSession, bronze: str) -> DataFrame:
+    return parse_events(event_lines(spark, bronze))
+
+
+def phase_lines(spark: SparkSession, bronze: str) -> DataFrame | None:
+    """None without files."""
     pattern = f"{bronze}/matches/*/{PHASES}"
-    if not _has_files(spark, pattern):
-        return None
-    raw = read_csv_by_header(spark, pattern, "team_in_possession_phase_type")
-    out = typed(raw, S.PHASE_COLUMN_TYPES)
+    return read_lines(spark, pattern) if _has_files(spark, pattern) else None
+
+
+def parse_phases(lines: DataFrame) -> DataFrame:
+    """One row per phase; the match id comes from the file name where the column is absent."""
+    out = typed(parse_by_header(lines, "team_in_possession_phase_type"), S.PHASE_COLUMN_TYPES)
     return out.withColumn("match_id", F.coalesce("match_id", "__file_match")).drop("__file_match")
 
 
+def read_phases(spark: SparkSession, bronze: str) -> DataFrame | None:
+    lines = phase_lines(spark, bronze)
+    return None if lines is None else parse_phases(lines)
+
+
 def read_match_files(spark: SparkSession, bronze: str) -> DataFrame:
     pattern = f"{bronze}/matches/*/{MATCH}"
     if not _has_files(spark, pattern):
@@ -136,49 +172,64 @@ def players_table(files: DataFrame, events: DataFrame) -> DataFrame:
         "position", F.coalesce("player_position", "roster_position")).drop("player_position")
 
 
-def read_tracking(spark: SparkSession, bronze: str) -> DataFrame | None:
-    """Nested frames; a frame without players stays, as unusable.  None without files."""
+def tracking_lines(spark: SparkSession, bronze: str) -> DataFrame | None:
+    """Every line of the tracking files, parsed once: its file's match, size and time, whether it is a pointer's, and the frame.  None without files."""
     pattern = f"{bronze}/matches/*/{TRACKING}"
     if not _has_files(spark, pattern):
         return None
-    raw = spark.read.schema(S.TRACKING_JSON).json(pattern)
-    return raw.where(F.col("frame").isNotNull()).select(
-        match_id_of_file().alias("match_id"), "frame", "timestamp", "period", F.col("ball_data.x").alias("ball_x"), F.col("ball_data.y").alias("ball_y"),
+    at = F.from_json("value", S.TRACKING_JSON)
+    lines = spark.read.text(pattern).select(
+        match_id_of_file().alias("match_id"), F.col("_metadata.file_size").alias("source_bytes"), F.col("_metadata.file_modification_time").alias("source_mtime"),
+        F.startswith("value", F.lit(S.POINTER_LINE)).alias("pointer"), at.alias("r"))
+    return lines.select("match_id", "source_bytes", "source_mtime", "pointer", "r.*")
+
+
+def frames_of(lines: DataFrame) -> DataFrame:
+    """Nested frames; a frame without players stays, as unusable."""
+    return lines.where(F.col("frame").isNotNull()).select(
+        "match_id", "frame", "timestamp", "period", F.col("ball_data.x").alias("ball_x"), F.col("ball_data.y").alias("ball_y"),
         F.col("possession.group").alias("possession_group"),
         F.transform("player_data", lambda p: F.struct(
             p["player_id"].alias("player_id"), p["x"].alias("x"), p["y"].alias("y"), p["is_detected"].alias("is_detected"))).alias("players"))
 
 
+def read_tracking(spark: SparkSession, bronze: str) -> DataFrame | None:
+    lines = tracking_lines(spark, bronze)
+    return None if lines is None else frames_of(lines)
+
+
 def player_frames(frames: DataFrame) -> DataFrame:
     """One row per tracked player and frame, for work that needs whole series."""
     return frames.select("match_id", "frame", "period", F.explode("players").alias("p")).select("match_id", "frame", "period", "p.*")
 
 
-def tracking_inventory(spark: SparkSession, bronze: str) -> DataFrame | None:
+def inventory_of(lines: DataFrame) -> DataFrame:
     """match_id, n_frames, status (ok or lfs_stub) and a size/time fingerprint per tracking file."""
-    pattern = f"{bronze}/matches/*/{TRACKING}"
-    if not _has_files(spark, pattern):
-        return None
-    lines = spark.read.text(pattern).select(
-        match_id_of_file().alias("match_id"), F.col("_metadata.file_size").alias("source_bytes"), F.col("_metadata.file_modification_time").alias("source_mtime"),
-        F.startswith("value", F.lit(S.POINTER_LINE)).alias("pointer"))
     stub = F.col("pointers") > 0
     return lines.groupBy("match_id", "source_bytes", "source_mtime").agg(F.count(F.lit(1)).alias("n"), F.count_if("pointer").alias("pointers")).select(
         "match_id", F.when(stub, 0).otherwise(F.col("n")).alias("n_frames"), F.when(stub, "lfs_stub").otherwise("ok").alias("status"), "source_bytes", "source_mtime")
 
 
+def tracking_inventory(spark: SparkSession, bronze: str) -> DataFrame | None:
+    lines = tracking_lines(spark, bronze)
+    return None if lines is None else inventory_of(lines)
+
+
 def stale_matches(recorded: DataFrame, current: DataFrame) -> DataFrame:
     """Matches whose tracking file changed size since it was recorded."""
     now = current.select("match_id", F.col("source_bytes").alias("actual_bytes"))
     return recorded.join(now, "match_id").where(F.col("source_bytes") != F.col("actual_bytes")).select("match_id", "source_bytes", "actual_bytes")
 
 
-def read_captains(spark: SparkSession, path: str) -> DataFrame:
-    """(match_id, team_id, player_id) from ``{match: {team: player}}``; empty when there is no file."""
+def read_captains(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """(match_id, team_id, player_id) from objects ``{match: {team: player}}``, one per line; empty when there is no file.
+
+    ``whole`` reads files that spread one object over several lines; each file is then one value.
+    """
     shape = "match_id bigint, team_id bigint, player_id bigint"
     if not _has_files(spark, path):
         return spark.createDataFrame([], shape)
     kind = T.MapType(T.StringType(), T.MapType(T.StringType(), T.LongType()))
-    text = spark.read.text(path, wholetext=True).select(F.from_json("value", kind).alias("m"))
+    text = spark.read.text(path, wholetext=whole).select(F.from_json("value", kind).alias("m"))
     teams = text.select(F.explode("m").alias("match_id", "teams")).select("match_id", F.explode("teams").alias("team_id", "player_id"))
     return teams.select(F.col("match_id").cast("bigint"), F.col("team_id").cast("bigint"), "player_id")
