@@ -36,6 +36,16 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of scratch tables that nothing reads any more: what was made from them is written itself."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

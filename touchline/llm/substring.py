@@ -93,7 +93,7 @@ def blocks(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
                             [anchor.view(np.int64), digest.view(np.int64), batch.column(0).take(row), batch.column(1).take(row), first.astype(np.int32), count.astype(np.int32)])
 
     return (docs.where("_id is not null").select("_id", "_row", "_text")
-            .mapInArrow(run, "anchor long, digest long, id long, row long, first int, windows int"))
+            .mapInArrow(run, f"anchor long, digest long, id {docs.schema['_id'].dataType.simpleString()}, row long, first int, windows int"))
 
 
 def references(found: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def window_references(docs: DataFrame, varied: DataFrame, window: int = WINDOW)
 
     spans = varied.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set(F.struct("first", "windows")).alias("_spans"))
     windows = scratch(docs.join(spans, ["_id", "_row"]).select("_id", "_row", "_text", "_spans")
-                      .mapInArrow(run, "w1 long, w2 int, id long, row long, first int"), "windows")
+                      .mapInArrow(run, f"w1 long, w2 int, id {docs.schema['_id'].dataType.simpleString()}, row long, first int"), "windows")
     least = scratch(windows.groupBy("w1", "w2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").drop("most"), "least")
     return windows.join(least, ["w1", "w2"]).where("id > least").select("id", "row", "first", F.lit(1).alias("windows"))
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.llm import common
-from touchline.llm.common import arrow, small_batches, whole_text
+from touchline.llm.common import arrow, discard, small_batches, whole_text
 from touchline.llm.labelled import held_out
 
 DEPTH = 2
@@ -233,8 +233,10 @@ def numbered(words: DataFrame) -> DataFrame:
             offsets += [F.lit(r["part"]).cast("long"), F.lit(before).cast("long")]
             before += r["count"]
         number = F.element_at(F.create_map(*offsets), part.cast("long")) + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return scratch(words.join(ranked.select("word", number.alias("_number")), "word", "left")
+    done = scratch(words.join(ranked.select("word", number.alias("_number")), "word", "left")
                    .select("word", "n", F.coalesce("_number", F.lit(-1)).cast("int").alias("number")), "numbers")
+    discard(ranked)
+    return done
 
 
 def encode(docs: DataFrame, held: Column, words: DataFrame, n_every: int, n_train: int, v_train: int, text: str, key: str) -> DataFrame:
@@ -348,7 +350,9 @@ def settle(asked: DataFrame, shorter: DataFrame, length: int, n_tokens: int) ->
                                    F.log10(F.col("rest") / F.col("rest_up")).alias("others")), "contexts")
     state = F.when(F.col("retained"), F.log10("p")).otherwise(F.col("up"))
     pairs = joined.join(contexts.select(*own, "retained"), own).select(*own, "t", "n", state.alias("state"), (state - F.col("up")).alias("delta"), "retained")
-    return contexts, scratch(pairs, "pairs")
+    written = scratch(pairs, "pairs")
+    discard(counted, joined)
+    return contexts, written
 
 
 def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFrame, pairs: DataFrame, length: int, last: bool) -> DataFrame:
@@ -383,8 +387,12 @@ def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFr
     return texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
 
 
-def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train: int, n_every: int, text: str, key: str, depth: int) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], DataFrame]:
-    """Numbered words, contexts and pairs of each length, and the scored rows."""
+def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train: int, n_every: int, text: str, key: str, depth: int,
+          keep: bool = False) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """Numbered words, contexts and pairs of each length, and the scored rows.
+
+    A table is deleted when the one made from it is written; ``keep`` leaves contexts and pairs, for a caller that reads them.
+    """
     words = numbered(words)
     texts = encode(docs, held, words, n_every, n_train, v_train, text, key)
     shorter = words.where("number >= 0").select(F.col("number").alias("t"), "n", F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (v_train + 1))).alias("state"))
@@ -392,18 +400,22 @@ def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train
     levels, asked = [], scratch(questions(texts, 0), "asked")
     for length in range(1, depth + 1):
         before, asked = asked, scratch(frequent(questions(texts, length), length), "asked")
-        contexts, shorter = settle(asked, shorter, length, n_train)
-        texts = step(texts, before, asked, contexts, shorter, length, length == depth)
+        contexts, pairs = settle(asked, shorter, length, n_train)
+        if length > 1 and not keep:
+            discard(shorter)
+        scored = step(texts, before, asked, contexts, pairs, length, length == depth)
         if length < depth:
-            texts = scratch(texts, "texts")
-        levels.append((contexts, shorter))
+            scored = scratch(scored, "texts")
+            discard(texts, before, *([] if keep else [contexts]))
+        texts, shorter = scored, pairs
+        levels.append((contexts, pairs))
     return words, levels, texts
 
 
 def grow(docs: DataFrame, words: DataFrame, held: Column, n_train: int, v_train: int, text: str, depth: int, key: str = "doc_id") -> Tree:
     """The whole tree in memory."""
     n_every = words.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
-    words, levels, _ = learn(docs, held, words, n_train, v_train, n_every, text, key, depth)
+    words, levels, _ = learn(docs, held, words, n_train, v_train, n_every, text, key, depth, keep=True)
     tree = Tree([r["word"].encode() for r in words.where("number >= 0").orderBy("number").select("word").collect()], [])
     for length, (contexts, pairs) in enumerate(levels, 1):
         c, p = contexts.toPandas(), pairs.toPandas()

@@ -13,8 +13,8 @@ an aggregate over their digests and a join back, which Spark splits where one pa
 Files are written by Spark's own committed writer: a bundle is a row, a row is a file, and the last byte
 of the footer (always 0x8F) serves as the line end.  That works on every file system Spark can write to
 and leaves no file of a failed or repeated task.  ``read`` gets the bundles with the binary-file source.
-``index`` maps record ids to (bundle, frame, start of the frame, offset in the frame), and ``fetch`` reads
-only the frames that hold the wanted ids.
+``index`` maps record ids to (bundle, frame, start of the frame, offset in the frame); ``fetch`` decompresses
+only the frames that hold the wanted ids, of bundles that are read whole.
 
 Defined results: null html is an empty payload.  Smaller payloads and single ones are responses.  Rows
 that repeat the largest id of a group are all responses; a row without an id is a revisit of the largest
@@ -26,11 +26,14 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from touchline.llm.common import arrow, shared_folder, small_batches
 
@@ -43,19 +46,25 @@ SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
 #: Fixed date: an archive of the same pages has the same bytes.
 DATE = "1970-01-01T00:00:00Z"
-RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary, frame int, frame_at long, offset long, length long"
 
 
-def record_name(page_id: int | None) -> str:
-    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
+def record_schema(id_kind: str = "bigint") -> str:
+    return (f"page_id {id_kind}, payload_bytes long, payload_digest string, record_type string, refers_to {id_kind}, url string, payload binary, "
+            "frame int, frame_at long, offset long, length long")
 
 
-def id_of(name: str | None) -> int | None:
-    text = name[len("<urn:x-page:"):-1] if name else "none"
-    return None if text == "none" else int(text)
+NO_NAME, NAME = "<urn:x-no-page>", "<urn:x-page:"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def record_name(page_id: int | str | None) -> str:
+    return NO_NAME if page_id is None else f"{NAME}{quote(str(page_id), safe='')}>"
+
+
+def id_of(name: str | None) -> str | None:
+    return unquote(name[len(NAME):-1]) if name and name.startswith(NAME) else None
+
+
+def record(page_id: int | str | None, url: str | None, payload: bytes, digest: str, refers_to: int | str | None) -> bytes:
     """One WARC record; a revisit keeps the HTTP header only."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http if refers_to is not None else http + payload
@@ -169,7 +178,7 @@ def parse(header: dict[str, str], block: bytes) -> tuple:
     return (id_of(header["WARC-Record-ID"]), int(fields["Content-Length"]), named, kind, id_of(header.get("WARC-Refers-To")), header.get("WARC-Target-URI"), payload)
 
 
-def _read(found: DataFrame, wanted: bool, with_payload: bool) -> DataFrame:
+def _read(found: DataFrame, wanted: bool, with_payload: bool, id_kind: str) -> DataFrame:
     """Records of the bundles in ``found`` (path, content, and if ``wanted`` an array of (frame, offset))."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,33 +194,35 @@ def _read(found: DataFrame, wanted: bool, with_payload: bool) -> DataFrame:
                             if header["WARC-Type"] != "warcinfo" and (only is None or (k, offset) in only)]
                     if rows:
                         columns = [list(c) for c in zip(*rows)]
+                        if id_kind != "string":
+                            columns[1], columns[5] = ([None if v is None else int(v) for v in columns[c]] for c in (1, 5))
                         if not with_payload:
                             columns[7] = [None] * len(rows)
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-    names = ["bundle", *[field.split()[0] for field in RECORD.split(", ")]]
-    return found.mapInArrow(run, f"bundle string, {RECORD}")
+    schema = StructType.fromDDL(f"bundle string, {record_schema(id_kind)}")
+    kinds, names = to_arrow_schema(schema).types, schema.names
+    return found.mapInArrow(run, schema)
 
 
 def bundles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
 
 
-def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """All records under ``path``; responses are checked against their digests."""
-    return _read(bundles(spark, path), False, with_payload)
+def read(spark: SparkSession, path: str, with_payload: bool = True, id_kind: str = "bigint") -> DataFrame:
+    """All records under ``path``; responses are checked against their digests.  ``id_kind`` is the type of the page ids (a whole number or string)."""
+    return _read(bundles(spark, path), False, with_payload, id_kind)
 
 
-def index(spark: SparkSession, path: str) -> DataFrame:
+def index(spark: SparkSession, path: str, id_kind: str = "bigint") -> DataFrame:
     """page_id, bundle, frame, frame_at (first byte of the frame), offset (in the frame) and length of every record."""
-    return read(spark, path, False).select("page_id", "bundle", "frame", "frame_at", "offset", "length")
+    return read(spark, path, False, id_kind).select("page_id", "bundle", "frame", "frame_at", "offset", "length")
 
 
-def fetch(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+def fetch(spark: SparkSession, path: str, places: DataFrame, id_kind: str = "bigint") -> DataFrame:
     """The records at ``places`` (rows of the index); only their frames are decompressed."""
     wanted = places.groupBy(F.col("bundle").alias("path")).agg(F.collect_set(F.struct("frame", "offset")).alias("wanted"))
-    return _read(bundles(spark, path).join(wanted, "path").select("path", "content", "wanted"), True, True)
+    return _read(bundles(spark, path).join(wanted, "path").select("path", "content", "wanted"), True, True, id_kind)
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -219,4 +230,4 @@ def archive(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex[:12]}"
     write(pages, path)
-    return read(spark, path, False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "offset", "length")
+    return read(spark, path, False, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "frame", "offset", "length")
