@@ -174,3 +174,13 @@ def test_asof_has_no_array_of_a_block(spark):
     df = spark.range(10).selectExpr("1L AS g", "id AS t")
     plan = R.asof(df, df, ["g"], "t", "t", 64, {"s": ("since", None)})._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "lambda" not in plan
+
+
+def test_percentiles_of_counted_values(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.choice([1.5, 2.0, 2.5, 7.25, 9.0]), rng.randint(1, 5)) for _ in range(80)]
+    counted = spark.createDataFrame(rows, "g string, v double, w long")
+    plain = spark.createDataFrame([(g, v) for g, v, w in rows for _ in range(w)], "g string, v double")
+    probs = {"q": 0.25, "m": 0.5, "p": 0.9}
+    a, b = (sorted(map(tuple, R.exact_percentiles(df, ["g"], "v", probs, 2.0, weight=w).collect())) for df, w in ((counted, "w"), (plain, None)))
+    assert a == b

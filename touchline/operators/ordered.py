@@ -289,22 +289,25 @@ def interval_headcount(
 # --------------------------------------------------------------------------------------
 # ranks and exact quantiles
 # --------------------------------------------------------------------------------------
-def value_counts(df: DataFrame, by: Sequence[str], value: str, level_width: float) -> DataFrame:
-    """Distinct values with their count and the count of smaller-or-equal values, per ``by``."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, by: Sequence[str], value: str, level_width: float, weight: str | None = None) -> DataFrame:
+    """Distinct values with their count and the count of smaller-or-equal values, per ``by``; a row counts ``weight`` times."""
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(n.alias("n"))
     return running_sum(counts, by, [block_of(value, level_width)], [value], {"cum": F.col("n")})
 
 
 def exact_percentiles(
-    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], level_width: float
+    df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], level_width: float, weight: str | None = None
 ) -> DataFrame:
     """Linearly interpolated percentiles per ``by`` without holding a group's values in one task.
 
+    A row counts ``weight`` times (once without it), so values that are counted already stay counted.
+
     Counts per distinct value are combined map-side, accumulated by blocks of ``level_width``, and only
     the two order statistics next to each rank survive to the final aggregate.
     """
     by = list(by)
-    cum = value_counts(df, by, value, level_width)
+    cum = value_counts(df, by, value, level_width, weight)
     total = cum.groupBy(*by).agg(F.max("cum").alias("__total"))
     ranked = cum.join(total, by) if by else cum.withColumn("__total", total.scalar())
     aggs = [F.max("__total").alias("n")]

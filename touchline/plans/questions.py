@@ -74,6 +74,7 @@ def _q(qid: int, where: Callable[[], Column], *needs: str, fidelity: str = "exac
     FILTERS[qid] = Question(qid, category_of(qid), fidelity, where, needs)
 
 
+# The predicates of the questions.
 _q(1, lambda: pp() & pos("LW") & reception() & has("third_start", "attacking_third"))
 _q(2, lambda: pp() & has("number", 9) & (C("penalty_area_start") | C("penalty_area_end")), "roster")
 _q(3, lambda: pp() & pos("RB") & C("carry") & (C("x_start") < 0) & (C("x_end") >= 0))

@@ -305,35 +305,36 @@ def long_motion(series: DataFrame, by: Sequence[str], index: str, frame: str = "
 # --------------------------------------------------------------------------------------
 # positional baselines
 # --------------------------------------------------------------------------------------
-def defending_positions(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame) -> DataFrame:
-    """Signed positions of each player on frames where the other side has the ball."""
+def defending_counts(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame) -> DataFrame:
+    """How often (``n``) each player's signed coordinate had a value on frames where the other side has the ball.
+
+    (match_id, player_id, team_id, axis, v, n).  Coordinates are counted before anything is joined to
+    a player, so teams, sides and signs meet counts and not player rows.
+    """
     side = matches.select("match_id", "period_2_start", "home_team_id", "away_team_id")
-    holder = F.when(F.col("possession_group") == "home team", F.col("home_team_id")).when(
-        F.col("possession_group") == "away team", F.col("away_team_id"))
+    holder = F.when(F.col("possession_group") == "home team", F.col("home_team_id")).otherwise(F.col("away_team_id"))
+    seen = F.filter("players", lambda p: p["player_id"].isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+    both = F.flatten(F.transform(seen, lambda p: F.array(*[F.struct(p["player_id"].alias("player_id"), F.lit(a).alias("axis"), p[a].alias("v")) for a in ("x", "y")])))
     held = frames.where(F.col("possession_group").isin("home team", "away team")).join(side, "match_id").select(
-        "match_id", "frame", holder.alias("__holder"),
-        F.when(F.col("frame") < F.col("period_2_start"), 1).otherwise(2).alias("period"), F.explode("players").alias("p"))
-    at = held.select("match_id", "period", "__holder", F.col("p.player_id").alias("player_id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
-    at = at.where(F.col("player_id").isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    mine = at.join(players.select("match_id", "player_id", "team_id", "position"), ["match_id", "player_id"])
+        "match_id", holder.alias("__holder"), F.when(F.col("frame") < F.col("period_2_start"), 1).otherwise(2).alias("period"), F.explode(both).alias("p"))
+    counted = held.groupBy("match_id", "__holder", "period", "p.player_id", "p.axis", "p.v").agg(F.count(F.lit(1)).alias("n"))
+    mine = counted.join(players.select("match_id", "player_id", "team_id"), ["match_id", "player_id"])
     away = mine.where(F.col("__holder").isNull() | (F.col("team_id") != F.col("__holder")))
     return away.join(signs.select("match_id", "team_id", "period", "sign"), ["match_id", "team_id", "period"]).select(
-        "match_id", "player_id", "team_id", "position", (F.col("x") * F.col("sign")).alias("x"), (F.col("y") * F.col("sign")).alias("y"))
+        "match_id", "player_id", "team_id", "axis", (F.col("v") * F.col("sign")).alias("v"), "n")
 
 
 def player_baselines(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame,
                      min_frames: int = 600, level: float = 1.0) -> DataFrame:
-    """Median defending position and its median absolute deviation per (match, player).
+    """Median defending position and its median absolute deviation per (match, player), both from the same counts.
 
     Players with few frames stay, with ``reliable`` false: a baseline is chosen where it is used.
     """
     by = ["match_id", "player_id", "team_id"]
-    at = defending_positions(frames, matches, players, signs)
-    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("x", "y")])
-    long = at.select(*by, F.explode(axes).alias("a")).select(*by, F.col("a.axis").alias("axis"), F.col("a.v").alias("v"))
-    mid = exact_percentiles(long, [*by, "axis"], "v", {"base": 0.5}, level)
-    off = long.join(mid, [*by, "axis"]).select(*by, "axis", F.abs(F.col("v") - F.col("base")).alias("d"))
-    spread = exact_percentiles(off, [*by, "axis"], "d", {"spread": 0.5}, level).drop("n")
+    counts = defending_counts(frames, matches, players, signs)
+    mid = exact_percentiles(counts, [*by, "axis"], "v", {"base": 0.5}, level, weight="n")
+    off = counts.join(mid.drop("n"), [*by, "axis"]).select(*by, "axis", F.abs(F.col("v") - F.col("base")).alias("d"), "n")
+    spread = exact_percentiles(off, [*by, "axis"], "d", {"spread": 0.5}, level, weight="n").drop("n")
 
     def of(axis: str, c: str) -> Column:
         return F.max(F.when(F.col("axis") == axis, F.col(c))).alias(f"{c}_{axis}")
