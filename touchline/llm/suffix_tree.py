@@ -17,10 +17,12 @@ and what each state on the way to the longest adds to it, so the lengths are sco
 Words, contexts and next tokens are Parquet tables; no part of the tree is collected or broadcast.
 Documents are dealt into blocks by hash.  A block asks for its different words, then for each length for
 its different contexts and (context, token) pairs, and meets the answers in one task of bounded size.
-The questions carry the counts of the block's training texts, so their sums are the corpus counts, and those
-that are not frequent enough end there.  A pair is asked only where its context and its own last tokens are
-frequent enough, which leaves out none that is.
-Sums of probabilities are taken in whole numbers, so they do not depend on the order of the rows.
+Questions and answers travel packed: pairs are dealt into buckets by hash, and what a block asks of a bucket
+is one row of compressed columns, in order.  A bucket gets a pair once from a block, so no pair is hot.
+The questions carry the counts of the block's training texts, so their sums are the corpus counts.
+A pair is asked only where its context and its own last tokens are frequent enough, which leaves out none that is.
+Sums of probabilities are taken in whole numbers, so they do not depend on the order of the rows; what a
+state adds to a token's score reaches the block in single precision.
 
 Defined results: a null or empty text is one end token.  Rows that repeat an id are scored each by its own
 text.  Without training rows N = V = 0 and both scores are 0.  A row without an id is a training row.
@@ -34,7 +36,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm import common
@@ -52,6 +55,8 @@ BLOCK_TOKENS = 1_500_000
 HELD_WORDS = 400_000
 #: Multiplier of the place of a tuple when the next column is added to it; tokens are numbered below it.
 WIDE = 1 << 31
+#: Multipliers of a pair's columns, from the last one back, in the sum that names its bucket.
+SPREAD = (1_000_003, 700_001_087, 900_000_011, 800_000_011)
 #: Probabilities are summed in whole multiples of 1 / ``FINE``.
 FINE = float(1 << 52)
 END = b"\n"
@@ -285,55 +290,108 @@ def context(length: int) -> list[str]:
     return [f"w{k}" for k in range(length)]
 
 
-def questions(texts: DataFrame, length: int) -> DataFrame:
-    """The different pairs of each block, of a context and the next token t, with n, the count in training texts."""
-    names = ["_block", *context(length), "t", "n"]
+def pack(columns: list[np.ndarray]) -> bytes:
+    """Columns of 32-bit numbers, compressed; the first one, in ascending order, as differences."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = np.stack([first, *columns[1:]]).astype(np.int32).view(np.uint8).reshape(len(columns), -1, 4)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.transpose(0, 2, 1)).tobytes())
 
-    def distinct(block: int, parts: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, marks, train, begins = (np.concatenate([p[i] for p in parts]) for i in range(4))
+
+def unpack(packed: bytes, width: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(width, 4, -1)
+    columns = list(np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int32).reshape(width, -1))
+    return [np.cumsum(columns[0], dtype=np.int32), *columns[1:]]
+
+
+def bucket(columns: list, parts: int):
+    """The bucket of each row: a sum of products, of arrays or of Spark columns."""
+    return sum(c * m for c, m in zip(columns[::-1], SPREAD)) % parts
+
+
+def with_bucket(df: DataFrame, names: list[str], parts: int) -> DataFrame:
+    return df.withColumn("_bucket", bucket([F.col(c).cast("long") for c in names], parts))
+
+
+def questions(texts: DataFrame, length: int, parts: int) -> DataFrame:
+    """What each block asks of each bucket: its different pairs of a context and the next token, and their counts in training texts."""
+
+    def distinct(block: int, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, marks, train, begins = (np.concatenate([p[i] for p in pieces]) for i in range(4))
         at = after_context(marks, np.flatnonzero(begins)) if length else np.arange(len(ids))
         at = at[marks[at]]
+        if not len(at):
+            return
         columns = [*histories(ids, at, length), ids[at]]
         places = Places(columns)
-        size = len(places.first)
-        n = np.bincount(places.code, train[at], size).astype(np.int64)
-        if size:
-            yield arrow(names, [np.full(size, block, np.int64), *(c[places.first] for c in columns), n])
+        n = np.bincount(places.code, train[at], len(places.first)).astype(np.int32)
+        columns = [*(c[places.first] for c in columns), n]
+        to = bucket([c.astype(np.int64) for c in columns[:-1]], parts)
+        order = np.argsort(to, kind="stable")
+        columns, to = [c[order] for c in columns], to[order]
+        edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+        packed = [pack([c[a:b] for c in columns]) for a, b in zip(edges[:-1], edges[1:])]
+        yield arrow(["_block", "_bucket", "packed"], [np.full(len(packed), block, np.int64), to[edges[:-1]], pa.array(packed, pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts, size = None, [], 0
+        now, pieces, size = None, [], 0
         for batch in small_batches(batches):
             block = batch.column(0).to_numpy(zero_copy_only=False)
             edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
             for a, b in zip(edges[:-1], edges[1:]):
-                if parts and (block[a] != now or size > BLOCK_TOKENS):
-                    yield from distinct(now, parts)
-                    parts, size = [], 0
+                if pieces and (block[a] != now or size > BLOCK_TOKENS):
+                    yield from distinct(now, pieces)
+                    pieces, size = [], 0
                 ids, starts = flat(batch.column(2).slice(a, b - a))
                 marks, _ = flat(batch.column(3).slice(a, b - a))
                 held = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
                 begins = np.zeros(len(ids), bool)
                 begins[starts] = True
-                parts.append((ids, marks, np.repeat(~held, np.diff(np.append(starts, len(ids)))), begins))
+                pieces.append((ids, marks, np.repeat(~held, np.diff(np.append(starts, len(ids)))), begins))
                 now, size = block[a], size + len(ids)
-        if parts:
-            yield from distinct(now, parts)
+        if pieces:
+            yield from distinct(now, pieces)
 
-    schema = ", ".join(["_block long", *(f"{w} int" for w in context(length)), "t int", "n long"])
-    return texts.select("_block", "held_out", "ids", "marks").mapInArrow(run, schema)
+    return texts.select("_block", "held_out", "ids", "marks").mapInArrow(run, "_block long, _bucket long, packed binary")
 
 
 def frequent(asked: DataFrame, length: int) -> DataFrame:
-    """The questions whose pair the training texts hold often enough, with n, its count there; a pair has one row for each block."""
+    """The pairs that the training texts hold often enough, with n, their count there."""
     own = [*context(length), "t"]
-    total = F.sum("n").over(Window.partitionBy(*own))
-    return asked.select("_block", *own, total.alias("n")).where(F.col("n") >= MIN_COUNT)
+
+    def total(some: pa.Table) -> pa.Table:
+        *columns, n = (np.concatenate(c) for c in zip(*(unpack(p.as_py(), len(own) + 1) for p in some.column("packed"))))
+        places = Places([c.astype(np.int64) for c in columns])
+        sums = np.bincount(places.code, n, len(places.first)).astype(np.int64)
+        often = np.flatnonzero(sums >= MIN_COUNT)
+        return pa.table([*(c[places.first[often]] for c in columns), sums[often]], names=[*own, "n"])
+
+    return asked.groupBy("_bucket").applyInArrow(total, ", ".join([*(f"{w} int" for w in own), "n long"]))
+
+
+def answers(asked: DataFrame, values: DataFrame, names: list[str], parts: int) -> DataFrame:
+    """For each block the rows of ``values`` (``names`` and value) that it asked for, packed."""
+
+    def run(some: pa.Table, found: pa.Table) -> pa.Table:
+        places = Places([found.column(c).to_numpy().astype(np.int64) for c in names])
+        value = found.column("value").to_numpy()[places.first].astype(np.float32).view(np.int32)
+        to, packed = [], []
+        for block, question in zip(some.column("_block").to_pylist(), some.column("packed")):
+            columns = unpack(question.as_py(), len(names) + 1)[:-1]
+            at = places.find([c.astype(np.int64) for c in columns])
+            there = np.flatnonzero(at >= 0)
+            if len(there):
+                to.append(block)
+                packed.append(pack([*(c[there] for c in columns), value[at[there]]]))
+        return pa.table([pa.array(to, pa.int64()), pa.array([len(names)] * len(to), pa.int32()), pa.array(packed, pa.binary())], names=["_block", "_width", "packed"])
+
+    values = with_bucket(values, names, parts)
+    return asked.groupBy("_bucket").cogroup(values.groupBy("_bucket")).applyInArrow(run, "_block long, _width int, packed binary")
 
 
 def settle(asked: DataFrame, shorter: DataFrame, length: int, n_tokens: int) -> tuple[DataFrame, DataFrame]:
     """Contexts (retained, others) and pairs (n, state, delta, retained) of a length; ``shorter`` has the pairs of the length before."""
     own = context(length)
-    counted = scratch(asked.groupBy(*own, "t").agg(F.first("n").alias("n")), "counts")
+    counted = scratch(frequent(asked, length), "counts")
     suffix = shorter.select(*(F.col(w).alias(f"w{k + 1}") for k, w in enumerate(context(length - 1))), "t", F.col("state").alias("up"))
     sizes = shorter.select(*context(length - 1), F.col("t").alias(own[-1]), F.col("n").alias("size"))
     p, up = F.col("p"), F.pow(F.lit(10.0), "up")
@@ -355,24 +413,27 @@ def settle(asked: DataFrame, shorter: DataFrame, length: int, n_tokens: int) ->
     return contexts, written
 
 
-def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFrame, pairs: DataFrame, length: int, last: bool) -> DataFrame:
-    """``texts`` with the scores of contexts up to ``length``; ``before`` has the pairs that are the contexts of the blocks.
+def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFrame, pairs: DataFrame, length: int, last: bool, parts: int) -> DataFrame:
+    """``texts`` with the scores of contexts up to ``length``; ``before`` are the questions of the length before, whose pairs are the contexts.
 
     The last one leaves out the token numbers.
     """
     own = context(length)
     states = contexts.where("retained").select(*own, F.col("others").alias("value"))
     listed = (pairs.where("retained") if last else pairs).select(*own, "t", F.col("delta").alias("value"))
-    answers = before.select("_block", *context(length - 1), F.col("t").alias(own[-1])).join(states, own).select("_block", *own, F.lit(-1).alias("t"), "value")
-    answers = answers.unionAll(asked.drop("n").join(listed, [*own, "t"]).select("_block", *own, "t", "value"))
+    answered = answers(before, states, own, parts).unionAll(answers(asked, listed, [*own, "t"], parts))
     schema = (texts.drop("ids", "marks") if last else texts).schema
     names = schema.names
 
+    def rows(found: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """The keys and values of the answers of one kind."""
+        packed = [p for w, p in zip(found.column("_width").to_pylist(), found.column("packed")) if w == width]
+        columns = [np.concatenate(c) for c in zip(*(unpack(p.as_py(), width + 1) for p in packed))] or [np.zeros(0, np.int32)] * (width + 1)
+        return [c.astype(np.int64) for c in columns[:-1]], columns[-1].view(np.float32).astype(float)
+
     def score(some: pa.Table, found: pa.Table) -> pa.Table:
-        columns = [found.column(c).to_numpy().astype(np.int64) for c in (*own, "t")]
-        value = found.column("value").to_numpy()
-        state, listed = np.flatnonzero(columns[-1] < 0), np.flatnonzero(columns[-1] >= 0)
-        level = Level([c[state] for c in columns[:-1]], np.ones(len(state), bool), value[state], [c[listed] for c in columns], value[listed])
+        (ends, others), (listed_, delta) = rows(found, length), rows(found, length + 1)
+        level = Level(ends, np.ones(len(others), bool), others, listed_, delta)
         added, marks = [], []
         for at in range(0, some.num_rows, 512):
             ids, starts = flat(some.column("ids").slice(at, 512))
@@ -384,7 +445,7 @@ def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFr
             scored = scored.set_column(some.column_names.index("marks"), "marks", pa.chunked_array(marks))
         return scored.select(names)
 
-    return texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(score, schema)
+    return texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(score, schema)
 
 
 def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train: int, n_every: int, text: str, key: str, depth: int,
@@ -397,13 +458,14 @@ def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train
     texts = encode(docs, held, words, n_every, n_train, v_train, text, key)
     shorter = words.where("number >= 0").select(F.col("number").alias("t"), "n", F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (v_train + 1))).alias("state"))
     texts = scratch(texts, "texts")
-    levels, asked = [], scratch(questions(texts, 0), "asked")
+    parts = max(1, -(-n_every // BLOCK_TOKENS))
+    levels, asked = [], scratch(questions(texts, 0, parts), "asked")
     for length in range(1, depth + 1):
-        before, asked = asked, scratch(frequent(questions(texts, length), length), "asked")
+        before, asked = asked, scratch(questions(texts, length, parts), "asked")
         contexts, pairs = settle(asked, shorter, length, n_train)
         if length > 1 and not keep:
             discard(shorter)
-        scored = step(texts, before, asked, contexts, pairs, length, length == depth)
+        scored = step(texts, before, asked, contexts, pairs, length, length == depth, parts)
         if length < depth:
             scored = scratch(scored, "texts")
             discard(texts, before, *([] if keep else [contexts]))
