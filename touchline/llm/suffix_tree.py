@@ -30,9 +30,10 @@ Other columns are not read.
 """
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -85,8 +86,8 @@ def word_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
     """word, n (count in training rows) and every (count in all rows); the end token is the word of a line feed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: dict[bytes, int] = defaultdict(int)
-        other: dict[bytes, int] = defaultdict(int)
+        train: Counter[bytes] = Counter()
+        other: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             words = list(train.keys() | other.keys())
@@ -99,8 +100,7 @@ def word_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
         for batch in small_batches(batches):
             for held_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts = other if held_ else train
-                for word in tokens(value.as_py()):
-                    counts[word] += 1
+                counts.update(tokens(value.as_py()))
                 counts[END] += 1
             if len(train) + len(other) > HELD_WORDS:
                 yield out()
@@ -209,20 +209,24 @@ class Numbers(dict):
 def text_arrays(texts: list[list[bytes]], number) -> tuple[np.ndarray, np.ndarray]:
     """Token numbers of texts one after another, each between two end tokens, and the places of the first ones."""
     sizes = np.array([len(t) + 2 for t in texts])
-    ids = np.fromiter((number[w] for t in texts for w in (END, *t, END)), np.int64, int(sizes.sum()))
+    ids = np.fromiter(map(number.__getitem__, chain.from_iterable((END, *t, END) for t in texts)), np.int64, int(sizes.sum()))
     return ids, np.cumsum(sizes) - sizes
 
 
-def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), pa.array(values))
+def coded(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The token numbers of texts, each with its mark as lowest bit, as a binary column."""
+    values = ((ids + 1) * 2 + marks).astype(np.int32)
+    offsets = (np.append(starts, len(values)) * 4).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
 
 
-def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The values of a list column one after another and the places of the first ones."""
+def decoded(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token numbers and marks of texts one after another and the places of the first ones."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.int32)
+    return (values >> 1) - 1, (values & 1).astype(bool), (offsets[:-1] - offsets[0]) // 4
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -276,13 +280,13 @@ def encode(docs: DataFrame, held: Column, words: DataFrame, n_every: int, n_trai
                 "_block": some.column("_block"), "_id": some.column("_id"), "held_out": some.column("_held"),
                 "n_tokens": np.diff(np.append(starts, len(where))) - 1, "n_known": np.add.reduceat(seen, starts, dtype=np.int64),
                 "base_score": np.add.reduceat(root, starts), "score": np.add.reduceat(root, starts),
-                "ids": lists(ids, starts), "marks": lists(ids >= 0, starts)}))
+                "codes": coded(ids, ids >= 0, starts)}))
         return pa.concat_tables(out)
 
     answers = source.mapInArrow(ask, "_block long, word string").join(words, "word").select("_block", "word", "n", "number")
     kind = docs.schema[key].dataType.simpleString()
     return source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        translate, f"_block long, _id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, ids array<int>, marks array<boolean>")
+        translate, f"_block long, _id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, codes binary")
 
 
 def context(length: int) -> list[str]:
@@ -341,8 +345,7 @@ def questions(texts: DataFrame, length: int, parts: int) -> DataFrame:
                 if pieces and (block[a] != now or size > BLOCK_TOKENS):
                     yield from distinct(now, pieces)
                     pieces, size = [], 0
-                ids, starts = flat(batch.column(2).slice(a, b - a))
-                marks, _ = flat(batch.column(3).slice(a, b - a))
+                ids, marks, starts = decoded(batch.column(2).slice(a, b - a))
                 held = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
                 begins = np.zeros(len(ids), bool)
                 begins[starts] = True
@@ -351,7 +354,7 @@ def questions(texts: DataFrame, length: int, parts: int) -> DataFrame:
         if pieces:
             yield from distinct(now, pieces)
 
-    return texts.select("_block", "held_out", "ids", "marks").mapInArrow(run, "_block long, _bucket long, packed binary")
+    return texts.select("_block", "held_out", "codes").mapInArrow(run, "_block long, _bucket long, packed binary")
 
 
 def frequent(asked: DataFrame, length: int) -> DataFrame:
@@ -422,7 +425,7 @@ def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFr
     states = contexts.where("retained").select(*own, F.col("others").alias("value"))
     listed = (pairs.where("retained") if last else pairs).select(*own, "t", F.col("delta").alias("value"))
     answered = answers(before, states, own, parts).unionAll(answers(asked, listed, [*own, "t"], parts))
-    schema = (texts.drop("ids", "marks") if last else texts).schema
+    schema = (texts.drop("codes") if last else texts).schema
     names = schema.names
 
     def rows(found: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -434,15 +437,16 @@ def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFr
     def score(some: pa.Table, found: pa.Table) -> pa.Table:
         (ends, others), (listed_, delta) = rows(found, length), rows(found, length + 1)
         level = Level(ends, np.ones(len(others), bool), others, listed_, delta)
-        added, marks = [], []
+        added, codes = [], []
         for at in range(0, some.num_rows, 512):
-            ids, starts = flat(some.column("ids").slice(at, 512))
-            more, found_ = level.add(ids.astype(np.int64), flat(some.column("marks").slice(at, 512))[0], starts)
+            ids, marks, starts = decoded(some.column("codes").slice(at, 512))
+            more, marks = level.add(ids.astype(np.int64), marks, starts)
             added.append(np.add.reduceat(more, starts))
-            marks.append(lists(found_, starts))
+            if not last:
+                codes.append(coded(ids, marks, starts))
         scored = some.set_column(some.column_names.index("score"), "score", pa.array(some.column("score").to_numpy() + np.concatenate(added)))
         if not last:
-            scored = scored.set_column(some.column_names.index("marks"), "marks", pa.chunked_array(marks))
+            scored = scored.set_column(some.column_names.index("codes"), "codes", pa.chunked_array(codes))
         return scored.select(names)
 
     return texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(score, schema)
