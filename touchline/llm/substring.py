@@ -1,4 +1,7 @@
-"""Removal of long passages that an earlier document also holds, by relative Lempel-Ziv parsing.
+"""Removal of long passages that an earlier document also holds, by windows hashed under content-chosen anchors.
+
+This stands in place of a relative Lempel-Ziv parse: a factor here is a run of windows that each occur in some earlier
+document; it has no reference position and may join windows of different documents.
 
 The reference of a document is every document with a smaller id.  It is cut into blocks at places
 chosen by content: every window of 50 words names one anchor, the 10-word sequence in it with the
