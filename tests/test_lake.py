@@ -138,6 +138,17 @@ def test_inventory_and_staleness(spark, bronze, tmp_path):
     assert raw.read_tracking(spark, str(tmp_path)).count() == 0
 
 
+def test_a_match_with_several_tracking_files_is_one_match(spark, tmp_path):
+    for m, n in ((7, 1), (7, 2), (8, 3)):
+        folder = tmp_path / "matches" / str(m)
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{m}_{n}_tracking_extrapolated.jsonl").write_text('{"frame": 5, "period": 1, "player_data": []}\n' * n)
+    matches = spark.createDataFrame([(7, 0, 0), (8, 0, 0)], "match_id long, home_team_score long, away_team_score long")
+    players = spark.createDataFrame([], "match_id long, goals long")
+    notes = {r["gate"]: r["n_bad"] for r in gates.note_gates(matches, players, raw.tracking_inventory(spark, str(tmp_path))).collect()}
+    assert (notes["frames_indexed"], notes["matches_indexed"], notes["tracking_stubs"]) == (6, 2, 0)
+
+
 def test_check_mode_writes_nothing(spark, bronze, tmp_path):
     found = L.build_silver(spark, bronze, str(tmp_path / "lake"), check_only=True)
     assert found.where("severity = 'fail' and n_bad > 0").count() == 0 and not (tmp_path / "lake").exists()

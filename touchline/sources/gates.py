@@ -53,7 +53,8 @@ def note_gates(matches: DataFrame, players: DataFrame, inventory: DataFrame | No
     if inventory is None:
         return out.unionByName(_gate(matches.agg(F.lit(1).alias("x")), "no_tracking", "note", F.col("x")))
     else:
-        frames = inventory.agg(F.sum("n_frames").alias("f"), F.count_if(F.col("n_frames") > 0).alias("m"))
+        # a match may have its tracking in several files
+        frames = inventory.agg(F.sum("n_frames").alias("f"), F.count_distinct(F.when(F.col("n_frames") > 0, F.col("match_id"))).alias("m"))
         out = out.unionByName(_gate(frames, "frames_indexed", "note", F.col("f"))).unionByName(_gate(frames, "matches_indexed", "note", F.col("m")))
         stubs = inventory.agg(F.count_if(F.col("status") == "lfs_stub").alias("x"))
         out = out.unionByName(_gate(stubs, "tracking_stubs", "note", F.col("x")))
