@@ -40,6 +40,25 @@ def test_previous_row(spark):
             prev = r[2]
 
 
+@pytest.mark.parametrize("crowd", [0, 15, 10_000])
+def test_only_crowded_blocks_are_split(spark, crowd):
+    rows, df = sample(spark, 6)
+    df = df.withColumn("d", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(t)"))
+    levels = [R.block_of("t", 100), F.col("d"), R.tie_level(df, "id", 7), F.substring(F.col("id").cast("string"), 1, 9)]
+    sums = R.running_sum(df, ["g"], levels, ["t", "id"], {"c": F.col("flag")}, crowd)
+    got = {r["id"]: r["c"] for r in sums.collect()}
+    before = {r["id"]: r["p"] for r in R.previous_row(df, ["g"], levels, ["t", "id"], {"p": "id"}, crowd).collect()}
+    for g in {r[0] for r in rows}:
+        total, prev = 0, None
+        for r in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2])):
+            total += r[3]
+            assert (got[r[2]], before[r[2]]) == (total, prev)
+            prev = r[2]
+    split = R._fine_in_crowds(df.select("g", R.block_of("t", 100).alias("__lv0"), F.col("d").alias("__lv1")), ["g"], ["__lv0", "__lv1"], crowd)
+    blocks = split.groupBy("g", "__lv0").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("__lv1").alias("fine")).collect()
+    assert all(b["fine"] == 1 for b in blocks if b["n"] <= crowd) and all(b["fine"] > 1 for b in blocks if b["n"] > max(crowd, 1))
+
+
 @pytest.mark.parametrize("strict", [False, True])
 def test_asof(spark, strict):
     rows, df = sample(spark, 5)

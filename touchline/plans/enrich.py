@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from touchline import schema as S
 from touchline.operators.joins import left_lookup
 from touchline.operators.ordered import (
-    asof, block_of, greedy_collapse, interval_headcount, previous_row, running_sum, tie_level,
+    CROWD, asof, block_of, greedy_collapse, interval_headcount, previous_row, running_sum, tie_level,
 )
 
 #: Frames per block of the ordered operators (five minutes of play).
@@ -44,9 +44,8 @@ def score_steps(events: DataFrame) -> DataFrame:
     rows = events.where(F.col("team_id").isNotNull()).select(*TEAM, "event_id", "frame_start", "team_score")
     rows = rows.withColumn("__seen", F.lit(True))
     prev = previous_row(
-        rows, TEAM, [F.col("frame_start"), tie_level(rows, "event_id")], "event_id",
-        {"before": "team_score", "__before_seen": "__seen"},
-    )
+        rows, TEAM, [block_of("frame_start", BLOCK), F.col("frame_start"), tie_level(rows, "event_id")], ["frame_start", "event_id"],
+        {"before": "team_score", "__before_seen": "__seen"}, CROWD)
     # the very first row of a team is compared with 0; a null score on either side is no step
     base = F.when(F.col("__before_seen").isNull(), F.lit(0)).otherwise(F.col("before"))
     step = F.col("team_score") - base
@@ -160,13 +159,11 @@ def chain_numbers(
 ) -> DataFrame:
     """Running count of chain-opening flags per entity (0 before the first).
 
-    Rows meet per position and tiebreak range; a very long axis adds a coarser level of ``block``
-    positions above.
+    Rows meet per block of positions, in crowded blocks per position and tiebreak range.
     """
     opened = no(flag).cast("int")
-    levels = [F.col(position), tie_level(possessions, tiebreak)]
-    levels = levels if block is None else [block_of(position, block), *levels]
-    return running_sum(possessions, [entity], levels, [tiebreak], {out: opened})
+    levels = [block_of(position, BLOCK if block is None else block), F.col(position), tie_level(possessions, tiebreak)]
+    return running_sum(possessions, [entity], levels, [position, tiebreak], {out: opened}, CROWD)
 
 
 def add_chain_id(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
