@@ -55,7 +55,7 @@ def frame_index(spark: SparkSession, sf: str) -> DataFrame:
 
 def tracked_events(spark: SparkSession, sf: str) -> DataFrame:
     """Events whose coordinates come from tracking."""
-    return table(spark, sf, "tracked_events", lambda: D.tracked_events(spark, sf))
+    return table(spark, sf, "tracked_events", lambda: D.tracked_events(spark, sf, frames(spark, sf)))
 
 
 def matches(spark: SparkSession, sf: str) -> DataFrame:

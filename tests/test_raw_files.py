@@ -1,6 +1,8 @@
 """Raw files written from the driver's tables."""
 from pyspark.sql import functions as F
 
+from checks import driver_tables as D
+from checks import lake
 from checks import raw_queries as Q
 
 
@@ -19,3 +21,11 @@ def test_only_the_files_of_a_question_are_written(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path
     found = [s.getPath().getName() for s in path(at).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path(f"{at}/matches/*/*"))]
     assert found and all(n.endswith(Q.raw.PHASES[1:]) for n in found)
+
+
+def test_tracked_events_from_written_frames(spark):
+    sf = "/root/testdata/sf0.001"
+    direct, written = (sorted(map(tuple, df.collect())) for df in (D.tracked_events(spark, sf).select("event_id", F.coalesce("x_start", F.lit(-999.0)), F.coalesce("y_start", F.lit(-999.0))),
+                                                                  lake.tracked_events(spark, sf).select("event_id", F.coalesce("x_start", F.lit(-999.0)), F.coalesce("y_start", F.lit(-999.0)))))
+    assert direct == written and any(x != -999.0 for _, x, _ in direct)
+    assert "lineitem" not in D.tracked_events(spark, sf, lake.frames(spark, sf))._jdf.queryExecution().toString()
