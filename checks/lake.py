@@ -76,7 +76,7 @@ BASELINE_FRAMES = 100
 
 def baselines(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "baselines", lambda: T.player_baselines(
-        frames(spark, sf), matches(spark, sf), players(spark, sf), signs(spark, sf), min_frames=BASELINE_FRAMES, level=2.0))
+        frames(spark, sf), matches(spark, sf), players(spark, sf), signs(spark, sf), min_frames=BASELINE_FRAMES))
 
 
 def tracking(spark: SparkSession, sf: str, with_baselines: bool = False):

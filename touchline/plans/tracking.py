@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline import schema as S
-from touchline.operators.ordered import block_of, exact_percentiles, previous_row, running_sum
+from touchline.operators.ordered import block_of, previous_row, running_sum, with_median
 
 #: Frames per bucket of the range join.
 BUCKET = 256
@@ -305,41 +305,40 @@ def long_motion(series: DataFrame, by: Sequence[str], index: str, frame: str = "
 # --------------------------------------------------------------------------------------
 # positional baselines
 # --------------------------------------------------------------------------------------
-def defending_counts(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame) -> DataFrame:
-    """How often (``n``) each player's signed coordinate had a value on frames where the other side has the ball.
+def defending_positions(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame) -> DataFrame:
+    """(match_id, player_id, team_id, x, y): each player's signed position on every frame where the other side has the ball.
 
-    (match_id, player_id, team_id, axis, v, n).  Coordinates are counted before anything is joined to
-    a player, so teams, sides and signs meet counts and not player rows.
+    Six slim columns of the player rows are shuffled, once, so that a player's frames of a match lie together;
+    team, sides and signs come from one row per player.
     """
-    side = matches.select("match_id", "period_2_start", "home_team_id", "away_team_id")
-    holder = F.when(F.col("possession_group") == "home team", F.col("home_team_id")).otherwise(F.col("away_team_id"))
+    signed = signs.groupBy("match_id", "team_id").agg(*[F.max(F.when(F.col("period") == p, F.col("sign"))).alias(f"__sign_{p}") for p in (1, 2)])
+    about = players.select("match_id", "player_id", "team_id").join(
+        matches.select("match_id", "period_2_start", "home_team_id", "away_team_id"), "match_id").join(signed, ["match_id", "team_id"])
     seen = F.filter("players", lambda p: p["player_id"].isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
-    both = F.flatten(F.transform(seen, lambda p: F.array(*[F.struct(p["player_id"].alias("player_id"), F.lit(a).alias("axis"), p[a].alias("v")) for a in ("x", "y")])))
-    held = frames.where(F.col("possession_group").isin("home team", "away team")).join(side, "match_id").select(
-        "match_id", holder.alias("__holder"), F.when(F.col("frame") < F.col("period_2_start"), 1).otherwise(2).alias("period"), F.explode(both).alias("p"))
-    counted = held.groupBy("match_id", "__holder", "period", "p.player_id", "p.axis", "p.v").agg(F.count(F.lit(1)).alias("n"))
-    mine = counted.join(players.select("match_id", "player_id", "team_id"), ["match_id", "player_id"])
-    away = mine.where(F.col("__holder").isNull() | (F.col("team_id") != F.col("__holder")))
-    return away.join(signs.select("match_id", "team_id", "period", "sign"), ["match_id", "team_id", "period"]).select(
-        "match_id", "player_id", "team_id", "axis", (F.col("v") * F.col("sign")).alias("v"), "n")
+    held = frames.where(F.col("possession_group").isin("home team", "away team")).select(
+        "match_id", "frame", (F.col("possession_group") == "home team").alias("__home"), F.explode(seen).alias("p")).select(
+        "match_id", "p.player_id", "frame", "__home", "p.x", "p.y").repartition("match_id", "player_id")
+    holder = F.when(F.col("__home"), F.col("home_team_id")).otherwise(F.col("away_team_id"))
+    sign = F.when(F.col("frame") < F.col("period_2_start"), F.col("__sign_1")).otherwise(F.col("__sign_2"))
+    away = held.join(about, ["match_id", "player_id"]).where((holder.isNull() | (F.col("team_id") != holder)) & sign.isNotNull())
+    return away.select("match_id", "player_id", "team_id", (F.col("x") * sign).alias("x"), (F.col("y") * sign).alias("y"))
 
 
-def player_baselines(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame,
-                     min_frames: int = 600, level: float = 1.0) -> DataFrame:
-    """Median defending position and its median absolute deviation per (match, player), both from the same counts.
+def player_baselines(frames: DataFrame, matches: DataFrame, players: DataFrame, signs: DataFrame, min_frames: int = 600) -> DataFrame:
+    """Median defending position and its median absolute deviation per (match, player), both where the player's rows lie.
 
     Players with few frames stay, with ``reliable`` false: a baseline is chosen where it is used.
     """
     by = ["match_id", "player_id", "team_id"]
-    counts = defending_counts(frames, matches, players, signs)
-    mid = exact_percentiles(counts, [*by, "axis"], "v", {"base": 0.5}, level, weight="n")
-    off = counts.join(mid.drop("n"), [*by, "axis"]).select(*by, "axis", F.abs(F.col("v") - F.col("base")).alias("d"), "n")
-    spread = exact_percentiles(off, [*by, "axis"], "d", {"spread": 0.5}, level, weight="n").drop("n")
+    sides = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(a).alias("v")) for a in ("x", "y")])
+    values = defending_positions(frames, matches, players, signs).select(*by, F.explode(sides).alias("side")).select(*by, "side.axis", "side.v")
+    mid = with_median(values, [*by, "axis"], "v", "base", "n")
+    both = with_median(mid.select(*by, "axis", "n", "base", F.abs(F.col("v") - F.col("base")).alias("d")), [*by, "axis"], "d", "spread", "n")
 
     def of(axis: str, c: str) -> Column:
         return F.max(F.when(F.col("axis") == axis, F.col(c))).alias(f"{c}_{axis}")
 
-    wide = mid.join(spread, [*by, "axis"]).groupBy(*by).agg(
+    wide = both.groupBy(*by).agg(
         F.max("n").alias("n_frames"), of("x", "base"), of("y", "base"), of("x", "spread"), of("y", "spread"))
     return wide.join(players.select("match_id", "player_id", "position"), ["match_id", "player_id"], "left").select(
         "match_id", "player_id", "team_id", "position", "n_frames", "base_x", "base_y", "spread_x", "spread_y", (F.col("n_frames") >= min_frames).alias("reliable"))
