@@ -46,7 +46,7 @@ def goals(spark: SparkSession, sf: str) -> DataFrame:
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """Tracking frames as the lake lays them out: in folders by match, sorted by (match_id, frame)."""
-    return table(spark, sf, "frames", lambda: D.frames(spark, sf), sort=["match_id", "frame"], part=T.part_of())
+    return table(spark, sf, "frames", lambda: D.frames(spark, sf), sort=["match_id", "frame"], part=T.part_of(), dealt=True)
 
 
 def frame_index(spark: SparkSession, sf: str) -> DataFrame:

@@ -29,3 +29,16 @@ def test_tracked_events_from_written_frames(spark):
                                                                   lake.tracked_events(spark, sf).select("event_id", F.coalesce("x_start", F.lit(-999.0)), F.coalesce("y_start", F.lit(-999.0)))))
     assert direct == written and any(x != -999.0 for _, x, _ in direct)
     assert "lineitem" not in D.tracked_events(spark, sf, lake.frames(spark, sf))._jdf.queryExecution().toString()
+
+
+def test_frames_meet_in_the_shuffle_that_lays_them_out(spark):
+    """Player and ball rows are shuffled once by match and stretch and not again for the join or the files; the rows are those of a full join."""
+    import re
+    sf = "/root/testdata/sf0.001"
+    df = D.frames(spark, sf)
+    got = sorted(map(repr, df.select("match_id", "frame", "ball_x", "ball_y", "possession_group", "players").collect()))
+    text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange hashpartitioning\(match_id#\d+L?, (?:frame|__stretch)#", text)) == 1, text
+    squads = D.positions(spark, sf).groupBy("match_id", "frame").agg(F.sort_array(F.collect_list(F.struct("player_id", "x", "y", "is_detected"))).alias("players"))
+    want = D.ball(spark, sf).join(squads, ["match_id", "frame"], "full").select("match_id", "frame", "ball_x", "ball_y", "possession_group", "players")
+    assert got == sorted(map(repr, want.collect()))
