@@ -85,7 +85,17 @@ def tracking(spark: SparkSession, sf: str, with_baselines: bool = False):
                     baselines(spark, sf) if with_baselines else None)
 
 
-def candidates(spark: SparkSession, sf: str, qid: int) -> DataFrame:
-    """The candidates of a tracking question, written like those of the lake."""
+def candidates(spark: SparkSession, sf: str, qid: int, events: DataFrame | None = None) -> DataFrame:
+    """The candidates of a tracking question, written like those of the lake.
+
+    They are found in ``events`` where a caller has gold at hand.  A question by itself reads the driver's events, with the one derived
+    column that runs and turnovers are told apart by: the chain.  Filters reach the events before their chains are looked up.
+    """
     from touchline.plans import predicates
-    return table(spark, sf, f"candidates_{qid}", lambda: predicates.candidates(qid, gold_events(spark, sf), frame_index(spark, sf)))
+
+    def build():
+        found = D.events(spark, sf) if events is None else events
+        if events is None and predicates.QUESTIONS[qid].by_chain:
+            found = E.add_chain_id(found)
+        return predicates.candidates(qid, found, frame_index(spark, sf))
+    return table(spark, sf, f"candidates_{qid}", build)

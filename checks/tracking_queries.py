@@ -420,5 +420,6 @@ def _whole_report_sql() -> str:
 @query("whole_report", _whole_report_sql())
 def whole_report(spark, sf):
     from checks.spec_queries import phases
-    return Q.run_all_questions(lake.gold_events(spark, sf), shape.phase_shape(phases(spark, sf)), lake.tracking(spark, sf, True),
-                               {q: lake.candidates(spark, sf, q) for q in P.QUESTIONS}).select("qid", "hits", "matches")
+    gold = lake.gold_events(spark, sf)
+    return Q.run_all_questions(gold, shape.phase_shape(phases(spark, sf)), lake.tracking(spark, sf, True),
+                               {q: lake.candidates(spark, sf, q, gold) for q in P.QUESTIONS}).select("qid", "hits", "matches")

@@ -42,3 +42,16 @@ def test_frames_meet_in_the_shuffle_that_lays_them_out(spark):
     squads = D.positions(spark, sf).groupBy("match_id", "frame").agg(F.sort_array(F.collect_list(F.struct("player_id", "x", "y", "is_detected"))).alias("players"))
     want = D.ball(spark, sf).join(squads, ["match_id", "frame"], "full").select("match_id", "frame", "ball_x", "ball_y", "possession_group", "players")
     assert got == sorted(map(repr, want.collect()))
+
+
+def test_a_question_by_itself_needs_no_gold(spark):
+    """Candidates of a question by itself come from events (and chains), not from the whole gold table."""
+    from checks import tracking_queries
+    sf, before = "/root/testdata/sf0.001", dict(lake._written)
+    lake._written.clear()
+    try:
+        for q in (68, 59):
+            tracking_queries.tracked(spark, sf, q).collect()
+        assert not {name for _, _, name in lake._written} & {"events_enriched", "goals"}
+    finally:
+        lake._written.update(before)
