@@ -15,8 +15,8 @@ A token is scored by the longest suffix of its history that is a state: in logar
 and what each state on the way to the longest adds to it, so the lengths are scored one after another.
 
 Words, contexts and next tokens are Parquet tables; no part of the tree is collected or broadcast.
-Documents are dealt into blocks by hash.  A block asks for its different words, then for each length for
-its different contexts and (context, token) pairs, and meets the answers in one task of bounded size.
+A text is cut into words once; after that it is a row of numbers, in compressed slices of texts.  Blocks are
+stretches of a task's rows.  A block asks for its different words, then for each length for its different contexts and (context, token) pairs, and meets the answers in one task of bounded size.
 Questions and answers travel packed: pairs are dealt into buckets by hash, and what a block asks of a bucket
 is one row of compressed columns, in order.  A bucket gets a pair once from a block, so no pair is hot.
 The questions carry the counts of the block's training texts, so their sums are the corpus counts.
@@ -30,14 +30,14 @@ Other columns are not read.
 """
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +50,17 @@ DEPTH = 2
 MIN_COUNT = 4
 #: Weight of the shorter state in the probability of a listed token, in tokens.
 SMOOTHING = 2.0
-#: Tokens of a block of documents that is scored together, about 10 MB of text.
+#: Tokens of a block for which questions are put together, and for each bucket of contexts and pairs; about 10 MB of text.
 BLOCK_TOKENS = 1_500_000
-#: Different words that a task holds before it hands its counts on.
-HELD_WORDS = 400_000
+#: Bytes of text of a block, and for each bucket of words; bytes of a slice of texts that is packed together.
+BLOCK_BYTES = 10 << 20
+SLICE_BYTES = 1 << 20
 #: Multiplier of the place of a tuple when the next column is added to it; tokens are numbered below it.
 WIDE = 1 << 31
 #: Multipliers of a pair's columns, from the last one back, in the sum that names its bucket.
 SPREAD = (1_000_003, 700_001_087, 900_000_011, 800_000_011)
+#: Multipliers of a word's bytes by place (arbitrary, odd), in the sum that names its bucket.
+MULTIPLIERS = np.random.default_rng(8).integers(1 << 62, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Probabilities are summed in whole multiples of 1 / ``FINE``.
 FINE = float(1 << 52)
 END = b"\n"
@@ -74,51 +77,156 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
         conf.unset(cleanup) if before is None else conf.set(cleanup, before)
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def buckets_of(docs: DataFrame, text: str) -> int:
+    """Buckets of words: one for every ``BLOCK_BYTES`` of text."""
+    return max(1, -(-docs.agg(F.coalesce(F.sum(F.octet_length(whole_text(text))), F.lit(0))).first()[0] // BLOCK_BYTES))
 
 
-def as_strings(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Numbers of the words of texts one after another, each text between two end tokens; the words; places of the first tokens.
 
+    The end is the last word.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat, ends = split.flatten(), np.cumsum(pc.list_value_length(split).to_numpy())
+    empty = pc.equal(flat, "").to_numpy(zero_copy_only=False)  # before and behind the white space at the ends of a text
+    before = np.cumsum(empty)
+    ends = ends - np.append(0, before)[ends]
+    coded_ = flat.filter(pa.array(~empty)).dictionary_encode()
+    words = pa.concat_arrays([coded_.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+    at = np.concatenate([ends[:-1], [0], ends]) if len(ends) else ends  # an end token stands before and behind each text
+    ids = np.insert(coded_.indices.to_numpy(), np.sort(at), len(words) - 1)
+    return ids, words, np.append(0, ends[:-1]) + 2 * np.arange(len(ends))
 
-def word_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
-    """word, n (count in training rows) and every (count in all rows); the end token is the word of a line feed."""
+
+def lengths_and_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1]
+    return np.diff(offsets), np.frombuffer(words.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+
+
+def words_of(packed: bytes, lengths: np.ndarray) -> pa.Array:
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(zstandard.ZstdDecompressor().decompress(packed))])
+
+
+def word_buckets(words: pa.Array, buckets: int) -> np.ndarray:
+    """The bucket of each word, by a sum of its bytes, each times the multiplier of its place."""
+    lengths, values = lengths_and_bytes(words)
+    starts = np.cumsum(lengths) - lengths
+    place = np.arange(len(values)) - np.repeat(starts, lengths)
+    sums = np.add.reduceat(values * MULTIPLIERS[place % len(MULTIPLIERS)], starts)
+    return ((sums >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+
+
+def pieces(docs: DataFrame, held: Column, text: str, key: str | None, buckets: int) -> DataFrame:
+    """Every text, read once: slices of texts as numbers of their block's words, and what words each block asks of each bucket.
+
+    A block is a stretch of a task's rows.  A slice has its rows in ``docs`` and their numbers in ``packed``; a question
+    has ``_bucket``, the words, and in ``packed`` their numbers in the block, counts in its training texts and in others, and lengths.
+    """
+    kind = docs.schema[key].dataType.simpleString() if key else "int"
+    source = docs.select((F.col(key) if key else F.lit(0)).alias("_id"), held.alias("_held"), whole_text(text).alias("_text"))
+    names = ["_block", "_bucket", "words", "packed", "docs"]
+
+    def read(block: int, batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids_, held_, texts = (pa.concat_arrays([b.column(i) for b in batches]) for i in range(3))
+        ids, words, starts = tokens(texts)
+        sizes = np.diff(np.append(starts, len(ids)))
+        docs_ = pa.StructArray.from_arrays([ids_, held_, pa.array(sizes - 1)], ["_id", "held_out", "n_tokens"])
+        at = 0
+        for b in batches:
+            rows = docs_.slice(at, b.num_rows)
+            part = ids[starts[at]:starts[at] + sizes[at:at + b.num_rows].sum()]
+            listed = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
+            yield arrow(names, [np.array([block]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.array([coded(part, part >= 0)], pa.binary()), listed])
+            at += b.num_rows
+        train = np.repeat(~held_.to_numpy(zero_copy_only=False).astype(bool), sizes)
+        counted = np.ones(len(ids), bool)
+        counted[starts] = False
+        n, other = (np.bincount(ids[some & counted], minlength=len(words)).astype(np.int32) for some in (train, ~train))
+        to = word_buckets(words, buckets)
+        order = np.argsort(to, kind="stable").astype(np.int32)
+        words, to = words.take(pa.array(order)), to[order]
+        edges = [0, *(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+        asked, packed, zipped = [], [], zstandard.ZstdCompressor(level=1)
+        for a, b in zip(edges[:-1], edges[1:]):
+            lengths, values = lengths_and_bytes(words.slice(a, b - a))
+            asked.append(zipped.compress(values.tobytes()))
+            packed.append(pack([order[a:b], n[order[a:b]], other[order[a:b]], lengths]))
+        yield arrow(names, [np.full(len(asked), block, np.int64), to[edges[:-1]], pa.array(asked, pa.binary()), pa.array(packed, pa.binary()), pa.nulls(len(asked), listed.type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        train: Counter[bytes] = Counter()
-        other: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            words = list(train.keys() | other.keys())
-            n = [train.get(w, 0) for w in words]
-            every = [a + other.get(w, 0) for a, w in zip(n, words)]
-            train.clear()
-            other.clear()
-            return arrow(["word", "n", "every"], [as_strings(words), pa.array(n, pa.int64()), pa.array(every, pa.int64())])
-
-        for batch in small_batches(batches):
-            for held_, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = other if held_ else train
-                counts.update(tokens(value.as_py()))
-                counts[END] += 1
-            if len(train) + len(other) > HELD_WORDS:
-                yield out()
-        if train or other:
-            yield out()
-
-    counted = docs.select(held.alias("_held"), whole_text(text).alias("_text")).mapInArrow(run, "word string, n long, every long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+        block, kept, size = TaskContext.get().partitionId() << 32, [], 0
+        for batch in small_batches(batches, SLICE_BYTES):
+            kept.append(batch)
+            size += pc.sum(pc.binary_length(batch.column(2))).as_py()
+            if size >= BLOCK_BYTES:
+                yield from read(block, kept)
+                block, kept, size = block + 1, [], 0
+        if kept:
+            yield from read(block, kept)
+
+    return source.mapInArrow(run, f"_block long, _bucket int, words binary, packed binary, docs array<struct<_id: {kind}, held_out: boolean, n_tokens: bigint>>")
+
+
+def totals(read: DataFrame) -> DataFrame:
+    """word, n (count in training rows) and every (count in all rows), and the word's bucket; the end token is the word of a line feed."""
+
+    def run(some: pa.Table) -> pa.Table:
+        words, counts = [], []
+        for asked, packed in zip(some.column("words"), some.column("packed")):
+            _, *both, lengths = unpack(packed.as_py(), 4)
+            words.append(words_of(asked.as_py(), lengths))
+            counts.append(both)
+        found = pa.concat_arrays(words).dictionary_encode()
+        n, other = (np.bincount(found.indices.to_numpy(), np.concatenate(c), len(found.dictionary)).astype(np.int64) for c in zip(*counts))
+        return pa.table([found.dictionary.cast(pa.string()), n, n + other, pa.array([some.column("_bucket")[0].as_py()] * len(n), pa.int32())], names=["word", "n", "every", "_bucket"])
+
+    asked = read.where("_bucket IS NOT NULL").select("_bucket", "words", "packed")
+    return asked.groupBy("_bucket").applyInArrow(run, "word string, n long, every long, _bucket int")
+
+
+def word_counts(docs: DataFrame, held: Column, text: str = "text") -> DataFrame:
+    """As ``totals``, for a caller that has the texts only."""
+    return totals(pieces(docs, held, text, None, buckets_of(docs, text)))
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Place of each wanted key in the sorted keys, -1 where it is not there."""
     if not len(keys):
         return np.full(len(wanted), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    order = np.argsort(wanted)  # in order, the search stays in the cache
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
 
+def different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For whole numbers from 0 on: a place of each different one, in ascending order, and which of them each one is."""
+    bits = int(len(keys)).bit_length()
+    if int(keys.max()).bit_length() + bits < 63:  # sorted together with their places, as plain numbers
+        both = np.sort((keys << bits) | np.arange(len(keys)))
+        order, keys = both & ((1 << bits) - 1), both >> bits
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    code = np.empty(len(keys), np.int64)
+    code[order] = np.cumsum(new) - 1
+    return order[new], code
+
+
+def different_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As ``different``, for rows of columns below ``WIDE``."""
+    code, top = columns[0].astype(np.int64), int(columns[0].max()) + 1
+    for k, column in enumerate(columns[1:], 1):
+        if k > 1 or top > 1 << 24:
+            first, code = different(code)
+            top = len(first)
+        code = code * (int(column.max()) + 1) + column
+    return different(code)
+
+
 class Places:
     """Places of different rows of whole-number columns, in sorted order; rows given twice have one place."""
 
@@ -206,27 +314,23 @@ class Numbers(dict):
         return -1
 
 
-def text_arrays(texts: list[list[bytes]], number) -> tuple[np.ndarray, np.ndarray]:
-    """Token numbers of texts one after another, each between two end tokens, and the places of the first ones."""
-    sizes = np.array([len(t) + 2 for t in texts])
-    ids = np.fromiter(map(number.__getitem__, chain.from_iterable((END, *t, END) for t in texts)), np.int64, int(sizes.sum()))
-    return ids, np.cumsum(sizes) - sizes
+def coded(ids: np.ndarray, marks: np.ndarray) -> bytes:
+    """The token numbers of a slice of texts, each with its mark as lowest bit, compressed."""
+    planes = ((ids + 1) * 2 + marks).astype(np.int32).view(np.uint8).reshape(-1, 4)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes.T).tobytes())
 
 
-def coded(ids: np.ndarray, marks: np.ndarray, starts: np.ndarray) -> pa.Array:
-    """The token numbers of texts, each with its mark as lowest bit, as a binary column."""
-    values = ((ids + 1) * 2 + marks).astype(np.int32)
-    offsets = (np.append(starts, len(values)) * 4).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+def decoded(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Token numbers and marks of a slice."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    values = np.ascontiguousarray(planes.T).view(np.int32).ravel()
+    return (values >> 1) - 1, (values & 1).astype(bool)
 
 
-def decoded(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token numbers and marks of texts one after another and the places of the first ones."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    values = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]].view(np.int32)
-    return (values >> 1) - 1, (values & 1).astype(bool), (offsets[:-1] - offsets[0]) // 4
+def starts_of(rows: pa.StructArray) -> np.ndarray:
+    """Places of the first tokens of a slice's texts."""
+    sizes = rows.field("n_tokens").to_numpy() + 1
+    return np.cumsum(sizes) - sizes
 
 
 def numbered(words: DataFrame) -> DataFrame:
@@ -243,50 +347,51 @@ def numbered(words: DataFrame) -> DataFrame:
             before += r["count"]
         number = F.element_at(F.create_map(*offsets), part.cast("long")) + F.col("_at").bitwiseAND((1 << 33) - 1)
     done = scratch(words.join(ranked.select("word", number.alias("_number")), "word", "left")
-                   .select("word", "n", F.coalesce("_number", F.lit(-1)).cast("int").alias("number")), "numbers")
+                   .select("word", "n", "_bucket", F.coalesce("_number", F.lit(-1)).cast("int").alias("number")), "numbers")
     discard(ranked)
     return done
 
 
-def encode(docs: DataFrame, held: Column, words: DataFrame, n_every: int, n_train: int, v_train: int, text: str, key: str) -> DataFrame:
-    """Every row with its block, its scores at the root, its token numbers and marks on those that have one."""
-    blocks = max(1, -(-n_every // BLOCK_TOKENS))
-    source = docs.select(F.col(key).alias("_id"), held.alias("_held"), whole_text(text).alias("_text"))
-    source = source.withColumn("_block", F.pmod(F.xxhash64("_id", "_text"), F.lit(blocks))).repartition(int(blocks), "_block")
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, set[bytes]] = defaultdict(set)
-        for batch in small_batches(batches):
-            for block, value in zip(batch.column(3).to_pylist(), batch.column(2)):
-                wanted[block].update(tokens(value.as_py()))
-        for block, found in wanted.items():
-            found.add(END)
-            yield arrow(["_block", "word"], [pa.array([block] * len(found), pa.int64()), as_strings(list(found))])
-
-    def translate(texts: pa.Table, found: pa.Table) -> pa.Table:
-        asked = found.column("word").cast(pa.binary()).to_pylist()
-        place = dict(zip(asked, range(len(asked))))
-        n = found.column("n").to_numpy().astype(float)
-        base = np.log10((n + 0.5) / (n_train + 0.5 * (v_train + 1)))
-        number = found.column("number").to_numpy().astype(np.int32)
-        out = []
-        for at in range(0, texts.num_rows, 512):
-            some = texts.slice(at, 512)
-            where, starts = text_arrays([tokens(t.as_py()) for t in some.column("_text")], place)
+def encode(read: DataFrame, words: DataFrame, buckets: int, n_train: int, v_train: int) -> DataFrame:
+    """The slices with their rows' scores at the root, token numbers and marks on those that have one."""
+
+    def reply(some: pa.Table, found: pa.Table) -> pa.Table:
+        known = found.column("word").combine_chunks()
+        number, n = found.column("number").to_numpy().astype(np.int32), found.column("n").to_numpy()
+        packed = []
+        for asked, own in zip(some.column("words"), some.column("packed")):
+            place, *_, lengths = unpack(own.as_py(), 4)
+            at = pc.index_in(words_of(asked.as_py(), lengths), known).to_numpy()
+            packed.append(pack([place, number[at], (n[at] >> 31).astype(np.int32), (n[at] & (WIDE - 1)).astype(np.int32)]))
+        return pa.table([some.column("_block"), pa.array(packed, pa.binary())], names=["_block", "packed"])
+
+    def translate(slices: pa.Table, found: pa.Table) -> pa.Table:
+        own, number, high, low = (np.concatenate(c) for c in zip(*(unpack(p.as_py(), 4) for p in found.column("packed"))))
+        numbers, n = np.empty(len(own), np.int32), np.empty(len(own), np.int64)
+        numbers[own], n[own] = number, (high.astype(np.int64) << 31) + low
+        base = np.log10((n.astype(float) + 0.5) / (n_train + 0.5 * (v_train + 1)))
+        docs, score, codes = [], [], []
+        for part, packed in zip(slices.column("docs"), slices.column("packed")):
+            rows, where = part.values, decoded(packed.as_py())[0]
+            starts = starts_of(rows)
             seen, root = (n > 0)[where], base[where]
             seen[starts], root[starts] = False, 0.0
-            ids = number[where]
-            out.append(pa.table({
-                "_block": some.column("_block"), "_id": some.column("_id"), "held_out": some.column("_held"),
-                "n_tokens": np.diff(np.append(starts, len(where))) - 1, "n_known": np.add.reduceat(seen, starts, dtype=np.int64),
-                "base_score": np.add.reduceat(root, starts), "score": np.add.reduceat(root, starts),
-                "codes": coded(ids, ids >= 0, starts)}))
-        return pa.concat_tables(out)
-
-    answers = source.mapInArrow(ask, "_block long, word string").join(words, "word").select("_block", "word", "n", "number")
-    kind = docs.schema[key].dataType.simpleString()
-    return source.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(
-        translate, f"_block long, _id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, codes binary")
+            ids = numbers[where]
+            codes.append(coded(ids, ids >= 0))
+            score.append(np.add.reduceat(root, starts))
+            docs.append(pa.StructArray.from_arrays([*(rows.field(c) for c in ("_id", "held_out", "n_tokens")), pa.array(np.add.reduceat(seen, starts, dtype=np.int64)), pa.array(score[-1])],
+                                                   ["_id", "held_out", "n_tokens", "n_known", "base_score"]))
+        ends = pa.array(np.cumsum([0, *map(len, docs)]), pa.int32())
+        return pa.table({"_block": slices.column("_block"), "docs": pa.ListArray.from_arrays(ends, pa.concat_arrays(docs)),
+                         "score": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(score))), "codes": pa.array(codes, pa.binary())})
+
+    asked = read.where("_bucket IS NOT NULL").select("_block", "_bucket", "words", "packed")
+    known = words.select("_bucket", F.col("word").cast("binary").alias("word"), "n", "number")
+    replies = asked.groupBy("_bucket").cogroup(known.groupBy("_bucket")).applyInArrow(reply, "_block long, packed binary")
+    slices = read.where("_bucket IS NULL").select("_block", "packed", "docs")
+    kind = read.schema["docs"].dataType.elementType["_id"].dataType.simpleString()
+    return slices.groupBy("_block").cogroup(replies.groupBy("_block")).applyInArrow(
+        translate, f"_block long, docs array<struct<_id: {kind}, held_out: boolean, n_tokens: bigint, n_known: bigint, base_score: double>>, score array<double>, codes binary")
 
 
 def context(length: int) -> list[str]:
@@ -319,16 +424,16 @@ def with_bucket(df: DataFrame, names: list[str], parts: int) -> DataFrame:
 def questions(texts: DataFrame, length: int, parts: int) -> DataFrame:
     """What each block asks of each bucket: its different pairs of a context and the next token, and their counts in training texts."""
 
-    def distinct(block: int, pieces: list[tuple]) -> Iterator[pa.RecordBatch]:
-        ids, marks, train, begins = (np.concatenate([p[i] for p in pieces]) for i in range(4))
+    def distinct(block: int, kept: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, marks, train, begins = (np.concatenate([k[i] for k in kept]) for i in range(4))
         at = after_context(marks, np.flatnonzero(begins)) if length else np.arange(len(ids))
         at = at[marks[at]]
         if not len(at):
             return
         columns = [*histories(ids, at, length), ids[at]]
-        places = Places(columns)
-        n = np.bincount(places.code, train[at], len(places.first)).astype(np.int32)
-        columns = [*(c[places.first] for c in columns), n]
+        first, code = different_rows(columns)
+        n = np.bincount(code, train[at], len(first)).astype(np.int32)
+        columns = [*(c[first] for c in columns), n]
         to = bucket([c.astype(np.int64) for c in columns[:-1]], parts)
         order = np.argsort(to, kind="stable")
         columns, to = [c[order] for c in columns], to[order]
@@ -337,24 +442,22 @@ def questions(texts: DataFrame, length: int, parts: int) -> DataFrame:
         yield arrow(["_block", "_bucket", "packed"], [np.full(len(packed), block, np.int64), to[edges[:-1]], pa.array(packed, pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, pieces, size = None, [], 0
-        for batch in small_batches(batches):
-            block = batch.column(0).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-            for a, b in zip(edges[:-1], edges[1:]):
-                if pieces and (block[a] != now or size > BLOCK_TOKENS):
-                    yield from distinct(now, pieces)
-                    pieces, size = [], 0
-                ids, marks, starts = decoded(batch.column(2).slice(a, b - a))
-                held = batch.column(1).slice(a, b - a).to_numpy(zero_copy_only=False).astype(bool)
+        now, kept, size = None, [], 0
+        for batch in batches:
+            for block, part, packed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if kept and (block != now or size > BLOCK_TOKENS):
+                    yield from distinct(now, kept)
+                    kept, size = [], 0
+                rows, (ids, marks) = part.values, decoded(packed.as_py())
                 begins = np.zeros(len(ids), bool)
-                begins[starts] = True
-                pieces.append((ids, marks, np.repeat(~held, np.diff(np.append(starts, len(ids)))), begins))
-                now, size = block[a], size + len(ids)
-        if pieces:
-            yield from distinct(now, pieces)
+                begins[starts_of(rows)] = True
+                held = rows.field("held_out").to_numpy(zero_copy_only=False).astype(bool)
+                kept.append((ids, marks, np.repeat(~held, rows.field("n_tokens").to_numpy() + 1), begins))
+                now, size = block, size + len(ids)
+        if kept:
+            yield from distinct(now, kept)
 
-    return texts.select("_block", "held_out", "codes").mapInArrow(run, "_block long, _bucket long, packed binary")
+    return texts.select("_block", "docs", "codes").mapInArrow(run, "_block long, _bucket long, packed binary")
 
 
 def frequent(asked: DataFrame, length: int) -> DataFrame:
@@ -363,10 +466,10 @@ def frequent(asked: DataFrame, length: int) -> DataFrame:
 
     def total(some: pa.Table) -> pa.Table:
         *columns, n = (np.concatenate(c) for c in zip(*(unpack(p.as_py(), len(own) + 1) for p in some.column("packed"))))
-        places = Places([c.astype(np.int64) for c in columns])
-        sums = np.bincount(places.code, n, len(places.first)).astype(np.int64)
+        first, code = different_rows(columns)
+        sums = np.bincount(code, n, len(first)).astype(np.int64)
         often = np.flatnonzero(sums >= MIN_COUNT)
-        return pa.table([*(c[places.first[often]] for c in columns), sums[often]], names=[*own, "n"])
+        return pa.table([*(c[first[often]] for c in columns), sums[often]], names=[*own, "n"])
 
     return asked.groupBy("_bucket").applyInArrow(total, ", ".join([*(f"{w} int" for w in own), "n long"]))
 
@@ -437,31 +540,31 @@ def step(texts: DataFrame, before: DataFrame, asked: DataFrame, contexts: DataFr
     def score(some: pa.Table, found: pa.Table) -> pa.Table:
         (ends, others), (listed_, delta) = rows(found, length), rows(found, length + 1)
         level = Level(ends, np.ones(len(others), bool), others, listed_, delta)
-        added, codes = [], []
-        for at in range(0, some.num_rows, 512):
-            ids, marks, starts = decoded(some.column("codes").slice(at, 512))
+        score, codes = [], []
+        for part, before_, packed in zip(some.column("docs"), some.column("score"), some.column("codes")):
+            (ids, marks), starts = decoded(packed.as_py()), starts_of(part.values)
             more, marks = level.add(ids.astype(np.int64), marks, starts)
-            added.append(np.add.reduceat(more, starts))
+            score.append(before_.values.to_numpy() + np.add.reduceat(more, starts))
             if not last:
-                codes.append(coded(ids, marks, starts))
-        scored = some.set_column(some.column_names.index("score"), "score", pa.array(some.column("score").to_numpy() + np.concatenate(added)))
+                codes.append(coded(ids, marks))
+        ends = pa.array(np.cumsum([0, *map(len, score)]), pa.int32())
+        scored = some.set_column(some.column_names.index("score"), "score", pa.ListArray.from_arrays(ends, pa.array(np.concatenate(score))))
         if not last:
-            scored = scored.set_column(some.column_names.index("codes"), "codes", pa.chunked_array(codes))
+            scored = scored.set_column(some.column_names.index("codes"), "codes", pa.array(codes, pa.binary()))
         return scored.select(names)
 
     return texts.groupBy("_block").cogroup(answered.groupBy("_block")).applyInArrow(score, schema)
 
 
-def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train: int, n_every: int, text: str, key: str, depth: int,
-          keep: bool = False) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], DataFrame]:
-    """Numbered words, contexts and pairs of each length, and the scored rows.
+def learn(read: DataFrame, words: DataFrame, buckets: int, n_train: int, v_train: int, n_every: int, depth: int, keep: bool = False) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame]], DataFrame]:
+    """Numbered words, contexts and pairs of each length, and the scored slices.
 
     A table is deleted when the one made from it is written; ``keep`` leaves contexts and pairs, for a caller that reads them.
     """
     words = numbered(words)
-    texts = encode(docs, held, words, n_every, n_train, v_train, text, key)
     shorter = words.where("number >= 0").select(F.col("number").alias("t"), "n", F.log10((F.col("n") + 0.5) / F.lit(n_train + 0.5 * (v_train + 1))).alias("state"))
-    texts = scratch(texts, "texts")
+    texts = scratch(encode(read, words, buckets, n_train, v_train), "texts")
+    discard(read)
     parts = max(1, -(-n_every // BLOCK_TOKENS))
     levels, asked = [], scratch(questions(texts, 0, parts), "asked")
     for length in range(1, depth + 1):
@@ -481,7 +584,9 @@ def learn(docs: DataFrame, held: Column, words: DataFrame, n_train: int, v_train
 def grow(docs: DataFrame, words: DataFrame, held: Column, n_train: int, v_train: int, text: str, depth: int, key: str = "doc_id") -> Tree:
     """The whole tree in memory."""
     n_every = words.agg(F.coalesce(F.sum("every"), F.lit(0))).first()[0]
-    words, levels, _ = learn(docs, held, words, n_train, v_train, n_every, text, key, depth, keep=True)
+    buckets = buckets_of(docs, text)
+    read = scratch(pieces(docs, held, text, key, buckets), "pieces")
+    words, levels, _ = learn(read, words, buckets, n_train, v_train, n_every, depth, keep=True)
     tree = Tree([r["word"].encode() for r in words.where("number >= 0").orderBy("number").select("word").collect()], [])
     for length, (contexts, pairs) in enumerate(levels, 1):
         c, p = contexts.toPandas(), pairs.toPandas()
@@ -493,10 +598,13 @@ def grow(docs: DataFrame, words: DataFrame, held: Column, n_train: int, v_train:
 
 def scores(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id", depth: int = DEPTH) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
-    words = scratch(word_counts(docs, held, text), "words")
+    buckets = buckets_of(docs, text)
+    read = scratch(pieces(docs, held, text, key, buckets), "pieces")
+    words = scratch(totals(read), "words")
     n_train, v_train, n_every = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum("every"), F.lit(0))).first()
-    *_, texts = learn(docs, held, words, n_train, v_train, n_every, text, key, depth)
-    return texts.select(F.col("_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
+    *_, texts = learn(read, words, buckets, n_train, v_train, n_every, depth)
+    rows = texts.select(F.explode(F.arrays_zip("docs", "score")).alias("_row")).select("_row.docs.*", "_row.score")
+    return rows.select(F.col("_id").alias(key), "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def digests(docs: DataFrame, modulus: int = 5, remainder: int = 1) -> DataFrame:
