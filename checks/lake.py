@@ -13,21 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from checks import driver_tables as D
 from touchline.plans import enrich as E
 from touchline.plans import tracking as T
-from touchline.session import shared_folder
+from touchline.session import compiled_methods, shared_folder
 from touchline.sources import layers
 
 BLOCK = 50
 _written: dict = {}
+_read: dict = {}
 
 
 def table(spark: SparkSession, sf: str, name: str, build: Callable[[], DataFrame], **layout) -> DataFrame:
-    """The named table for this session and folder, built and written on first use."""
+    """The named table for this session and folder, built and written on first use.
+
+    Its plan is kept, so that the folders of a table are listed once and not for every reader.
+    """
     key = (spark.sparkContext.applicationId, sf, name)
     if key not in _written:
         path = f"{shared_folder(spark)}/gold-{uuid.uuid4().hex[:12]}/{name}"
-        layers.write(build(), path, **layout)
+        with compiled_methods(spark):  # the projection of the wide event columns is far too long for one method
+            layers.write(build(), path, **layout)
         _written[key] = path
-    return spark.read.parquet(_written[key])
+    if key not in _read:
+        _read[key] = spark.read.parquet(_written[key])
+    return _read[key]
 
 
 def gold_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,17 +92,18 @@ def tracking(spark: SparkSession, sf: str, with_baselines: bool = False):
                     baselines(spark, sf) if with_baselines else None)
 
 
-def candidates(spark: SparkSession, sf: str, qid: int, events: DataFrame | None = None) -> DataFrame:
+def candidates(spark: SparkSession, sf: str, qid: int, gold: DataFrame | None = None) -> DataFrame:
     """The candidates of a tracking question, written like those of the lake.
 
-    They are found in ``events`` where a caller has gold at hand.  A question by itself reads the driver's events, with the one derived
+    They are found in ``gold`` where a caller has it at hand.  A question by itself reads the driver's events, with the one derived
     column that runs and turnovers are told apart by: the chain.  Filters reach the events before their chains are looked up.
+    From gold only the columns that the question reads are taken and written.
     """
     from touchline.plans import predicates
 
     def build():
-        found = D.events(spark, sf) if events is None else events
-        if events is None and predicates.QUESTIONS[qid].by_chain:
+        found = D.events(spark, sf) if gold is None else gold.select(*predicates.SOURCE_COLUMNS)
+        if gold is None and predicates.QUESTIONS[qid].by_chain:
             found = E.add_chain_id(found)
         return predicates.candidates(qid, found, frame_index(spark, sf))
-    return table(spark, sf, f"candidates_{qid}", build)
+    return table(spark, sf, f"candidates_{qid}" if gold is None else f"slim_candidates_{qid}", build)
