@@ -271,3 +271,31 @@ def test_captains_line_by_line_or_whole(spark, tmp_path):
     (tmp_path / "whole.json").write_text('{\n "1": {"10": 100},\n "2": {"20": 200, "21": 201}\n}\n')
     lines, whole = raw.read_captains(spark, str(tmp_path / "lines.json")), raw.read_captains(spark, str(tmp_path / "whole.json"), whole=True)
     assert sorted(map(tuple, lines.collect())) == sorted(map(tuple, whole.collect())) == [(1, 10, 100), (2, 20, 200), (2, 21, 201)]
+
+
+def test_compressed_files_are_read_like_plain_ones(spark, bronze, tmp_path):
+    import gzip
+    import shutil
+    packed = tmp_path / "bronze"
+    shutil.copytree(bronze, packed)
+    for file in sorted(packed.glob("matches/101/*")):
+        (file.parent / f"{file.name}.gz").write_bytes(gzip.compress(file.read_bytes()))
+        file.rename(tmp_path / file.name)
+    read = lambda at: [sorted(map(repr, df.collect())) for df in (raw.read_events(spark, at).drop("extra_note"), raw.read_phases(spark, at), raw.matches_table(raw.read_match_files(spark, at)), raw.read_tracking(spark, at))]
+    assert read(str(packed)) == read(bronze)
+    got, want = (sorted(map(tuple, L.build_silver(spark, str(at), str(tmp_path / "lake"), check_only=True).collect())) for at in (packed, bronze))
+    assert got == want
+
+
+def test_check_mode_reads_each_file_once_and_stages_no_frames(spark, bronze, tmp_path, monkeypatch):
+    import shutil
+    own = tmp_path / "own"
+    shutil.copytree(bronze, own)
+    monkeypatch.setattr(L, "shared_folder", lambda spark: str(tmp_path / "shared"))
+    found = {r["gate"]: r["n_bad"] for r in L.build_silver(spark, str(own), str(tmp_path / "lake"), check_only=True).collect()}
+    assert (found["frames_indexed"], found["matches_indexed"], found["tracking_stubs"]) == (4 * X.HALF, 2, 0)
+    staged = {p.name for p in (tmp_path / "shared").glob("silver-*/*")}
+    assert staged == {"event_lines", "events", "match_files", "tracking_inventory", "gates"}
+    assert all(".zstd." in p.name for p in (tmp_path / "shared").glob("silver-*/*/part-*"))
+    for kind in (raw.EVENTS, raw.MATCH, raw.TRACKING):
+        assert len([line for line in scans_of(spark, 0, str(own)) if kind[1:] in line]) == 1, kind

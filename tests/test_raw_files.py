@@ -55,3 +55,37 @@ def test_a_question_by_itself_needs_no_gold(spark):
         assert not {name for _, _, name in lake._written} & {"events_enriched", "goals"}
     finally:
         lake._written.update(before)
+
+
+def test_large_kinds_are_written_compressed_from_slim_rows(spark):
+    """Events and frames take the most room, as raw files and in the shuffle before them; the rows read back are those written."""
+    sf = "/root/testdata/sf0.001"
+    at = Q.bronze(spark, sf, "events", "tracking")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    for kind in (Q.raw.EVENTS, Q.raw.TRACKING):
+        found = list(fs.globStatus(path(f"{at}/matches/*/{kind}*")))
+        plain = sum(len(r["value"]) for r in spark.read.text([s.getPath().toString() for s in found]).collect())
+        assert found and all(s.getPath().getName().endswith(kind[1:] + ".gz") for s in found)
+        assert sum(s.getLen() for s in found) * 3 < plain
+    dealt = D.events(spark, sf, dealt=True)
+    plan = dealt._jdf.queryExecution().optimizedPlan()
+    while "Rebalance" not in plan.nodeName():
+        plan = plan.children().head()
+    assert {plan.output().apply(i).name() for i in range(plan.output().size())} == {"event_id", "t", "user_id", "etype", "k", "__m"}
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, D.events(spark, sf).collect()))
+    columns = ["event_id", "match_id", "x_start", "carry", "end_type", "_pk"]
+    got = Q.raw.read_events(spark, at).select(F.col("event_id").cast("bigint").alias("event_id"), *columns[1:])
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, D.events(spark, sf).select(columns).collect()))
+    frames = ["match_id", "frame", "ball_x", "ball_y", "possession_group", "players"]
+    order = F.transform("players", lambda p: F.struct(*[p[c].alias(c) for c in ("player_id", "x", "y", "is_detected")])).alias("players")
+    assert sorted(map(repr, Q.raw.read_tracking(spark, at).select(*frames[:-1], order).collect())) == sorted(map(repr, D.frames(spark, sf).select(frames).collect()))
+
+
+def test_a_long_file_is_cut(spark, tmp_path):
+    """One task unpacks a compressed file, so that a hot match needs several."""
+    rows = spark.range(1000).select(F.lit(7).alias("m"), "id")
+    Q._files(rows, "m", f"file://{tmp_path}", "_x.csv.gz", lambda w, at: w.options(**Q.PACKED | {"maxRecordsPerFile": 300}).option("header", True).csv(at), dealt=True)
+    files = sorted(tmp_path.glob("matches/7/7_*_x.csv.gz"))
+    assert len(files) >= 4 and spark.read.csv([str(f) for f in files], header=True).count() == 1000
+    assert Q.PACKED["maxRecordsPerFile"] > 0

@@ -60,10 +60,15 @@ def save(df: DataFrame, lake: str, layer: str, table: str, sort: Sequence[str] =
     write(df, f"{lake}/{layer}/{table}", sort, part)
 
 
-def write(df: DataFrame, path: str, sort: Sequence[str] = (), part: Column | None = None, dealt: bool = False) -> None:
-    """``save`` to a path.  Rows that are ``dealt`` already lie together as the files should; they are sorted where they are."""
+def write(df: DataFrame, path: str, sort: Sequence[str] = (), part: Column | None = None, dealt: bool = False, codec: str | None = None) -> None:
+    """``save`` to a path.  Rows that are ``dealt`` already lie together as the files should; they are sorted where they are.
+
+    ``codec`` names a compression other than the session's.
+    """
     out, order = (df, [*sort]) if part is None else (df.withColumn("part", part), ["part", *sort])
     if order:
         out = (out if dealt else out.repartitionByRange(*order)).sortWithinPartitions(*order)
     writer = out.write.mode("overwrite")
+    if codec is not None:
+        writer = writer.option("compression", codec)
     (writer if part is None else writer.partitionBy("part")).parquet(path)
