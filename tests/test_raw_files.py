@@ -89,3 +89,15 @@ def test_a_long_file_is_cut(spark, tmp_path):
     files = sorted(tmp_path.glob("matches/7/7_*_x.csv.gz"))
     assert len(files) >= 4 and spark.read.csv([str(f) for f in files], header=True).count() == 1000
     assert Q.PACKED["maxRecordsPerFile"] > 0
+
+
+def test_wide_rows_are_written_with_compiled_methods(spark, bronze, tmp_path, monkeypatch):
+    from touchline.plans import lake as L
+    from touchline.session import COMPILED_METHOD
+    from touchline.sources import layers
+    name, seen = "spark.sql.codegen.hugeMethodLimit", []
+    before, write = spark.conf.get(name), layers.write
+    Q._files(spark.range(5).select(F.lit(7).alias("m"), "id"), "m", f"file://{tmp_path}", "_x.csv", lambda w, at: (seen.append(spark.conf.get(name)), w.csv(at)))
+    monkeypatch.setattr(layers, "write", lambda df, *a, **k: (seen.append(spark.conf.get(name)), write(df, *a, **k)))
+    L.build_silver(spark, bronze, str(tmp_path / "lake"), check_only=True)
+    assert len(seen) > 4 and {int(v) for v in seen} == {COMPILED_METHOD} and spark.conf.get(name) == before

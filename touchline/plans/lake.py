@@ -12,7 +12,7 @@ from touchline.plans import enrich as E
 from touchline.plans import predicates, shape
 from touchline.plans import tracking as T
 from touchline.plans.predicates import Tracking
-from touchline.session import shared_folder
+from touchline.session import compiled_methods, shared_folder
 from touchline.sources import gates, layers, raw
 from touchline.sources.conform import conform
 
@@ -34,7 +34,8 @@ def build_silver(spark: SparkSession, bronze: str, lake: str, check_only: bool =
 
     def staged(df: DataFrame, name: str) -> DataFrame:
         path = f"{shared_folder(spark)}/silver-{version}/{name}"
-        layers.write(df, path, codec="zstd")
+        with compiled_methods(spark):  # the casts of the wide event columns are too long for one method
+            layers.write(df, path, codec="zstd")
         return spark.read.schema(df.schema).parquet(path)
 
     events = staged(raw.parse_events(staged(raw.event_lines(spark, bronze), "event_lines")), "events")
